@@ -30,9 +30,9 @@ from tessella.llm.chunks import PRE_TOKEN, chunk_keys, chunk_text
 from tessella.llm.common import text_batches, two_columns
 
 LONG_WORD = 64
-CACHE_KEYS = 1_200_000
+CACHE_KEYS = 800_000
 #: Tokens decoded by one query.
-DECODE_TOKENS = 1_500_000
+DECODE_TOKENS = 800_000
 
 _SHORT = """
 WITH RECURSIVE s(round, w, pos, id, nid, npos) AS (
