@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next one's
 docs. All but the last return the columns of ``documents``. Rows without doc_id can't be named by a decision of the
-stages that compare documents; they are kept through language identification and left out by exact deduplication.
+stages that compare documents; those stages keep them.
 Empty tables pass through as empty tables.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe_sql, decontam, exact_dedup, jaccard_join, langid
-from tessella.llm.common import StageTables
+from tessella.llm.common import StageTables, without
 
 #: Documents scored under this are of no learned language; a text in any of them scores far above.
 MIN_LANGUAGE_SCORE = 0.3
@@ -21,27 +21,23 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter (or null), and those that the classifier gives to no language."""
-    model = langid.fit(docs, F.col("lang"))
-    verdict = langid.predict(docs, model).where((F.col("lang_pred") == langid.UND) | (F.col("score") < MIN_LANGUAGE_SCORE))
-    return docs.join(verdict.select("doc_id"), "doc_id", "left_anti")
+    return langid.accepted(docs, langid.fit(docs, F.col("lang")), MIN_LANGUAGE_SCORE)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the largest doc_id of equal texts."""
-    keep = exact_dedup.exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    return without(docs, exact_dedup.exact_groups(docs).where("not kept"), "exact")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest doc_id, of each component at 0.8 of five-word shingles."""
     found = jaccard_join.similarity_components(docs, jaccard_join.Rule(k=5, num=80, den=100))
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    return without(docs, found.where("doc_id <> component_id"), "near")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return decontam.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,37 @@ def text_batches(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str,
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the key and the text, under fixed names, so that no other column of the input can clash."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` less the rows whose id is in ``dropped``; null ids stay.
+
+    The ids are written first and counted: up to ``BROADCAST_IDS`` of them are broadcast, so that texts stay where they
+    are; more are joined by a shuffle.
+    """
+    ids = StageTables(docs.sparkSession, name).put("ids", dropped.select(id_col).distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti")
+
+
+def filter_rows(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` for which ``keep(texts)`` gives true, all columns as they are; no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            start = 0
+            while start < batch.num_rows:
+                stop, held = start, 0
+                while stop < batch.num_rows and held < 2_000_000:
+                    held += len(texts[stop].as_py() or "")
+                    stop += 1
+                part = batch.slice(start, stop - start)
+                yield part.filter(pa.array(keep([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+                start = stop
+
+    return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import text_batches, two_columns
+from tessella.llm.common import filter_rows, text_batches, two_columns
 
 MAX_ITEMS = 10_000
 BLOCK = 4
@@ -195,10 +195,7 @@ class ItemIndex:
 
 def find_contamination(docs: DataFrame, items: DataFrame, min_overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, passage_start, bm25, question_overlap, answer_overlap): one row for each text and item that match."""
-    rows = two_columns(items, item_id, item_text).where("doc_id is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} test items; search them in parts")
-    shared = docs.sparkSession.sparkContext.broadcast([(r.doc_id, r.text) for r in rows])
+    shared = docs.sparkSession.sparkContext.broadcast(_collected(items, item_id, item_text))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,5 +207,25 @@ def find_contamination(docs: DataFrame, items: DataFrame, min_overlap: float = 0
     return two_columns(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, passage_start long, bm25 double, question_overlap double, answer_overlap double")
 
 
+def _collected(items: DataFrame, item_id: str, item_text: str) -> list[tuple]:
+    rows = two_columns(items, item_id, item_text).where("doc_id is not null").limit(MAX_ITEMS + 1).collect()
+    if len(rows) > MAX_ITEMS:
+        raise ValueError(f"more than {MAX_ITEMS} test items; search them in parts")
+    return [(r.doc_id, r.text) for r in rows]
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, min_overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, whole, that match no item."""
+    shared = docs.sparkSession.sparkContext.broadcast(_collected(items, item_id, item_text))
+    held: dict[str, ItemIndex] = {}
+
+    def keep(texts: list[str]) -> list[bool]:
+        index = held.setdefault("index", None) or held.update(index=ItemIndex(shared.value, min_overlap)) or held["index"]
+        found = {row[0] for row in index.search(texts)}
+        return [n not in found for n in range(len(texts))]
+
+    return filter_rows(docs, keep, id_col, text_col)
+
+
 _COLUMNS = ("doc_id", "item_id", "passage_start", "bm25", "question_overlap", "answer_overlap")
 _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

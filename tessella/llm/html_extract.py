@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-N_PAGES = 700
+N_PAGES = 1000
 
 # Elements of HTML by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -266,7 +266,7 @@ class Boosted:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 24) -> Boosted:
     """Logistic gradient boosting with second-order gains over quantile bins; deterministic."""
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)])
@@ -289,7 +289,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate:
                 hs = np.bincount(flat, np.repeat(h[rows], n_features), n_features * width).reshape(n_features, width).cumsum(axis=1)
                 gt, ht = gs[0, -1], hs[0, -1]
                 gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
-                gain[(hs < 2) | (ht - hs < 2)] = 0
+                gain[(hs < 4) | (ht - hs < 4)] = 0
                 j, c = np.unravel_index(int(np.argmax(gain)), gain.shape)
                 if gain[j, c] > 1e-6 and c < len(cuts[j]):
                     f[node], t[node] = j, cuts[j][c]

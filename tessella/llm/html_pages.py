@@ -1,7 +1,7 @@
 """Generated web pages whose main text is known; the training data of ``html_extract``.
 
 Every page is drawn at random (seeded) from layouts, tag names and attribute words; its sentences are made of syllables.
-Each block of main text ends with the page's marker word, and nothing else on the page holds it.
+Each block of main text ends with a marker, one private character, and nothing else on the page holds it.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 
 _SYLLABLES = "an be co da el fi go ha in jo ka le mi no or pa qui re sa ti um ve wo xa yo zu".split()
+MARKER = "\ue000"
 
 
 class _Page:
@@ -19,7 +20,7 @@ class _Page:
         #: Longest paragraphs in sentences; some pages hold only short or only long ones.
         self.lengths = rng.choice([[1, 1, 2, 6, 12]] * 3 + [[1], [1, 1, 1, 12], [1, 60], [6, 12, 60]])
         self.shortest = rng.choice([1, 3, 3])
-        self.marker = "mark" + "".join(rng.choice("bcdfghjk") for _ in range(6))
+        self.marker = MARKER
 
     def word(self) -> str:
         return "".join(self.r.choice(_SYLLABLES) for _ in range(self.r.randint(1, 3)))
@@ -58,7 +59,8 @@ class _Page:
 
     def header(self) -> str:
         title = self.pick(lambda: f"<h1>{self.sentence(1, 4)}</h1>", lambda: f"<p>{self.sentence(2, 8)}</p>", lambda: f"<div>{self.link()}</div>", lambda: self.sentence(2, 6))
-        return self.box("header header div", "header top masthead banner", title + (self.menu() if self.r.random() < 0.4 else ""), 0.0 if self.r.random() < 0.5 else 0.4)
+        inner = title + (self.menu() if self.r.random() < 0.4 else "")
+        return self.pick(lambda: self.box("header", "header top masthead", inner, 0.6), lambda: self.box("div", "header top masthead banner", inner, 0))
 
     def advert(self) -> str:
         return self.box("div div div aside section p", "ad ads advert advertisement sponsored promo banner", self.pick(lambda: self.prose(1, 3), lambda: f"<p>{self.prose(1, 3)}</p>", lambda: self.link(6)), 0)
@@ -85,7 +87,7 @@ class _Page:
 
     # -- main text
     def marked(self, text: str) -> str:
-        return f"{text} {self.marker}"
+        return f"{text}{self.marker}"
 
     def paragraph(self) -> str:
         text = self.prose(1, self.r.choice(self.lengths))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_batches, two_columns
+from tessella.llm.common import filter_rows, text_batches, two_columns
 
 N_FEATURES = 1 << 16
 UND = "und"
@@ -117,12 +117,11 @@ def fit(docs: DataFrame, label: Column, rows_per_label: int = 4000, id_col: str
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights.tobytes(), model.priors.tobytes()))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, w, p = shared.value
-        held = Model(labels, np.frombuffer(w, np.float32).reshape(N_FEATURES, -1) if labels else np.zeros((N_FEATURES, 0), np.float32), np.frombuffer(p, np.float64))
+        held = shared.value
         for ids, texts in text_batches(batches, "doc_id", "text"):
             names, scores = held.score(texts)
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
@@ -130,6 +129,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return two_columns(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, min_score: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, whole, that get a learned language with at least ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list[str]) -> list[bool]:
+        names, scores = shared.value.score(texts)
+        return [name != UND and score >= min_score for name, score in zip(names, scores)]
+
+    return filter_rows(docs, keep, id_col, text_col)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that the model never learns from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2
