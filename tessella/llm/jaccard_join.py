@@ -4,8 +4,9 @@ Words are runs of characters other than blank and U+0009 to U+000D after lower-c
 distinct ``k``-word shingles as 64-bit hashes (with fewer words, the whole sequence is one shingle; without words the set
 is empty and links with nothing). Two sets link when ``den * |x & y| >= num * |x | y|``.
 
-1. One pass hashes every text to its set: (id, size, hash of the set), and counts shingles in ``BUCKETS`` counters that
-   are summed over all tasks. The counters, of fixed size, are broadcast and give global order A: rare shingles first.
+1. One pass hashes every text to its set: (id, size, hash of the set), and marks every shingle that two different sets of
+   one batch of texts hold. The marks are a bit map of ``2 ** MARK_BITS`` bits, joined over all tasks and broadcast at
+   that fixed size. It gives global order A: unmarked (rare) shingles first, then by hash.
 2. Identical sets become one node, the smallest id among them. A second pass writes each node's prefix under order A:
    any two linked sets of n shingles share one of the first ``n - ceil(num * n / den) + 1``. Copies are skipped inside a
    task, so a group of copies leaves at most one posting a task. Tokens that one set alone holds are dropped.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import StageTables, text_batches, two_columns
 
-BUCKETS = 1 << 16
+MARK_BITS = 26
 SEEN_SETS = 1_000_000
 BROADCAST_NODES = 1_000_000
 HOT_SHARE = 2000
@@ -86,8 +87,21 @@ def set_hash(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def order_a(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return s[np.lexsort((s, counts[(s >> np.uint64(13)).astype(np.int64) & (BUCKETS - 1)]))]
+def mark_at(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(13)) & np.uint64((1 << MARK_BITS) - 1)
+
+
+def add_marks(marks: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Marks the shingles that at least two of the (different) sets hold."""
+    found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+    at = mark_at(found[times > 1])
+    np.bitwise_or.at(marks, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+
+
+def order_a(s: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = mark_at(s)
+    common = (marks[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+    return np.concatenate([s[~common], s[common]])  # sets are sorted by hash
 
 
 def permuted(s: np.ndarray, key: int, n: int) -> np.ndarray:
@@ -102,8 +116,8 @@ def similarity_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "d
     rows = two_columns(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     tables = StageTables(spark, "jaccard")
-    facts, counts = _facts(rows, kind, rule, tables)
-    shared = spark.sparkContext.broadcast(counts.tobytes())
+    facts, marks = _facts(rows, kind, rule, tables)
+    shared = spark.sparkContext.broadcast(marks.tobytes())
     nodes = tables.put("nodes", facts.where("n > 0").groupBy("set", "n").agg(F.min("doc_id").alias("node")))
     postings = _shared_postings(rows, kind, rule, shared, nodes, tables)
     held = _node_sets(rows, kind, rule, postings, tables)
@@ -119,20 +133,21 @@ def similarity_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "d
 
 def _facts(rows: DataFrame, kind: str, rule: Rule, tables: StageTables) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        marks = np.zeros(1 << (MARK_BITS - 6), np.uint64)
         for ids, texts in text_batches(batches, "doc_id", "text"):
             sets = [shingles(t, rule.k) for t in texts]
-            total += np.bincount((np.concatenate(sets) >> np.uint64(13)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS)
+            hashes = [set_hash(s) if len(s) else None for s in sets]
+            add_marks(marks, list({h: s for h, s in zip(hashes, sets) if h is not None}.values()))
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": n, "set": pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), "counter": pa.array([False] * len(ids))})
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None] * len(at), _arrow(kind)), "n": total[at], "set": at, "counter": pa.array([True] * len(at))})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": n, "set": pa.array(hashes, pa.int64()), "mark": pa.array([False] * len(ids))})
+        at = np.flatnonzero(marks)
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None] * len(at), _arrow(kind)), "n": at, "set": signed(marks[at]), "mark": pa.array([True] * len(at))})
 
-    both = tables.put("facts", rows.mapInArrow(run, f"doc_id {kind}, n long, set long, counter boolean"))
-    counts = np.zeros(BUCKETS, np.int64)
-    got = both.where("counter").groupBy("set").agg(F.sum("n").alias("n")).toPandas()
-    counts[got["set"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return both.where("not counter").drop("counter"), counts
+    both = tables.put("facts", rows.mapInArrow(run, f"doc_id {kind}, n long, set long, mark boolean"))
+    marks = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    got = both.where("mark").groupBy("n").agg(F.bit_or("set").alias("bits")).toPandas()
+    marks[got["n"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return both.where("not mark").drop("mark"), marks
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -143,7 +158,7 @@ def _shared_postings(rows: DataFrame, kind: str, rule: Rule, shared, nodes: Data
     """(token, node, n): prefix postings under order A of tokens that at least two different sets hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.frombuffer(shared.value, np.int64), set()
+        marks, seen = np.frombuffer(shared.value, np.uint64), set()
         for _, texts in text_batches(batches, "doc_id", "text"):
             tokens, keys, sizes = [np.zeros(0, np.uint64)], [], []
             for t in texts:
@@ -153,7 +168,7 @@ def _shared_postings(rows: DataFrame, kind: str, rule: Rule, shared, nodes: Data
                 if len(seen) >= SEEN_SETS:
                     seen.clear()
                 seen.add(key)
-                tokens.append(order_a(s, counts)[: rule.prefix(len(s))])
+                tokens.append(order_a(s, marks)[: rule.prefix(len(s))])
                 keys.append((key, len(tokens[-1])))
                 sizes.append(len(s))
             times = [x for _, x in keys]

@@ -25,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import StageTables, text_batches, two_columns
 
 BLOCK_IDS = 1 << 18
-CACHE_KEYS = 1_500_000
+CACHE_KEYS = 1_000_000
 
 # ---- coding -----------------------------------------------------------------------------------------------------------
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
@@ -74,10 +75,36 @@ class WordEncoder:
         #: White space is dropped and normalisation is NFC and lower case: only then do pieces stand alone.
         self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("behavior") == "Removed" and bool(splits[0].get("invert"))
         self.size = self.library.get_vocab_size()
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.by_piece = self.by_piece and bool(suffix)
+        #: Ids of tokens that end a pre-token.
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.pre_token = regex.compile(splits[0]["pattern"]["Regex"]) if self.by_piece else None
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Caches the ids of pieces. Their pre-tokens that are new are encoded many at a time, each up to its end token."""
+        cut = [self.pre_token.findall(p.lower() if "Σ" not in p else "".join(c.lower() for c in p)) for p in pieces]
+        new = {w for words in cut for w in words}
+        new.difference_update(self.words)
+        if len(self.words) + len(new) > CACHE_KEYS:
+            self.words, new = {}, {w for words in cut for w in words}
+        todo = list(new)
+        for start in range(0, len(todo), 1000):
+            part = todo[start : start + 1000]
+            flat = self._library([" ".join(part)])[0]
+            ends = (np.flatnonzero(self.ends[np.frombuffer(flat, "<u4")]) * 4 + 4).tolist()
+            if len(ends) == len(part):
+                self.words.update((w, flat[a:b]) for w, a, b in zip(part, [0, *ends], ends))
+            else:  # a character without a token of its own: each by itself
+                self.words.update(zip(part, self._library(part)))
+        get = self.words.__getitem__
+        self.cache.update((p, b"".join(map(get, words))) for p, words in zip(pieces, cut))
 
     def _pieces(self, text: str) -> list[str] | None:
         if not self.by_piece or any(s in text for s in self.special):
@@ -87,7 +114,8 @@ class WordEncoder:
         # isspace counts the four separators U+001C to U+001F, which the tokenizer's pattern does not
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return None
-        return text.split()
+        # one form for all cases of a piece; a capital sigma alone lower-cases by its neighbours in Python
+        return text.split() if "Σ" in text else text.lower().split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self._pieces(t) for t in texts]
@@ -98,8 +126,7 @@ class WordEncoder:
         if len(self.cache) + len(new) > CACHE_KEYS:
             self.cache = {}
             new = {x for p in pieces for x in p or ()}
-        todo = list(new)
-        self.cache.update(zip(todo, self._library(todo)))
+        self._learn(list(new))
         get = self.cache.__getitem__
         return [self._library([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
 
