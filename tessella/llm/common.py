@@ -56,7 +56,7 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, max_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, max_chars: int = 4_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
     """(ids, texts) of at most ``max_chars`` characters each; a longer text comes alone, whole. Null text is empty."""
     ids: list = []
     texts: list[str] = []
@@ -66,13 +66,13 @@ def text_batches(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str,
         for i in range(batch.num_rows):
             text = values[i].as_py() or ""
             if texts and held + len(text) > max_chars:
-                yield ids, texts
+                yield pa.array(ids, keys.type), texts
                 ids, texts, held = [], [], 0
             ids.append(keys[i].as_py())
             texts.append(text)
             held += len(text)
     if ids:
-        yield ids, texts
+        yield pa.array(ids, keys.type), texts
 
 
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

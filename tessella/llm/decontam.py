@@ -201,7 +201,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, min_overlap: float = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(shared.value, min_overlap)
         for ids, texts in text_batches(batches, "doc_id", "text", 2_000_000):
-            found = [(ids[row[0]], *row[1:]) for row in index.search(texts)]
+            found = [(ids[row[0]].as_py(), *row[1:]) for row in index.search(texts)]
             yield pa.RecordBatch.from_pylist([dict(zip(_COLUMNS, f)) for f in found], schema=pa.schema(list(zip(_COLUMNS, (_TYPES[kind], _TYPES[item_kind], pa.int64(), pa.float64(), pa.float64(), pa.float64())))))
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, passage_start long, bm25 double, question_overlap double, answer_overlap double")

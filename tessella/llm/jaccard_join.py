@@ -139,9 +139,9 @@ def _facts(rows: DataFrame, kind: str, rule: Rule, tables: StageTables) -> tuple
             hashes = [set_hash(s) if len(s) else None for s in sets]
             add_marks(marks, list({h: s for h, s in zip(hashes, sets) if h is not None}.values()))
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": n, "set": pa.array(hashes, pa.int64()), "mark": pa.array([False] * len(ids))})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": n, "set": pa.array(hashes, pa.int64()), "mark": pa.array([False] * len(ids), pa.bool_())})
         at = np.flatnonzero(marks)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None] * len(at), _arrow(kind)), "n": at, "set": signed(marks[at]), "mark": pa.array([True] * len(at))})
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None] * len(at), _arrow(kind)), "n": at, "set": signed(marks[at]), "mark": pa.array([True] * len(at), pa.bool_())})
 
     both = tables.put("facts", rows.mapInArrow(run, f"doc_id {kind}, n long, set long, mark boolean"))
     marks = np.zeros(1 << (MARK_BITS - 6), np.uint64)

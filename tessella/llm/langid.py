@@ -99,7 +99,7 @@ def fit(docs: DataFrame, label: Column, rows_per_label: int = 4000, id_col: str
         total = np.zeros((len(labels), N_FEATURES), np.int64)
         docs_of = np.zeros(len(labels), np.int64)
         for names, texts in text_batches(batches, "label", "text"):
-            for name, text in zip(names, texts):
+            for name, text in zip(names.to_pylist(), texts):
                 if name in index:
                     total[index[name]] += np.bincount(features(text), minlength=N_FEATURES)
                     docs_of[index[name]] += 1
