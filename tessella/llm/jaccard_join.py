@@ -119,14 +119,14 @@ def similarity_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "d
     facts, marks = _facts(rows, kind, rule, tables)
     shared = spark.sparkContext.broadcast(marks.tobytes())
     nodes = tables.put("nodes", facts.where("n > 0").groupBy("set", "n").agg(F.min("doc_id").alias("node")))
-    postings = _shared_postings(rows, kind, rule, shared, nodes, tables)
-    held = _node_sets(rows, kind, rule, postings, tables)
-    labels = _link(postings, held, rule, tables)
+    prefixes = _prefixes(rows, rule, shared, tables)
+    postings = _shared_postings(prefixes, nodes, tables)
+    labels = _link(rows, kind, postings, prefixes, nodes, rule, tables)
     named = nodes.join(labels, nodes["node"] == labels["id"], "left").select("set", "n", F.coalesce("label", "node").alias("component_id"))
     salted = facts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS * 4)))
     spread = salted.where("n > 0").select("set", "n", "salt").distinct().join(named, ["set", "n"])
     out = tables.put("result", salted.join(spread, ["set", "n", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
-    for t in ("facts", "nodes", "held", "shared"):
+    for t in ("facts", "nodes", "prefixes", "shared"):
         tables.drop(t)
     return out
 
@@ -154,13 +154,16 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def _shared_postings(rows: DataFrame, kind: str, rule: Rule, shared, nodes: DataFrame, tables: StageTables) -> DataFrame:
-    """(token, node, n): prefix postings under order A of tokens that at least two different sets hold."""
+def _prefixes(rows: DataFrame, rule: Rule, shared, tables: StageTables) -> DataFrame:
+    """(set, n, a, b, c): prefixes of every different set of a task under the three orders.
+
+    Values under orders B and C are cut to 16 bits: an overlap is never missed, and a false one only costs a verification.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, seen = np.frombuffer(shared.value, np.uint64), set()
         for _, texts in text_batches(batches, "doc_id", "text"):
-            tokens, keys, sizes = [np.zeros(0, np.uint64)], [], []
+            keys, sizes, a, b, c = [], [], [], [], []
             for t in texts:
                 s = shingles(t, rule.k)
                 if rule.alone(len(s)) or (key := set_hash(s)) in seen:
@@ -168,18 +171,24 @@ def _shared_postings(rows: DataFrame, kind: str, rule: Rule, shared, nodes: Data
                 if len(seen) >= SEEN_SETS:
                     seen.clear()
                 seen.add(key)
-                tokens.append(order_a(s, marks)[: rule.prefix(len(s))])
-                keys.append((key, len(tokens[-1])))
+                keys.append(key)
                 sizes.append(len(s))
-            times = [x for _, x in keys]
-            yield pa.RecordBatch.from_pydict({"token": signed(np.concatenate(tokens)), "set": np.repeat(np.array([k for k, _ in keys], np.int64), times), "n": np.repeat(np.array(sizes, np.int32), times)})
+                n = rule.prefix(len(s))
+                a.append(signed(order_a(s, marks)[:n]))
+                b.append(permuted(s, 0x5851F42D4C957F2D, n).astype(np.uint16).view(np.int16))
+                c.append(permuted(s, 0x14057B7EF767814F, n).astype(np.uint16).view(np.int16))
+            yield pa.RecordBatch.from_pydict({"set": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int32()), "a": pa.array(a, pa.list_(pa.int64())), "b": pa.array(b, pa.list_(pa.int16())), "c": pa.array(c, pa.list_(pa.int16()))})
+
+    return tables.put("prefixes", rows.mapInArrow(run, "set long, n int, a array<long>, b array<short>, c array<short>"), codec="lz4")
 
-    all_postings = tables.put("all", rows.mapInArrow(run, "token long, set long, n int"))
-    stats = all_postings.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count("*").alias("times")).where("low <> high")
+
+def _shared_postings(prefixes: DataFrame, nodes: DataFrame, tables: StageTables) -> DataFrame:
+    """(token, node, n): prefix postings under order A of tokens that at least two different sets hold."""
+    postings = prefixes.select(F.explode("a").alias("token"), "set", "n")
+    stats = postings.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count("*").alias("times")).where("low <> high")
     stats = tables.put("stats", stats.select("token", "times"))
-    live = _salted(all_postings, stats, "set").drop("times").distinct()
+    live = _salted(postings, stats, "set").drop("times").distinct()
     out = tables.put("shared", live.join(nodes, ["set", "n"]).select("token", "node", "n").distinct())
-    tables.drop("all")
     tables.drop("stats")
     return out
 
@@ -198,27 +207,38 @@ def _salted(left: DataFrame, tokens: DataFrame, spread_by: str) -> DataFrame:
     return salted.join(copies.hint("shuffle_hash"), ["token", "salt"]).drop("salt")
 
 
-def _node_sets(rows: DataFrame, kind: str, rule: Rule, postings: DataFrame, tables: StageTables) -> DataFrame:
-    """(node, n, b, c, shingles) of every node that shares a token: its prefixes under orders B and C, and its set."""
-    nodes = tables.put("ids", postings.select("node").distinct())
-    few = nodes.count() <= BROADCAST_NODES
-    wanted = rows.join(F.broadcast(nodes) if few else nodes, rows["doc_id"] == nodes["node"], "left_semi")
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids`` with a broadcast hint if they are at most ``BROADCAST_NODES``."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else ids
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+
+
+def share_prefixes(pairs: DataFrame, prefixes: DataFrame, nodes: DataFrame, tables: StageTables, name: str) -> DataFrame:
+    """The pairs (x, y) that share a prefix value under order B and one under order C."""
+    wanted = tables.put(f"{name}-ends", _ends(pairs))
+    known = nodes.join(_few(wanted), "node", "left_semi")
+    light = prefixes.join(_few(known), ["set", "n"]).groupBy("node").agg(F.first("b").alias("b"), F.first("c").alias("c"))
+    near = pairs.join(light.toDF("x", "bx", "cx"), "x").join(light.toDF("y", "by", "cy"), "y")
+    return tables.put(f"{name}-near", near.where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y"))
+
+
+def _node_sets(rows: DataFrame, kind: str, rule: Rule, pairs: DataFrame, tables: StageTables, name: str) -> DataFrame:
+    """(node, shingles) of both ends of the pairs, from their texts."""
+    wanted = rows.join(_few(tables.put(f"{name}-wanted", _ends(pairs).withColumnRenamed("node", "doc_id"))), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches, "doc_id", "text", 1_000_000):
-            sets = [shingles(t, rule.k) for t in texts]
-            cols: dict = {"node": ids, "n": pa.array([len(s) for s in sets], pa.int32())}
-            for name, key in (("b", 0x5851F42D4C957F2D), ("c", 0x14057B7EF767814F)):
-                cols[name] = pa.array([signed(permuted(s, key, rule.prefix(len(s)))) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict(cols | {"shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": ids, "shingles": pa.array([shingles(t, rule.k).tobytes() for t in texts], pa.binary())})
 
-    return tables.put("held", wanted.mapInArrow(run, f"node {kind}, n int, b array<long>, c array<long>, shingles binary"))
+    return tables.put(f"{name}-held", wanted.select("doc_id", "text").mapInArrow(run, f"node {kind}, shingles binary"), codec="lz4")
 
 
-def _link(postings: DataFrame, held: DataFrame, rule: Rule, tables: StageTables) -> DataFrame:
+def _link(rows: DataFrame, kind: str, postings: DataFrame, prefixes: DataFrame, nodes: DataFrame, rule: Rule, tables: StageTables) -> DataFrame:
     """(id, label): the component of every node that has a link."""
     spark = postings.sparkSession
-    kind = postings.schema["node"].dataType.simpleString()
     labels = spark.createDataFrame([], f"id {kind}, label {kind}")
     links: DataFrame | None = None
     tried: DataFrame | None = None
@@ -237,7 +257,10 @@ def _link(postings: DataFrame, held: DataFrame, rule: Rule, tables: StageTables)
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         pairs = tables.put(f"pairs{turn}", pairs)
-        new = tables.put(f"links{turn}", verify(pairs, held, rule))
+        near = share_prefixes(pairs, prefixes, nodes, tables, f"turn{turn}")
+        held = _node_sets(rows, kind, rule, near, tables, f"turn{turn}")
+        new = tables.put(f"links{turn}", verify(near, held, rule))
+        tables.drop(f"turn{turn}-held")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         labels = connected(links, tables, f"turn{turn}")
@@ -253,13 +276,9 @@ def _all_apart(current: DataFrame, apart: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (x, y) that link: those that pass the filters of orders B and C, then by their exact intersection."""
+    """The pairs (x, y) that link, by their exact intersection."""
     kind = pairs.schema["x"].dataType.simpleString()
-    light = held.select("node", "b", "c")
-    near = pairs.join(light.toDF("x", "bx", "cx"), "x").join(light.toDF("y", "by", "cy"), "y")
-    near = near.where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y")
-    full = held.select("node", "shingles")
-    ready = near.join(full.toDF("x", "sx"), "x").join(full.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
+    ready = pairs.join(held.toDF("x", "sx"), "x").join(held.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
