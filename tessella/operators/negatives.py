@@ -20,9 +20,12 @@ MERGED_SOURCES = (("semantic", 4), ("bm25", 3), ("same_category", 2), ("random",
 
 
 def with_identity(skills: DataFrame) -> DataFrame:
-    """``skills`` with what the identity filter compares, worked out once a row: name_key, body_key, grams."""
+    """``skills`` with what the identity filter compares, worked out once a row: name_key, body_key, grams.
+
+    Grams are 64-bit hashes of the trigrams: longs intersect faster than strings and collide next to never.
+    """
     body = text.strip(text.coerce("body"))
-    return skills.select("skill_id", text.normalized(text.coerce("name")).alias("name_key"), body.alias("body_key"), text.trigrams(body).alias("grams"))
+    return skills.select("skill_id", text.normalized(text.coerce("name")).alias("name_key"), body.alias("body_key"), F.transform(text.trigrams(body), lambda g: F.xxhash64(g)).alias("grams"))
 
 
 def identity_reason(threshold: float, p: str = "p", c: str = "c") -> Column:
