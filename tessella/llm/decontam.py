@@ -220,8 +220,9 @@ def uncontaminated(docs: DataFrame, items: DataFrame, min_overlap: float = 0.8,
     held: dict[str, ItemIndex] = {}
 
     def keep(texts: list[str]) -> list[bool]:
-        index = held.setdefault("index", None) or held.update(index=ItemIndex(shared.value, min_overlap)) or held["index"]
-        found = {row[0] for row in index.search(texts)}
+        if not held:
+            held["index"] = ItemIndex(shared.value, min_overlap)
+        found = {row[0] for row in held["index"].search(texts)}
         return [n not in found for n in range(len(texts))]
 
     return filter_rows(docs, keep, id_col, text_col)

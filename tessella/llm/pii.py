@@ -174,7 +174,7 @@ KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)", _phone),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)", _phone),
 )
 _EACH = [(kind, re.compile(pattern), how) for kind, pattern, how in KINDS]
 #: Every kind holds an @ or four digits among at most two separators.
@@ -186,10 +186,12 @@ def pseudonymize(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     if not _HINT.search(text):
         return text, []
     spans: list[tuple[int, int, str, str]] = []
+    rest = text  # what was found is blanked out, so that no later kind reaches into it
     for kind, pattern, how in _EACH:
-        for m in pattern.finditer(text):
-            if all(m.end() <= s or m.start() >= e for s, e, _, _ in spans) and (new := how(m, key)) is not None:
-                spans.append((m.start(), m.end(), kind, new))
+        found = [(m.start(), m.end(), kind, new) for m in pattern.finditer(rest) if (new := how(m, key)) is not None]
+        for s, e, _, _ in found:
+            rest = rest[:s] + "\0" * (e - s) + rest[e:]
+        spans += found
     spans.sort()
     out, at = [], 0
     for s, e, _, new in spans:
