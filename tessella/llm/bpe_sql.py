@@ -11,8 +11,8 @@ one-by-one order gives the same ids.
 Decoding. Rows (document, position, id) join the vocabulary and an ordered aggregation concatenates the bytes. Bytes are
 held as the 256 code points U+0100 to U+01FF inside SQL, so that every byte string is valid text.
 
-Each worker caches the ids of chunks (see ``chunks``), at most ``CACHE_KEYS`` of them; when full the cache starts anew,
-which costs time and changes nothing else. No shuffle; a lost task is simply run again.
+Each worker caches the ids of chunks (see ``chunks``) and of words, at most ``CACHE_KEYS`` of each; when a cache is full,
+the half that was learned last goes (what is frequent is met early). That costs time and changes nothing else. No shuffle; a lost task is simply run again.
 
 Null and empty texts give no ids and empty bytes. Rows that repeat are encoded each. Other columns are not read.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from tessella.llm.chunks import PRE_TOKEN, chunk_keys, chunk_text
 from tessella.llm.common import text_batches, two_columns
 
 LONG_WORD = 64
-CACHE_KEYS = 800_000
+CACHE_KEYS = 400_000
 #: Tokens decoded by one query.
 DECODE_TOKENS = 800_000
 
@@ -130,8 +131,8 @@ class SqlBpe:
     def _learn_words(self, words: set[str]) -> None:
         todo = [w for w in words if w not in self.words]
         if len(self.words) + len(todo) > CACHE_KEYS:
-            self.words = {}
-            todo = list(words)
+            self.words = dict(islice(self.words.items(), CACHE_KEYS // 2))
+            todo = [w for w in words if w not in self.words]
         for group in ([w for w in todo if len(w) * 4 <= LONG_WORD or len(w.encode()) <= LONG_WORD], [w for w in todo if len(w) * 4 > LONG_WORD and len(w.encode()) > LONG_WORD]):
             self.words.update(zip(group, self._merge([w.encode() for w in group])))
 
@@ -143,8 +144,8 @@ class SqlBpe:
             new.update(k)
         new.difference_update(self.chunks)
         if len(self.chunks) + len(new) > CACHE_KEYS:
-            self.chunks = {}
-            new = {x for k in keys for x in k}
+            self.chunks = dict(islice(self.chunks.items(), CACHE_KEYS // 2))
+            new = {x for k in keys for x in k if x not in self.chunks}
         cut = {k: PRE_TOKEN.findall(chunk_text(k)) for k in new}
         self._learn_words({w for words in cut.values() for w in words})
         get = self.words.__getitem__
@@ -187,7 +188,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker(path)
-        for ids, texts in text_batches(batches, "doc_id", "text"):
+        for ids, texts in text_batches(batches, "doc_id", "text", 2_000_000):
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "ids": pa.array(bpe.encode(texts), pa.binary())})
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids binary")
@@ -212,7 +213,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker(path)
-        for keys, texts in text_batches(batches, "doc_id", "text"):
+        for keys, texts in text_batches(batches, "doc_id", "text", 2_000_000):
             ids = bpe.encode(texts)
             yield pa.RecordBatch.from_pydict({"doc_id": keys, "ids": pa.array(ids, pa.binary()), "decoded": pa.array(bpe.decode(ids), pa.binary())})
 
