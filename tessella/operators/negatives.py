@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessella.functions import hashing, text
 from tessella.operators import bm25
 from tessella.operators.dense import cosine
+from tessella.operators.lineage import cut
 
 LOCAL_SOURCES = (("bm25", 3), ("same_category", 2), ("random", 1))
 MERGED_SOURCES = (("semantic", 4), ("bm25", 3), ("same_category", 2), ("random", 1))
@@ -145,7 +146,7 @@ def _mine(sources: list[tuple[str, int, DataFrame]], positives: DataFrame, skill
         gone = None if kept is None else kept.select("query_id", "skill_id").unionByName(out.select("query_id", "skill_id"))
         fresh = rows if gone is None else rows.join(gone, ["query_id", "skill_id"], "left_anti")
         flagged = flag_identity(fresh.join(positives, "query_id"), skills, threshold).withColumn("passes", F.col("reason").isNull())
-        seen = scan(flagged, target).withColumn("source", F.lit(source)).persist()
+        seen = cut(scan(flagged, target).withColumn("source", F.lit(source)))
         good = seen.where("passes").select("query_id", "skill_id", "source", "score", "position")
         bad = seen.where("not passes").select("query_id", "skill_id", "reason", "source")
         kept = good if kept is None else kept.unionByName(good)
@@ -216,10 +217,10 @@ def mine_multi(queries: DataFrame, skills: DataFrame, semantic: DataFrame, embed
     for source, quota in MERGED_SOURCES:
         fresh = lists[source].join(kept, ["query_id", "skill_id"], "left_anti").withColumn("source", F.lit(source))
         flagged = flag_identity(fresh.join(each, "query_id"), pool, threshold)
-        passed = flagged.groupBy("query_id", "skill_id", "source", "score", "position").agg(F.bool_and(F.col("reason").isNull()).alias("own"))
+        passed = cut(flagged.groupBy("query_id", "skill_id", "source", "score", "position").agg(F.bool_and(F.col("reason").isNull()).alias("own")))
         split = filter_false_negatives(passed.where("own").join(queries.select("query_id", "positives"), "query_id"), embeddings, false_negative, "selected_all_sources")
         marked = passed.join(split.removed.select("query_id", "skill_id", F.struct("positive_skill_id", F.col("score").alias("similarity")).alias("hit")), ["query_id", "skill_id"], "left").withColumn("passes", F.col("own") & F.col("hit").isNull())
-        seen = scan(marked, quota).persist()
+        seen = cut(scan(marked, quota))
         good = seen.where("passes").select("query_id", "skill_id", "source", "score", "position")
         review = seen.where("own and hit is not null").select("query_id", "skill_id", "source", F.col("hit.positive_skill_id").alias("positive_skill_id"), F.col("hit.similarity").alias("score"))
         kept = kept.unionByName(good.select("query_id", "skill_id"))
