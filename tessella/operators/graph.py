@@ -121,6 +121,15 @@ def rejection(rows: DataFrame, stage: str, ids: list[str], reason: Column) -> Da
     return rows.select(key.alias("candidate_id"), F.lit(stage).alias("stage"), F.array(*ids).alias("skill_ids"), F.array(reason).alias("reasons"))
 
 
+def first_ranked(rows: DataFrame, n: int, order: list, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` rows with their rank, and the others.
+
+    A limit after a sort keeps ``n`` rows to a task and only these are numbered in one task; the rest is never sorted.
+    """
+    top = rows.orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))), rows.join(top.select(*keys), keys, "left_anti")
+
+
 def build(contracts: DataFrame, queries: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), tokenize=text.tokens) -> Candidates:
     """Eligible contracts to pairs, triples and rejections."""
     checked = eligibility(contracts, queries, benchmark)
@@ -129,20 +138,21 @@ def build(contracts: DataFrame, queries: DataFrame, benchmark: DataFrame, limits
     good = edges.where("reason is null").drop("reason")
     per_source = good.withColumn("nth", F.row_number().over(Window.partitionBy("from_skill_id").orderBy(F.desc("score"), "to_skill_id")))
     kept = per_source.where(F.col("nth") <= limits.max_pairs_per_source).drop("nth")
-    ranked = kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "from_skill_id", "to_skill_id")))
-    pairs = ranked.where(F.col("rank") <= limits.max_pairs).select(hashing.candidate_id("pair", F.col("from_skill_id"), F.col("to_skill_id")).alias("candidate_id"), F.lit("pair").alias("candidate_type"), F.array("from_skill_id", "to_skill_id").alias("skill_ids"), "score", "rank")
+    pair_ids = ["from_skill_id", "to_skill_id"]
+    ranked, more_pairs = first_ranked(kept, limits.max_pairs, [F.desc("score"), *pair_ids], pair_ids)
+    pairs = ranked.select(hashing.candidate_id("pair", F.col("from_skill_id"), F.col("to_skill_id")).alias("candidate_id"), F.lit("pair").alias("candidate_type"), F.array("from_skill_id", "to_skill_id").alias("skill_ids"), "score", "rank")
     a = kept.select(F.col("from_skill_id").alias("first"), F.col("to_skill_id").alias("second"), F.col("score").alias("score1"))
     b = kept.select(F.col("from_skill_id").alias("second"), F.col("to_skill_id").alias("third"), F.col("score").alias("score2"))
     paths = a.join(b, "second").where("first <> third").withColumn("score", F.bround(F.col("score1") + F.col("score2"), 6))
-    all_triples = paths.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first", "second", "third")))
-    triples = all_triples.where(F.col("rank") <= limits.max_triples).select(hashing.candidate_id("triple", F.col("first"), F.col("second"), F.col("third")).alias("candidate_id"), F.lit("triple").alias("candidate_type"), F.array("first", "second", "third").alias("skill_ids"), "score", "rank")
-    pair_ids = ["from_skill_id", "to_skill_id"]
+    triple_ids = ["first", "second", "third"]
+    ranked_triples, more_triples = first_ranked(paths, limits.max_triples, [F.desc("score"), *triple_ids], triple_ids)
+    triples = ranked_triples.select(hashing.candidate_id("triple", F.col("first"), F.col("second"), F.col("third")).alias("candidate_id"), F.lit("triple").alias("candidate_type"), F.array("first", "second", "third").alias("skill_ids"), "score", "rank")
     rejected = [
         rejection(checked.where("reason is not null"), "eligibility", ["skill_id"], F.col("reason")),
         rejection(edges.where("reason is not null"), "pair_validation", pair_ids, F.col("reason")),
         rejection(per_source.where(F.col("nth") > limits.max_pairs_per_source), "pair_selection", pair_ids, F.lit("source_pair_limit")),
-        rejection(ranked.where(F.col("rank") > limits.max_pairs), "pair_selection", pair_ids, F.lit("global_pair_limit")),
-        rejection(all_triples.where(F.col("rank") > limits.max_triples), "triple_selection", ["first", "second", "third"], F.lit("global_triple_limit")),
+        rejection(more_pairs, "pair_selection", pair_ids, F.lit("global_pair_limit")),
+        rejection(more_triples, "triple_selection", triple_ids, F.lit("global_triple_limit")),
     ]
     rejections = rejected[0]
     for more in rejected[1:]:

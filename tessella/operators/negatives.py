@@ -127,16 +127,18 @@ def _shuffled(rows: DataFrame, seed: int, salt: str, prefix: int) -> DataFrame:
 
 
 def _random(queries: DataFrame, pool: DataFrame, seed: int, prefix: int) -> DataFrame:
-    """A seeded random order of the pool for each query, its first ``prefix`` rows.
+    """A seeded random order of a part of the pool for each query, its first ``prefix`` rows.
 
-    One shuffled ring of the pool serves all queries: each starts at a place of its own, so no query sorts the pool.
+    Skills fall by hash into buckets of about ``prefix``; a query takes two neighbouring buckets of its own. So no query
+    sorts the pool and the pool is sorted nowhere.
     """
-    ring = pool.select("skill_id", F.row_number().over(Window.orderBy(hashing.order_key(seed, F.lit("ring"), F.col("skill_id")), "skill_id")).alias("at"))
-    size = pool.count()
-    steps = F.explode(F.sequence(F.lit(1), F.lit(max(1, min(prefix, size)))))
-    start = F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(max(1, size)))
-    spots = queries.select("query_id", start.alias("start"), steps.alias("position")).withColumn("at", (F.pmod(F.col("start") + F.col("position"), F.lit(max(1, size))) + 1).cast("int"))
-    return spots.join(ring, "at").select("query_id", "skill_id", F.lit(0.0).alias("score"), F.col("position").cast("long").alias("position"))
+    buckets = max(1, pool.count() // prefix)
+    there = pool.select("skill_id", F.pmod(F.xxhash64(F.lit(seed), "skill_id"), F.lit(buckets)).alias("bucket"))
+    start = F.pmod(F.xxhash64(F.lit(seed + 1), "query_id"), F.lit(buckets))
+    asked = queries.select("query_id", F.posexplode(F.array_distinct(F.array(start, F.pmod(start + 1, F.lit(buckets))))).alias("turn", "bucket"))
+    key = hashing.order_key(seed, F.col("query_id"), F.lit("random"), F.col("skill_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("turn", key, "skill_id"))
+    return asked.join(there, "bucket").select("query_id", "skill_id", F.lit(0.0).alias("score"), place.cast("long").alias("position")).where(F.col("position") <= prefix)
 
 
 def _mine(sources: list[tuple[str, int, DataFrame]], positives: DataFrame, skills: DataFrame, threshold: float) -> Mined:
