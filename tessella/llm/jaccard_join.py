@@ -162,7 +162,7 @@ def _prefixes(rows: DataFrame, rule: Rule, shared, tables: StageTables) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, seen = np.frombuffer(shared.value, np.uint64), set()
-        for _, texts in text_batches(batches, "doc_id", "text"):
+        for _, texts in text_batches(batches, "doc_id", "text", 1_000_000):
             keys, sizes, a, b, c = [], [], [], [], []
             for t in texts:
                 s = shingles(t, rule.k)
