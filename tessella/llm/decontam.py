@@ -5,7 +5,8 @@ characters that are neither letters nor digits. Every item has BM25 impacts for
 threshold and cut into blocks; each term keeps its largest impact in every block and overall.
 
 Search (one pass over all texts, no shuffle): a text is cut into passages of ``2 * longest`` terms that start every
-``longest`` terms, so any run as long as the longest item lies within one passage; each passage is a query. As in block-max
+``longest`` terms, where ``longest`` is the most terms of a copy: those of an item and one more for every shingle it may
+lose, as a word put in loses one at least. So a copy of at most that many terms lies within one passage; each passage is a query. As in block-max
 WAND a passage is dropped when the sum of its terms' overall maxima stays under the lowest threshold, then a block when the
 sum of block maxima stays under the block's lowest threshold; only items of the blocks left are scored exactly, and every
 item above its own threshold is retrieved. An item's threshold is its score against itself less the largest share that a
@@ -13,7 +14,8 @@ copy keeping ``min_overlap`` of its 5-word shingles may lose, so no such copy is
 
 Verification: the item's shingles of five words (fewer words: the whole item) are looked up in the passage. Its last
 sentence, or last quarter where that has under five words, is the answer, the rest the question. A match needs
-``min_overlap`` of all shingles and half of the question's and of the answer's own.
+``min_overlap`` of all shingles; the shares of the question's and of the answer's own are given beside it and decide
+nothing, since one changed word can remove most shingles of a short answer.
 
 Null or empty text matches nothing; so does an item without terms. Items with equal text match alike, each by its id.
 Repeated rows match each. Empty tables give no rows. Other columns are not read.
@@ -21,9 +23,11 @@ Repeated rows match each. Empty tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +55,8 @@ class Item:
     #: Terms before this one belong to the question.
     split: int
     threshold: float = 0.0
+    #: Shingles that a match needs.
+    need: int = 0
     question: set = field(default_factory=set)
     answer: set = field(default_factory=set)
 
@@ -59,6 +65,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], min_overlap: float):
         self.min_overlap = min_overlap
         self.ids: dict[str, int] = {}
+        self.longest = 1
         found = []
         for key, text in sorted(items, key=lambda x: x[0]):
             pieces = [term(p) for p in (text or "").split()]
@@ -69,7 +76,6 @@ class ItemIndex:
                 if not SHINGLE <= tail <= len(words) - SHINGLE:
                     tail = max(1, len(words) // 4)
                 found.append(Item(key, np.array([self.ids.setdefault(w, len(self.ids)) for w in words]), len(words) - tail))
-        self.longest = max((len(i.terms) for i in found), default=1)
         df = np.zeros(len(self.ids) + 1)
         for i in found:
             df[np.unique(i.terms)] += 1
@@ -83,7 +89,10 @@ class ItemIndex:
             grams = np.lib.stride_tricks.sliding_window_view(i.terms, width)
             for n, g in enumerate(map(tuple, grams.tolist())):
                 (i.question if n < i.split else i.answer).add(g)
-            lost = int((1 - min_overlap) * len(i.question | i.answer))
+            every = len(i.question | i.answer)
+            i.need = math.ceil(Fraction(str(min_overlap)) * every)
+            lost = every - i.need
+            self.longest = max(self.longest, len(i.terms) + lost)
             i.threshold = float(w.sum() - np.sort(w)[::-1][:lost].sum()) - 1e-9
             impacts.append((at, w))
         order = sorted(range(len(found)), key=lambda n: found[n].threshold)
@@ -189,8 +198,7 @@ class ItemIndex:
         have = set(map(tuple, np.lib.stride_tricks.sliding_window_view(passage, width).tolist())) if len(passage) >= width else set()
         every = item.question | item.answer
         q, a = len(item.question & have) / max(1, len(item.question)), len(item.answer & have) / max(1, len(item.answer))
-        fits = len(every & have) >= self.min_overlap * len(every) and (q >= 0.5 or not item.question) and (a >= 0.5 or not item.answer)
-        return (q, a) if fits else None
+        return (q, a) if len(every & have) >= item.need else None
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, min_overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -162,6 +162,25 @@ def test_contamination_equals_brute_force(spark, odd, none):
     assert decontam.find_contamination(none, items).count() == 0 and decontam.find_contamination(docs, items.where("false")).count() == 0
 
 
+def test_one_word_edits_equal_brute_force():
+    rng = np.random.default_rng(3)
+    items = [(1, "Who was the first to cross the wide river by the old bridge of the north road? It was the miller."), (2, "one two three four five six seven eight nine"), (3, "w" + " w".join(map(str, range(40))) + ". The short answer is here"), (4, "of the sea of the sky of the sea of the land of the sea")]
+    items += [(10 + n, " ".join(f"t{x}" for x in rng.integers(0, 60, n))) for n in (5, 9, 10, 14, 19, 24, 29, 44, 90)]
+    words = lambda t: [decontam.term(p) for p in t.split()]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    index = decontam.ItemIndex(items, 0.8)
+    texts, want = [], set()
+    for key, text in items:
+        w = text.split()
+        for at in range(len(w)):
+            for edit in (["x"], [], ["x", w[at]]):
+                for before in (0, index.longest - 1):
+                    texts.append(" ".join([f"f{n}" for n in range(before)] + w[:at] + edit + w[at + 1 :] + [f"g{n}" for n in range(150)]))
+                    have = grams(words(texts[-1]))
+                    want |= {(len(texts) - 1, k) for k, t in items if 5 * len(grams(words(t)) & have) >= 4 * len(grams(words(t)))}
+    assert {row[:1] + row[1:2] for row in index.search(texts)} == want and {k for _, k in want} >= {1, 3, 34, 54, 100}
+
+
 def test_licences_equal_brute_force(spark, odd, none):
     more = [(20, "Under CC BY-NC 4.0, cc by."), (21, "Permission is hereby granted, free of charge, to any person obtaining a copy of this code and associated documentation files"), (22, "gnu general public license; MIT licence; mit license"), (23, "mit " * 50), (24, "the apache license version 2.0")]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
