@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tessella.llm import bpe_sql, decontam, exact_dedup, jaccard_join, langid
 from tessella.llm.common import StageTables, without
 
-#: Documents scored under this are of no learned language; a text in any of them scores far above.
+#: Least posterior of the chosen language. It is shared out among the learned languages, so texts in none of them are told by
+#: how unlikely their n-grams are (``langid.accepted``), not by this limit.
 MIN_LANGUAGE_SCORE = 0.3
 
 

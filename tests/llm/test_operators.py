@@ -232,6 +232,26 @@ def test_language_of_held_out_texts(spark, odd, none):
     assert {zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs.where(langid.held_out()).collect()} == {True}
 
 
+def test_texts_in_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()), F.col("lang"))
+    other = {
+        "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "pl": "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach. Są oni obdarzeni rozumem i sumieniem.",
+        "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+        "letters": "".join(np.random.default_rng(1).choice(list("abcdefghijklmnopqrstuvwxyz   "), 600)),
+        "short ru": "Да, конечно.",
+    }
+    rows = [(f"{k} {n}", " ".join([t] * n)) for k, t in other.items() for n in (1, 40)]
+    assert langid.accepted(spark.createDataFrame(rows, "doc_id string, text string"), model, 0.3).collect() == []
+    clean = docs.where(langid.held_out() & F.col("text").rlike(r"\p{L}"))
+    whole = clean.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    short = whole.select("doc_id", F.substring("text", 1, 30).alias("text")).where(r"text rlike '^[\\p{L} .,\n]{30}$'")
+    for part in (whole, short):
+        assert part.count() > 100 and langid.accepted(part, model, 0.3).count() == part.count()
+
+
 @pytest.fixture(scope="module")
 def model():
     return html_extract.train()
