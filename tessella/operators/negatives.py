@@ -6,6 +6,7 @@ its target. As windows: a candidate is *scanned* when fewer than ``target`` cand
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,30 +95,91 @@ class Mined(NamedTuple):
     filtered: DataFrame
 
 
+#: The lists of ``asked`` queries to a width: (query_id, skill_id, score, position), and whether all of them are whole.
+Lists = Callable[[DataFrame, int], tuple[DataFrame, bool]]
+
+
 def head_then_rest(head: DataFrame, queries: DataFrame, skills: DataFrame, tail: int) -> DataFrame:
     """(query_id, skill_id, score, position): the ranked head, then the first ``tail`` other rows by skill_id."""
     first = head.select("query_id", "skill_id", "score", F.col("rank").cast("long").alias("position"))
-    ordered = skills.select("skill_id").orderBy("skill_id").limit(tail).withColumn("at", F.row_number().over(Window.orderBy("skill_id")))
-    rest = queries.select("query_id").crossJoin(F.broadcast(ordered)).join(first.select("query_id", "skill_id"), ["query_id", "skill_id"], "left_anti")
+    rest = queries.select("query_id").crossJoin(_first_ids(skills, tail)).join(first.select("query_id", "skill_id"), ["query_id", "skill_id"], "left_anti")
     return first.unionByName(rest.select("query_id", "skill_id", F.lit(0.0).alias("score"), (F.col("at") + 1_000_000).cast("long").alias("position")))
 
 
+def _first_ids(skills: DataFrame, n: int) -> DataFrame:
+    """(skill_id, at): the first ``n`` by skill_id; more than a few are numbered within ranges, not in one task."""
+    if n <= 4096:
+        return F.broadcast(skills.select("skill_id").orderBy("skill_id").limit(n).withColumn("at", F.row_number().over(Window.orderBy("skill_id"))))
+    placed = cut(skills.select("skill_id").repartitionByRange("skill_id").withColumn("part", F.spark_partition_id()))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    start = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("skill_id")) + F.col("start")
+    return placed.join(F.broadcast(start), "part").select("skill_id", at.alias("at")).where(F.col("at") <= n)
+
+
 def mine_local(queries: DataFrame, skills: DataFrame, seed: int = 42, threshold: float = 0.85, head: int = 256, prefix: int = 64, tokenize=text.tokens) -> Mined:
     """Negatives of each query from the best lexical matches, its positive's category and at random.
 
-    ``queries``: query_id, query, positive_skill_id. Lists beyond the lexical head are cut to a ``prefix`` in their own
-    order, which holds enough to fill the quotas unless over ``prefix`` of them are filtered; ``unfilled`` reports these.
+    ``queries``: query_id, query, positive_skill_id. Lists beyond the lexical head are read to a ``prefix`` in their own
+    order; queries whose quota it doesn't fill get wider ones, up to the whole list.
     """
     pool = skills.where("skill_id <> ''")
-    lexical = bm25.rank(pool, text.search_text("name", "description", "body"), queries, "query", head, tokenize=tokenize).join(pool.select("pool_idx", "skill_id"), "pool_idx").select("query_id", "skill_id", "score", "rank")
+    positives = queries.select("query_id", "positive_skill_id")
+    lists = _lists(queries, positives, pool, seed, head, prefix, tokenize)
+    kept: DataFrame | None = None
+    out: DataFrame | None = None
+    for source, target in LOCAL_SOURCES:
+
+        def mark(rows: DataFrame, kept=kept, out=out) -> DataFrame:
+            fresh = rows if kept is None else rows.join(kept.select("query_id", "skill_id").unionByName(out.select("query_id", "skill_id")), ["query_id", "skill_id"], "left_anti")
+            return flag_identity(fresh.join(positives, "query_id"), pool, threshold).withColumn("passes", F.col("reason").isNull())
+
+        seen = _filled(lists[source], queries.select("query_id"), mark, target, prefix).withColumn("source", F.lit(source))
+        good = seen.where("passes").select("query_id", "skill_id", "source", "score", "position")
+        bad = seen.where("not passes").select("query_id", "skill_id", "reason", "source")
+        kept = good if kept is None else kept.unionByName(good)
+        out = bad if out is None else out.unionByName(bad)
+    return Mined(kept, out)
+
+
+def _lists(queries: DataFrame, positives: DataFrame, pool: DataFrame, seed: int, head: int, prefix: int, tokenize) -> dict[str, Lists]:
+    """The local sources. Lists of a greater width begin with those of a smaller."""
+    size = pool.count()
+    lexical = cut(bm25.rank(pool, text.search_text("name", "description", "body"), queries, "query", head, tokenize=tokenize).join(pool.select("pool_idx", "skill_id"), "pool_idx").select("query_id", "skill_id", "score", "rank"))
     keyed = pool.select("skill_id", text.category("category", "skill_id").alias("category"))
-    mates = queries.join(keyed.withColumnRenamed("skill_id", "positive_skill_id"), "positive_skill_id").select("query_id", "category").join(keyed, "category")
-    sources = {
-        "bm25": head_then_rest(lexical, queries, pool, prefix),
-        "same_category": _shuffled(mates.select("query_id", "skill_id"), seed, "category", prefix),
-        "random": _random(queries, pool, seed, prefix),
-    }
-    return _mine([(s, n, sources[s]) for s, n in LOCAL_SOURCES], queries.select("query_id", "positive_skill_id"), pool, threshold)
+    of = cut(positives.join(keyed.withColumnRenamed("skill_id", "positive_skill_id"), "positive_skill_id").select("query_id", "category").distinct())
+    members = cut(keyed.groupBy("category").agg(F.count("*").alias("n")))
+
+    def ranked(asked: DataFrame, width: int) -> tuple[DataFrame, bool]:
+        return head_then_rest(lexical.join(asked, "query_id", "left_semi"), asked, pool, width), width >= size
+
+    def mates(asked: DataFrame, width: int) -> tuple[DataFrame, bool]:
+        own = of.join(asked, "query_id", "left_semi")
+        most = own.join(members, "category").groupBy("query_id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+        return _shuffled(own.join(keyed, "category").select("query_id", "skill_id"), seed, "category", width), width >= most
+
+    def drawn(asked: DataFrame, width: int) -> tuple[DataFrame, bool]:
+        return _random(asked, pool, seed, prefix, width, size)
+
+    return {"bm25": ranked, "same_category": mates, "random": drawn}
+
+
+def _filled(lists: Lists, asked: DataFrame, mark: Callable[[DataFrame], DataFrame], target: int, prefix: int) -> DataFrame:
+    """What a scan reaches of the marked lists, which widen for those queries that aren't filled until they are whole."""
+    out: DataFrame | None = None
+    width = prefix
+    while True:
+        rows, whole = lists(asked, width)
+        seen = cut(scan(mark(rows), target))
+        if whole:
+            return seen if out is None else out.unionByName(seen)
+        full = seen.where("passes").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= target)
+        asked = cut(asked.join(full, "query_id", "left_anti"))
+        if asked.isEmpty():
+            return seen if out is None else out.unionByName(seen)
+        done = seen.join(asked, "query_id", "left_anti")
+        out = done if out is None else out.unionByName(done)
+        width *= 8
 
 
 def _shuffled(rows: DataFrame, seed: int, salt: str, prefix: int) -> DataFrame:
@@ -126,34 +188,21 @@ def _shuffled(rows: DataFrame, seed: int, salt: str, prefix: int) -> DataFrame:
     return rows.select("query_id", "skill_id", F.lit(0.0).alias("score"), place.cast("long").alias("position")).where(F.col("position") <= prefix)
 
 
-def _random(queries: DataFrame, pool: DataFrame, seed: int, prefix: int) -> DataFrame:
-    """A seeded random order of a part of the pool for each query, its first ``prefix`` rows.
+def _random(queries: DataFrame, pool: DataFrame, seed: int, prefix: int, width: int, size: int) -> tuple[DataFrame, bool]:
+    """A seeded random order of the pool for each query, its first ``width`` rows, and whether that is all of it.
 
-    Skills fall by hash into buckets of about ``prefix``; a query takes two neighbouring buckets of its own. So no query
-    sorts the pool and the pool is sorted nowhere.
+    Skills fall by hash into buckets of about ``prefix``; a query begins with two neighbouring buckets of its own and goes on
+    to the next. So no query sorts the pool and the pool is sorted nowhere, unless the quota isn't filled before.
     """
-    buckets = max(1, pool.count() // prefix)
+    buckets = max(1, size // prefix)
+    turns = min(buckets, 2 * (width // prefix))
     there = pool.select("skill_id", F.pmod(F.xxhash64(F.lit(seed), "skill_id"), F.lit(buckets)).alias("bucket"))
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "query_id"), F.lit(buckets))
-    asked = queries.select("query_id", F.posexplode(F.array_distinct(F.array(start, F.pmod(start + 1, F.lit(buckets))))).alias("turn", "bucket"))
+    asked = queries.select("query_id", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")).select("query_id", "turn", F.pmod(F.col("start") + F.col("turn"), F.lit(buckets)).alias("bucket"))
     key = hashing.order_key(seed, F.col("query_id"), F.lit("random"), F.col("skill_id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("turn", key, "skill_id"))
-    return asked.join(there, "bucket").select("query_id", "skill_id", F.lit(0.0).alias("score"), place.cast("long").alias("position")).where(F.col("position") <= prefix)
-
-
-def _mine(sources: list[tuple[str, int, DataFrame]], positives: DataFrame, skills: DataFrame, threshold: float) -> Mined:
-    kept: DataFrame | None = None
-    out: DataFrame | None = None
-    for source, target, rows in sources:
-        gone = None if kept is None else kept.select("query_id", "skill_id").unionByName(out.select("query_id", "skill_id"))
-        fresh = rows if gone is None else rows.join(gone, ["query_id", "skill_id"], "left_anti")
-        flagged = flag_identity(fresh.join(positives, "query_id"), skills, threshold).withColumn("passes", F.col("reason").isNull())
-        seen = cut(scan(flagged, target).withColumn("source", F.lit(source)))
-        good = seen.where("passes").select("query_id", "skill_id", "source", "score", "position")
-        bad = seen.where("not passes").select("query_id", "skill_id", "reason", "source")
-        kept = good if kept is None else kept.unionByName(good)
-        out = bad if out is None else out.unionByName(bad)
-    return Mined(kept, out)
+    rows = asked.join(there, "bucket").select("query_id", "skill_id", F.lit(0.0).alias("score"), place.cast("long").alias("position"))
+    return rows.where(F.col("position") <= width), width >= size
 
 
 def unfilled(mined: Mined, queries: DataFrame, sources=LOCAL_SOURCES) -> DataFrame:
@@ -199,30 +248,28 @@ class MultiMined(NamedTuple):
 def mine_multi(queries: DataFrame, skills: DataFrame, semantic: DataFrame, embeddings: DataFrame, seed: int = 42, threshold: float = 0.85, false_negative: float = 0.95, head: int = 256, prefix: int = 64, tokenize=text.tokens) -> MultiMined:
     """Negatives of queries with several positives; a candidate must pass both filters against every positive.
 
-    ``queries``: query_id, query, positives (array). Sources are scanned on until their quota is filled. Reviews are the
+    ``queries``: query_id, query, positives (array). Sources are scanned on until their quota is filled or their list ends (the
+    whole pool or category; of ``semantic`` the rows given). Reviews are the
     candidates that were scanned and fell to the false-negative filter, once to a query, by the source that met them first.
     """
     pool = skills.where("skill_id <> ''")
     each = queries.select("query_id", F.explode("positives").alias("positive_skill_id"))
-    lexical = bm25.rank(pool, text.search_text("name", "description", "body"), queries, "query", head, tokenize=tokenize).join(pool.select("pool_idx", "skill_id"), "pool_idx").select("query_id", "skill_id", "score", "rank")
-    keyed = pool.select("skill_id", text.category("category", "skill_id").alias("category"))
-    mates = each.join(keyed.withColumnRenamed("skill_id", "positive_skill_id"), "positive_skill_id").select("query_id", "category").distinct().join(keyed, "category")
-    lists = {
-        "semantic": semantic.select("query_id", "skill_id", "score", "position"),
-        "bm25": head_then_rest(lexical, queries, pool, prefix),
-        "same_category": _shuffled(mates.select("query_id", "skill_id"), seed, "category", prefix),
-        "random": _random(queries, pool, seed, prefix),
-    }
+    lists = _lists(queries, each, pool, seed, head, prefix, tokenize)
+    given = semantic.select("query_id", "skill_id", "score", "position")
+    lists["semantic"] = lambda asked, width: (given, True)
     kept: DataFrame | None = each.select("query_id", F.col("positive_skill_id").alias("skill_id"))
     negatives: DataFrame | None = None
     reviews: DataFrame | None = None
     for source, quota in MERGED_SOURCES:
-        fresh = lists[source].join(kept, ["query_id", "skill_id"], "left_anti").withColumn("source", F.lit(source))
-        flagged = flag_identity(fresh.join(each, "query_id"), pool, threshold)
-        passed = cut(flagged.groupBy("query_id", "skill_id", "source", "score", "position").agg(F.bool_and(F.col("reason").isNull()).alias("own")))
-        split = filter_false_negatives(passed.where("own").join(queries.select("query_id", "positives"), "query_id"), embeddings, false_negative, "selected_all_sources")
-        marked = passed.join(split.removed.select("query_id", "skill_id", F.struct("positive_skill_id", F.col("score").alias("similarity")).alias("hit")), ["query_id", "skill_id"], "left").withColumn("passes", F.col("own") & F.col("hit").isNull())
-        seen = cut(scan(marked, quota))
+
+        def mark(rows: DataFrame, kept=kept, source=source) -> DataFrame:
+            fresh = rows.join(kept, ["query_id", "skill_id"], "left_anti").withColumn("source", F.lit(source))
+            flagged = flag_identity(fresh.join(each, "query_id"), pool, threshold)
+            passed = cut(flagged.groupBy("query_id", "skill_id", "source", "score", "position").agg(F.bool_and(F.col("reason").isNull()).alias("own")))
+            split = filter_false_negatives(passed.where("own").join(queries.select("query_id", "positives"), "query_id"), embeddings, false_negative, "selected_all_sources")
+            return passed.join(split.removed.select("query_id", "skill_id", F.struct("positive_skill_id", F.col("score").alias("similarity")).alias("hit")), ["query_id", "skill_id"], "left").withColumn("passes", F.col("own") & F.col("hit").isNull())
+
+        seen = _filled(lists[source], queries.select("query_id"), mark, quota, prefix)
         good = seen.where("passes").select("query_id", "skill_id", "source", "score", "position")
         review = seen.where("own and hit is not null").select("query_id", "skill_id", "source", F.col("hit.positive_skill_id").alias("positive_skill_id"), F.col("hit.similarity").alias("score"))
         kept = kept.unionByName(good.select("query_id", "skill_id"))

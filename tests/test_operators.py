@@ -66,6 +66,35 @@ def test_scan_keeps_the_prefix_up_to_the_target(spark):
     assert sorted(r.position for r in negatives.scan(rows, 2).collect()) == [0, 1, 2]
 
 
+def _copies(spark):
+    """Far more copies of the positive than head and prefix hold, and nine skills that differ, last by skill_id."""
+    body = "the quick brown fox jumps over the lazy dog"
+    rows = [(f"a{n:03}", f"copy {n}", body, "c", n) for n in range(400)] + [(f"z{n}", f"other {n}", f"{n} nothing of the kind {n * 7919}", "c" if n < 5 else "d", 400 + n) for n in range(9)]
+    return spark.createDataFrame(rows, "skill_id string, name string, body string, category string, pool_idx long").withColumn("description", F.lit(""))
+
+
+def test_quotas_are_filled_behind_many_copies(spark):
+    skills = _copies(spark)
+    asked = spark.createDataFrame([("q1", "quick brown fox", "a007"), ("q2", "lazy dog", "a399"), ("q3", "other", "z0")], "query_id string, query string, positive_skill_id string")
+    mined = negatives.mine_local(asked, skills, head=4, prefix=4)
+    assert negatives.unfilled(mined, asked).count() == 0
+    rows = mined.negatives.collect()
+    assert all(r.skill_id[0] == "z" for r in rows if r.query_id != "q3") and len({(r.query_id, r.skill_id) for r in rows}) == len(rows) == 18
+    out = mined.filtered.groupBy("query_id", "skill_id").count()
+    assert out.where("count > 1").count() == 0
+    several = asked.where("query_id <> 'q3'").select("query_id", "query", F.array("positive_skill_id").alias("positives"))
+    vectors = skills.select("skill_id", F.when(F.col("category") == "c", F.array(F.lit(1.0), (F.col("pool_idx") >= 400).cast("double"))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("embedding"))
+    none = spark.createDataFrame([], "query_id string, skill_id string, score double, position long")
+    many = negatives.mine_multi(several, skills, none, vectors, false_negative=0.95, head=4, prefix=4)
+    assert {(r.query_id, r.source): r["count"] for r in many.negatives.groupBy("query_id", "source").count().collect()} == {(q, s): n for q in ("q1", "q2") for s, n in negatives.LOCAL_SOURCES}
+
+
+def test_wide_prefixes_are_numbered_by_id(spark):
+    skills = spark.range(9000).select(F.format_string("s%05d", F.pmod(F.col("id") * 7, F.lit(9000))).alias("skill_id"))
+    got = negatives._first_ids(skills, 5000).collect()
+    assert sorted((r.at, r.skill_id) for r in got) == [(n + 1, f"s{n:05}") for n in range(5000)]
+
+
 def test_merge_lets_a_later_source_take_what_was_beyond_a_quota(spark):
     rows = [("q", "semantic", f"s{i}", 0.0, i) for i in range(6)] + [("q", "bm25", "s5", 0.0, 0), ("q", "bm25", "s0", 0.0, 1), ("q", "random", "r", 0.0, 0)]
     c = spark.createDataFrame(rows, "query_id string, source string, skill_id string, score double, position int")
