@@ -356,7 +356,7 @@ def merge_sources(spark, sf):
 @query()
 def semantic_negatives(spark, sf):
     v = roles.vectors(spark, sf)
-    asked = roles.table(spark, sf, "embeddings").where("vec_id % 25 = 0").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), "embedding", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("positive_skill_id"))
+    asked = roles.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), "embedding", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("positive_skill_id"))
     top = dense.semantic_topk(asked.select("query_id", "embedding"), v.select("pool_idx", "embedding"), 50).select("query_id", F.concat(F.lit("v"), F.col("pool_idx").cast("string")).alias("skill_id"), "score", F.col("rank").cast("long").alias("position"))
     local = top.where("position % 5 = 0").withColumn("source", F.when(F.col("position") % 3 == 0, "bm25").when(F.col("position") % 3 == 1, "same_category").otherwise("random"))
     out = negatives.mine_semantic(local, top, asked.select("query_id", "positive_skill_id"), v.select("skill_id", "embedding"), 0.3)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import fixed
 from tessella.operators import bm25, contracts, dense, fusion, generation, graph, metrics, negatives, sampling, training
+from tessella.plans import queries
 from tessella.sources import jsonl
 from tessella.streaming import incremental
 
@@ -89,6 +90,29 @@ def test_quotas_are_filled_behind_many_copies(spark):
     assert {(r.query_id, r.source): r["count"] for r in many.negatives.groupBy("query_id", "source").count().collect()} == {(q, s): n for q in ("q1", "q2") for s, n in negatives.LOCAL_SOURCES}
 
 
+def test_semantic_negatives_of_every_twentieth_vector(spark):
+    import numpy as np
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    m = np.array([r.embedding for r in rows], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids = [r.vec_id for r in rows]
+    want = set()
+    for n, key in enumerate(ids):
+        if key % 20 == 0:
+            scores = m @ m[n]
+            order = sorted(range(len(ids)), key=lambda x: (-round(scores[x], 6), x))[:50]
+            local = [(x, ("bm25", "same_category", "random")[(p % 3)]) for p, x in enumerate(order, 1) if p % 5 == 0]
+            taken = {}
+            for source, quota in negatives.MERGED_SOURCES:
+                found = [x for x in order if x != n and x not in taken] if source == "semantic" else [x for x, s in local if s == source and x != n and x not in taken]
+                taken |= dict.fromkeys(found[:quota], source)
+            want |= {(f"q{key}", f"v{ids[x]}", "embedding_false_negative" if round(scores[x], 6) >= 0.3 else s) for x, s in taken.items()}
+    got = queries.QUERIES["semantic_negatives"](spark, sf).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and {q for q, _, _ in want} == {f"q{k}" for k in ids if k % 20 == 0}
+
+
 def test_wide_prefixes_are_numbered_by_id(spark):
     skills = spark.range(9000).select(F.format_string("s%05d", F.pmod(F.col("id") * 7, F.lit(9000))).alias("skill_id"))
     got = negatives._first_ids(skills, 5000).collect()
