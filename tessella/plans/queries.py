@@ -367,8 +367,10 @@ def semantic_negatives(spark, sf):
 def multi_negatives(spark, sf):
     v = roles.vectors(spark, sf).select("skill_id", "embedding", "pool_idx")
     pool = roles.pool(spark, sf).join(v.select("pool_idx", "embedding"), "pool_idx")
-    golds = pool.select("skill_id", F.col("pool_idx").alias("at"), (F.col("pool_idx") % 20).alias("g"))
-    asked = roles.tasks(spark, sf).where("item_id < 20").join(golds.groupBy("g").agg(F.slice(F.array_sort(F.collect_list("skill_id")), 1, 2).alias("positives")), F.col("item_id") == F.col("g")).select("query_id", "query", "positives", "item_id")
+    golds = pool.select("skill_id", (F.col("pool_idx") % 20).alias("g"))
+    first = golds.groupBy("g").agg(F.min("skill_id").alias("a"))
+    both = golds.join(F.broadcast(first), "g").groupBy("g", "a").agg(F.min(F.when(F.col("skill_id") > F.col("a"), F.col("skill_id"))).alias("b"))
+    asked = roles.tasks(spark, sf).join(F.broadcast(both), F.col("item_id") % 20 == F.col("g")).select("query_id", "query", F.array_compact(F.array("a", "b")).alias("positives"), "item_id")
     vec = asked.join(v.select("pool_idx", "embedding"), F.col("item_id") == F.col("pool_idx")).select("query_id", "embedding")
     names = pool.select("pool_idx", "skill_id")
     semantic = dense.semantic_topk(vec, pool.select("pool_idx", "embedding"), 64).join(names, "pool_idx").select("query_id", "skill_id", "score", F.col("rank").cast("long").alias("position"))

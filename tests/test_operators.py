@@ -113,6 +113,31 @@ def test_semantic_negatives_of_every_twentieth_vector(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want) and {q for q, _, _ in want} == {f"q{k}" for k in ids if k % 20 == 0}
 
 
+def test_multi_negatives_of_every_task(spark):
+    import numpy as np
+
+    sf = "/root/testdata/sf0.001"
+    pool = queries.roles.pool(spark, sf).collect()
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    vectors = {k: v / np.linalg.norm(v) for k, v in vectors.items()}
+    pool = {r.pool_idx: r.skill_id for r in pool if r.pool_idx in vectors}
+    asked = {r.query_id: r.item_id for r in queries.roles.tasks(spark, sf).collect()}
+    positives = {q: sorted(s for i, s in pool.items() if i % 20 == n % 20)[:2] for q, n in asked.items()}
+    at = {s: i for i, s in pool.items()}
+    pairs = spark.createDataFrame([(q, p, s) for q in asked for p in positives[q] for s in at], "query_id string, positive_skill_id string, skill_id string")
+    same = {(r.query_id, r.skill_id) for r in negatives.flag_identity(pairs, queries.roles.pool(spark, sf)).where("reason is not null").collect()}
+    want = set()
+    for q, n in asked.items():
+        order = sorted(pool, key=lambda i: (-round(float(vectors[i] @ vectors[n]), 6), i))[:64]
+        near = lambda i: any(round(float(vectors[i] @ vectors[at[p]]), 6) >= 0.35 for p in positives[q])  # noqa: E731, B023
+        fits = [pool[i] for i in order if pool[i] not in positives[q] and (q, pool[i]) not in same and not near(i)]
+        want |= {(q, s) for s in fits[:4]}
+    rows = queries.QUERIES["multi_negatives"](spark, sf).collect()
+    assert {(r.query_id, r.skill_id) for r in rows if r.state == "semantic"} == want
+    quotas = dict(negatives.MERGED_SOURCES)
+    assert all(sum(r.query_id == q and r.state == s for r in rows) == k for q in asked for s, k in quotas.items())
+
+
 def test_wide_prefixes_are_numbered_by_id(spark):
     skills = spark.range(9000).select(F.format_string("s%05d", F.pmod(F.col("id") * 7, F.lit(9000))).alias("skill_id"))
     got = negatives._first_ids(skills, 5000).collect()
