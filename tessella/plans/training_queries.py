@@ -123,9 +123,12 @@ def fuzzy_duplicates(spark, sf):
     def same(a, b):
         return a.combine(b, lambda x, y: ev.same_statement(x, y, False))
 
-    docs = roles.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("a"))
+    # sentence by sentence of the whole texts; one that has no counterpart is the same as none
+    docs = roles.table(spark, sf, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|\n+").alias("a"))
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    return docs.join(after, "doc_id").select("doc_id", same("a", "b").alias("same"))
+    each = docs.join(after, "doc_id").select("doc_id", F.posexplode(F.arrays_zip("a", "b")).alias("at", "x"))
+    text = lambda f: F.coalesce(F.col("x")[f], F.lit(""))
+    return each.select("doc_id", "at", same(text("a"), text("b")).alias("same"))
 
 
 def _answers(spark, sf):

@@ -138,6 +138,22 @@ def test_multi_negatives_of_every_task(spark):
     assert all(sum(r.query_id == q and r.state == s for r in rows) == k for q in asked for s, k in quotas.items())
 
 
+def test_fuzzy_duplicates_judge_every_sentence(spark, tmp_path):
+    import re
+    from itertools import zip_longest
+
+    import __spark_entry__
+    from tessella.functions import evidence as ev
+
+    start = "The first sentence is of some length. " * 8
+    rows = [(1, start + "It must be valid JSON."), (2, start + "Nothing else at all. More."), (3, "Other words begin here. " + start), (4, None), (5, "x" * 300), (6, "x" * 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    parts = {i: re.split(r"(?<=[.!?])\s+|\n+", t or "") for i, t in rows}
+    want = {(i, n, ev.same_statement(a, b, False)) for i in range(1, 6) for n, (a, b) in enumerate(zip_longest(parts[i], parts[i + 1], fillvalue=""))}
+    got = [tuple(r) for r in __spark_entry__.queries()["fuzzy_duplicates"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and {(1, 0, True), (1, 8, False), (5, 0, True)} <= want
+
+
 def test_wide_prefixes_are_numbered_by_id(spark):
     skills = spark.range(9000).select(F.format_string("s%05d", F.pmod(F.col("id") * 7, F.lit(9000))).alias("skill_id"))
     got = negatives._first_ids(skills, 5000).collect()
