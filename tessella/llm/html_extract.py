@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -237,7 +238,8 @@ def node_features(tree: Tree) -> np.ndarray:
             before[k[1:]] = texts[:-1]
             after[k[:-1]] = texts[1:]
             names = [nodes[c].tag for c in k]
-            same[k] = [names.count(t) for t in names] if len(k) < 64 else len(k)
+            times = Counter(names)
+            same[k] = [times[t] for t in names]
     depth = np.array([x.depth for x in nodes], float)
     kids = np.array([len(x.kids) for x in nodes], float)
     columns = [depth, np.minimum(kids, 20), np.minimum(np.log1p(own), 6), np.minimum(np.log1p(all_text), 8), np.minimum(np.log1p(size), 4), all_text / total, np.minimum(all_text / size, 500), all_link / np.maximum(1, all_text), all_links / size, own / np.maximum(1, all_text), np.minimum(np.log1p(before), 6), np.minimum(np.log1p(after), 6), place, np.minimum(same, 12), all_text / np.maximum(1, all_text[up]), all_text[up] / total, all_link[up] / np.maximum(1, all_text[up]), good, above_good]

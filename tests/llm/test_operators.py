@@ -267,6 +267,14 @@ def test_main_text_of_pages(spark, model):
     assert html_extract.extract(pages.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 63, 64, 200])
+def test_a_lone_child_has_no_equal_siblings(n):
+    tree = html_extract.Tree("<html><body><div>" + "<p>some words of a paragraph</p>" * n + "<h2>a heading</h2></div></body></html>")
+    same = html_extract.node_features(tree)[:, 13]
+    tags = [x.tag for x in tree.nodes]
+    assert tags.count("p") == n and {same[i] for i, t in enumerate(tags) if t == "p"} == {min(n, 12)} and same[tags.index("h2")] == 1
+
+
 def test_main_text_of_held_out_pages(model):
     right = total = 0
     for page, marker in html_pages.labelled_pages(60, seed=11):
