@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +78,29 @@ def text_batches(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str,
         yield pa.array(ids, keys.type), texts
 
 
+_STATE: dict = {}
+
+
+def worker_state(operator: str, make: Callable[[], object] | None = None):
+    """What an operator keeps from task to task in a Python worker, such as its caches: one operator's at a time.
+
+    Workers serve one stage after another; what the last operator kept goes before the next one fills its own.
+    """
+    if operator not in _STATE:
+        if _STATE:
+            _STATE.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only; without it memory is given back later
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _STATE[operator] = make() if make else None
+    return _STATE[operator]
+
+
+def arrow_type(kind: str) -> pa.DataType:
+    """The Arrow type of an id column's Spark type."""
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the key and the text, under fixed names, so that no other column of the input can clash."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

@@ -2,26 +2,33 @@
 
 Words are runs of characters other than blank and U+0009 to U+000D after lower-casing A-Z; a document's set holds its
 distinct ``k``-word shingles as 64-bit hashes (with fewer words, the whole sequence is one shingle; without words the set
-is empty and links with nothing). Two sets link when ``den * |x & y| >= num * |x | y|``.
-
-1. One pass hashes every text to its set: (id, size, hash of the set), and marks every shingle that two different sets of
-   one batch of texts hold. The marks are a bit map of ``2 ** MARK_BITS`` bits, joined over all tasks and broadcast at
-   that fixed size. It gives global order A: unmarked (rare) shingles first, then by hash.
-2. Identical sets become one node, the smallest id among them. A second pass writes each node's prefix under order A:
-   any two linked sets of n shingles share one of the first ``n - ceil(num * n / den) + 1``. Copies are skipped inside a
-   task, so a group of copies leaves at most one posting a task. Tokens that one set alone holds are dropped.
-3. Candidate pairs come from tokens still shared by different components. Two pivot rounds pair every node of a token with
-   one pivot only, which joins large groups of near copies by stars; a last round pairs what is still apart. Pairs must
-   pass the size filter and share a prefix token under two more orders, B and C (keyed permutations of the hash), before
-   their sets are intersected exactly. Every pair that could link is verified or already connected.
-4. Links give components by minimum labels and pointer jumping, then the component goes back to every row of a node.
-
-Hot tokens and hot sets are salted in joins; nothing that grows with the input goes to the driver. Stage tables are in
-the shared folder. A wrong result needs a collision of 64-bit hashes within one pair of sets (or of set hashes at equal
-size): with a billion pairs the chance is far below one in a thousand.
-
-Null text is empty. Rows with the same id are one node and link if any of them does. Empty tables give no rows. Columns
-other than id and text are not read.
+is empty and links with nothing). Two sets link when ``den * |x & y| >= num * |x | y|``. Rows of equal sets are one node,
+named by the hash of the set.
+
+1. One pass hashes every text to its set: (id, size, hash of the set, and a sketch of 256 bits that holds the parity of the
+   shingles falling on each bit, so two sets differ in at least as many shingles as bits), and marks every shingle that
+   two different sets of one batch of texts hold. The marks are a bit map of ``2 ** MARK_BITS`` bits, joined over all tasks and broadcast at
+   that fixed size. Global order A puts unmarked (rare) shingles first, then goes by hash; orders B and C have the same
+   two classes and go by two keyed permutations of the hash.
+2. A second pass writes each set's prefix under order A: any two linked sets of n shingles share one of the first
+   ``n - ceil(num * n / den) + 1``. Postings (token, set, size, place) travel packed, many to a row, to the bucket of their
+   token; a bucket keeps those of tokens that two different sets hold. Copies are skipped inside a task.
+3. Candidate pairs share a token and lie in different components. Two pivot rounds pair the nodes of a token with one
+   pivot only, by their first tokens, which joins large groups of near copies by stars; a last round pairs all that is
+   still apart under every token. The join's own condition holds the filters on size, on the places of the token (what is
+   left behind it in either set must suffice) and on the sketches, so pairs that fail them are never emitted.
+4. The ends of these pairs, few of all sets, are worked out once more from the text of one row each: the pairs must share a
+   prefix token under B and one under C; then the sets are intersected exactly.
+5. Links give components by minimum labels and pointer jumping, and a component's smallest id goes to its rows.
+
+Every pair that could link is verified or already connected. Hot tokens, sets and components are salted or aggregated
+before they are joined; nothing that grows with the input goes to the driver. Stage tables are in the shared folder. A
+wrong result needs a collision of 64-bit hashes within one pair of sets, or of two sets' hashes: with a billion different
+sets the chance of one such is about three in a hundred.
+
+Null text is empty. Rows that repeat an id are nodes of their own. A row without id has a size, links with nothing and has
+a null component. Very long texts are hashed whole; one text is the least that a batch holds. Empty tables give no rows.
+Columns other than id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -32,17 +39,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import StageTables, text_batches, two_columns
+from tessella.llm.common import StageTables, arrow_type, text_batches, two_columns, worker_state
 
 MARK_BITS = 26
 SEEN_SETS = 1_000_000
-BROADCAST_NODES = 1_000_000
+BROADCAST_NODES = 500_000
 HOT_SHARE = 2000
 SALTS = 64
+PIVOT_TURNS = 2
+#: Of a set's shared tokens, those that pivot rounds use.
+PIVOT_TOKENS = 4
+#: Postings that a bucket's reducer takes in before it sorts them.
+POSTINGS_AT_ONCE = 1_000_000
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_B, _C = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 @dataclass(frozen=True)
@@ -56,6 +69,17 @@ class Rule:
     def prefix(self, n: int) -> int:
         return n - -(-self.num * n // self.den) + 1
 
+    def near(self, n: str, m: str, at: str, other_at: str) -> Column:
+        """Filters on the sizes and on the places (from 0) of the first shared token in both sets."""
+        x, y = F.col(n).cast("long"), F.col(m).cast("long")
+        left = F.least(x - F.col(at), y - F.col(other_at))
+        return (F.least(x, y) * self.den >= F.greatest(x, y) * self.num) & (left * (self.num + self.den) >= (x + y) * self.num)
+
+    def alike(self, n: str, m: str) -> Column:
+        """Filter on the sketches: linked sets differ in at most (den - num) / (den + num) of both sizes together."""
+        bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(4)), F.lit(0))
+        return bits.cast("long") * (self.num + self.den) <= (F.col(n) + F.col(m)).cast("long") * (self.den - self.num)
+
     def alone(self, n: int) -> bool:
         """Whether only an identical set can link: even one shingle more beside ``n`` shared ones is too many."""
         return n == 0 or self.den * n < self.num * (n + 1)
@@ -98,16 +122,21 @@ def add_marks(marks: np.ndarray, sets: list[np.ndarray]) -> None:
     np.bitwise_or.at(marks, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
 
 
-def order_a(s: np.ndarray, marks: np.ndarray) -> np.ndarray:
+def ordered(s: np.ndarray, marks: np.ndarray, n: int, key: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """The first ``n`` shingles under a global order: unmarked ones first, then by hash (A) or its permutation by ``key``."""
     at = mark_at(s)
     common = (marks[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-    return np.concatenate([s[~common], s[common]])  # sets are sorted by hash
+    if key:
+        s = mix((s ^ key) * _P1)
+        by = np.argsort(s, kind="stable")
+        s, common = s[by], common[by]
+    return np.concatenate([s[~common], s[common]])[:n]
 
 
-def permuted(s: np.ndarray, key: int, n: int) -> np.ndarray:
-    """The first ``n`` values of the set under the order of a keyed permutation."""
-    p = mix((s ^ np.uint64(key)) * _P1)
-    return np.partition(p, n - 1)[:n] if n < len(p) else p
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Four longs: the parity of the number of shingles on each of 256 bits."""
+    bits = np.bincount((s >> np.uint64(41)).astype(np.int64) & 255, minlength=256).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
 
 
 def similarity_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,52 +147,62 @@ def similarity_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "d
     tables = StageTables(spark, "jaccard")
     facts, marks = _facts(rows, kind, rule, tables)
     shared = spark.sparkContext.broadcast(marks.tobytes())
-    nodes = tables.put("nodes", facts.where("n > 0").groupBy("set", "n").agg(F.min("doc_id").alias("node")))
-    prefixes = _prefixes(rows, rule, shared, tables)
-    postings = _shared_postings(prefixes, nodes, tables)
-    labels = _link(rows, kind, postings, prefixes, nodes, rule, tables)
-    named = nodes.join(labels, nodes["node"] == labels["id"], "left").select("set", "n", F.coalesce("label", "node").alias("component_id"))
-    salted = facts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS * 4)))
-    spread = salted.where("n > 0").select("set", "n", "salt").distinct().join(named, ["set", "n"])
-    out = tables.put("result", salted.join(spread, ["set", "n", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
-    for t in ("facts", "nodes", "prefixes", "shared"):
+    nodes = tables.put("nodes", facts.where("set is not null").groupBy("set", "n").agg(F.min("doc_id").alias("doc_id"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4))))
+    postings = _shared_postings(rows, nodes, rule, shared, tables)
+    labels = _link(rows, nodes, postings, rule, shared, tables)
+    out = tables.put("result", _named(facts, labels))
+    shared.unpersist()
+    for t in ("facts", "nodes", "postings", "labels"):
         tables.drop(t)
     return out
 
 
+def _named(facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row with the smallest id of its component; components are aggregated to (component, salt) first."""
+    named = facts.join(_few(labels), facts["set"] == labels["id"], "left").select("doc_id", "n", F.coalesce("label", "set").alias("component"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS * 4)).alias("salt"))
+    part = named.where("component is not null").groupBy("component", "salt").agg(F.min("doc_id").alias("least"))
+    spread = part.select("component", "salt").join(part.groupBy("component").agg(F.min("least").alias("component_id")), "component")
+    return named.join(spread, ["component", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def _facts(rows: DataFrame, kind: str, rule: Rule, tables: StageTables) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("jaccard_join")
         marks = np.zeros(1 << (MARK_BITS - 6), np.uint64)
-        for ids, texts in text_batches(batches, "doc_id", "text"):
+        for ids, texts in text_batches(batches, "doc_id", "text", 2_000_000):
             sets = [shingles(t, rule.k) for t in texts]
-            hashes = [set_hash(s) if len(s) else None for s in sets]
+            hashes = [set_hash(s) if len(s) and i.is_valid else None for i, s in zip(ids, sets)]
             add_marks(marks, list({h: s for h, s in zip(hashes, sets) if h is not None}.values()))
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": n, "set": pa.array(hashes, pa.int64()), "mark": pa.array([False] * len(ids), pa.bool_())})
+            bits = np.concatenate([sketch(s) for s in sets]).reshape(-1, 4)
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": n, "set": pa.array(hashes, pa.int64()), "mark": pa.array([False] * len(ids), pa.bool_()), **{f"s{i}": bits[:, i].copy() for i in range(4)}})
         at = np.flatnonzero(marks)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None] * len(at), _arrow(kind)), "n": at, "set": signed(marks[at]), "mark": pa.array([True] * len(at), pa.bool_())})
+        for part in np.array_split(at, max(1, len(at) // 100_000)):
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(part), arrow_type(kind)), "n": part, "set": signed(marks[part]), "mark": pa.array([True] * len(part), pa.bool_()), **{f"s{i}": np.zeros(len(part), np.int64) for i in range(4)}})
 
-    both = tables.put("facts", rows.mapInArrow(run, f"doc_id {kind}, n long, set long, mark boolean"))
+    both = tables.put("facts", rows.mapInArrow(run, f"doc_id {kind}, n long, set long, mark boolean, s0 long, s1 long, s2 long, s3 long"))
     marks = np.zeros(1 << (MARK_BITS - 6), np.uint64)
     got = both.where("mark").groupBy("n").agg(F.bit_or("set").alias("bits")).toPandas()
     marks[got["n"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return both.where("not mark").drop("mark"), marks
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+_POSTING = [("token", np.uint64), ("set", np.int64), ("n", np.int32), ("at", np.int32)]
 
 
-def _prefixes(rows: DataFrame, rule: Rule, shared, tables: StageTables) -> DataFrame:
-    """(set, n, a, b, c): prefixes of every different set of a task under the three orders.
+def _shared_postings(rows: DataFrame, nodes: DataFrame, rule: Rule, shared, tables: StageTables) -> DataFrame:
+    """(token, set, n, at, s0..s3, nth): prefix postings under order A of tokens that at least two different sets hold.
 
-    Values under orders B and C are cut to 16 bits: an overlap is never missed, and a false one only costs a verification.
+    ``nth`` is the token's place among the shared ones of its set.
     """
+    tokens = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * F.lit(rule.num) / F.lit(rule.den)) + 1)).first()[0] or 0
+    buckets = max(2 * int(tables.spark.conf.get("spark.sql.shuffle.partitions")), int(tokens) // POSTINGS_AT_ONCE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("jaccard_join")
         marks, seen = np.frombuffer(shared.value, np.uint64), set()
-        for _, texts in text_batches(batches, "doc_id", "text", 1_000_000):
-            keys, sizes, a, b, c = [], [], [], [], []
+        for _, texts in text_batches(batches, "doc_id", "text", 2_000_000):
+            keys, sizes, prefixes = [], [], []
             for t in texts:
                 s = shingles(t, rule.k)
                 if rule.alone(len(s)) or (key := set_hash(s)) in seen:
@@ -173,38 +212,66 @@ def _prefixes(rows: DataFrame, rule: Rule, shared, tables: StageTables) -> DataF
                 seen.add(key)
                 keys.append(key)
                 sizes.append(len(s))
-                n = rule.prefix(len(s))
-                a.append(signed(order_a(s, marks)[:n]))
-                b.append(permuted(s, 0x5851F42D4C957F2D, n).astype(np.uint16).view(np.int16))
-                c.append(permuted(s, 0x14057B7EF767814F, n).astype(np.uint16).view(np.int16))
-            yield pa.RecordBatch.from_pydict({"set": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int32()), "a": pa.array(a, pa.list_(pa.int64())), "b": pa.array(b, pa.list_(pa.int16())), "c": pa.array(c, pa.list_(pa.int16()))})
-
-    return tables.put("prefixes", rows.mapInArrow(run, "set long, n int, a array<long>, b array<short>, c array<short>"), codec="lz4")
-
-
-def _shared_postings(prefixes: DataFrame, nodes: DataFrame, tables: StageTables) -> DataFrame:
-    """(token, node, n): prefix postings under order A of tokens that at least two different sets hold."""
-    postings = prefixes.select(F.explode("a").alias("token"), "set", "n")
-    stats = postings.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count("*").alias("times")).where("low <> high")
-    stats = tables.put("stats", stats.select("token", "times"))
-    live = _salted(postings, stats, "set").drop("times").distinct()
-    out = tables.put("shared", live.join(nodes, ["set", "n"]).select("token", "node", "n").distinct())
-    tables.drop("stats")
-    return out
-
-
-def _salted(left: DataFrame, tokens: DataFrame, spread_by: str) -> DataFrame:
-    """Inner join on ``token``. A token with over 1/``HOT_SHARE`` of all postings of shared tokens is salted.
-
-    There are at most ``HOT_SHARE`` such tokens, so their list can be broadcast.
-    """
-    total = tokens.agg(F.sum("times")).first()[0] or 0
-    hot = F.broadcast(tokens.where(F.col("times") > max(1000, total // HOT_SHARE)).select("token", F.lit(True).alias("hot")))
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
-    salted = left.join(hot, "token", "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copies = tokens.join(hot, "token", "left").withColumn("salt", F.explode(salts)).drop("hot")
-    return salted.join(copies.hint("shuffle_hash"), ["token", "salt"]).drop("salt")
+                prefixes.append(ordered(s, marks, rule.prefix(len(s))))
+            if not keys:
+                continue
+            long = np.array([len(x) for x in prefixes])
+            token = np.concatenate(prefixes)
+            columns = (token, np.repeat(np.array(keys, np.int64), long), np.repeat(np.array(sizes, np.int32), long), (np.arange(len(token)) - np.repeat(np.cumsum(long) - long, long)).astype(np.int32))
+            bucket = ((token >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            names, starts = np.unique(bucket[by], return_index=True)
+            cuts = [*starts.tolist(), len(by)]
+            packed = {name: pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for (name, _), c in zip(_POSTING, (c[by] for c in columns))}
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int64()), **packed})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("jaccard_join")
+        reduce = SharedTokens()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                reduce.add([np.frombuffer(batch.column(i + 1)[row].as_py(), kind) for i, (_, kind) in enumerate(_POSTING)])
+                if reduce.waiting >= POSTINGS_AT_ONCE:
+                    yield reduce.emit()
+        yield reduce.emit()
+
+    dealt = rows.mapInArrow(deal, "bucket long, token binary, set binary, n binary, at binary").repartition("bucket")
+    found = dealt.mapInArrow(gather, "token long, set long, n int, at int").dropDuplicates(["token", "set"])
+    nth = F.row_number().over(Window.partitionBy("set").orderBy("at", "token"))
+    return tables.put("postings", found.join(nodes.drop("doc_id", "n"), "set").withColumn("nth", nth))
+
+
+class SharedTokens:
+    """Postings in, postings of tokens that two sets hold out. Keeps one posting of each token that it has met."""
+
+    def __init__(self):
+        self.known = [np.zeros(0, kind) for _, kind in _POSTING]
+        self.emitted = np.zeros(0, bool)
+        self.new: list[list[np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, columns: list[np.ndarray]) -> None:
+        self.new.append(columns)
+        self.waiting += len(columns[0])
+
+    def emit(self) -> pa.RecordBatch:
+        """The postings taken in since the last call, and the kept ones of tokens that became shared by them."""
+        token, sets, n, at = (np.concatenate([old, *x]) for old, x in zip(self.known, zip(*self.new) if self.new else [()] * 4))
+        out = np.zeros(len(token), bool)
+        out[: len(self.emitted)] = self.emitted
+        self.new, self.waiting = [], 0
+        by = np.lexsort((sets, token))
+        token, sets, n, at, out = token[by], sets[by], n[by], at[by], out[by]
+        first = np.append(True, token[1:] != token[:-1])[: len(token)]
+        starts = np.flatnonzero(first)
+        group = np.cumsum(first) - 1
+        other = np.append(False, (sets[1:] != sets[:-1]) & ~first[1:])[: len(token)]
+        both = np.zeros(len(starts), bool)
+        both[group[other | out]] = True
+        give = both[group] & ~out
+        batch = pa.RecordBatch.from_pydict({"token": signed(token[give]), "set": sets[give], "n": n[give], "at": at[give]})
+        self.known, self.emitted = [x[starts] for x in (token, sets, n, at)], both
+        return batch
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -212,99 +279,122 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else ids
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+def _held(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, rule: Rule, shared, tables: StageTables) -> DataFrame:
+    """(set, b, c, shingles) of every end of the pairs, from the text of one of its rows.
 
+    Values under orders B and C are cut to 16 bits: an overlap is never missed, and a false one only costs a verification.
+    """
+    ends = tables.put("ends", pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct())
+    one = tables.put("one", nodes.join(_few(ends), "set", "left_semi").select("set", "doc_id"))
+    texts = rows.join(_few(one), "doc_id")
 
-def share_prefixes(pairs: DataFrame, prefixes: DataFrame, nodes: DataFrame, tables: StageTables, name: str) -> DataFrame:
-    """The pairs (x, y) that share a prefix value under order B and one under order C."""
-    wanted = tables.put(f"{name}-ends", _ends(pairs))
-    known = nodes.join(_few(wanted), "node", "left_semi")
-    light = prefixes.join(_few(known), ["set", "n"]).groupBy("node").agg(F.first("b").alias("b"), F.first("c").alias("c"))
-    near = pairs.join(light.toDF("x", "bx", "cx"), "x").join(light.toDF("y", "by", "cy"), "y")
-    return tables.put(f"{name}-near", near.where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("jaccard_join")
+        marks, seen = np.frombuffer(shared.value, np.uint64), set()
+        for keys, texts in text_batches(batches, "set", "text", 1_000_000):
+            out: dict[str, list] = {x: [] for x in ("set", "b", "c", "shingles")}
+            for key, t in zip(keys.to_pylist(), texts):
+                s = shingles(t, rule.k)
+                if key in seen or not len(s) or set_hash(s) != key:  # another row of the same id
+                    continue
+                seen.add(key)
+                n = rule.prefix(len(s))
+                values = (key, *(ordered(s, marks, n, x).astype(np.uint16).view(np.int16) for x in (_B, _C)), signed(s))
+                for column, value in zip(out.values(), values):
+                    column.append(value)
+            types = [pa.int64()] + [pa.list_(pa.int16())] * 2 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_pydict({x: pa.array(v, t) for (x, v), t in zip(out.items(), types)})
+
+    held = tables.put("held", texts.select("set", "text").mapInArrow(run, "set long, b array<short>, c array<short>, shingles array<long>"), codec="lz4")
+    for t in ("ends", "one"):
+        tables.drop(t)
+    return held
 
 
-def _node_sets(rows: DataFrame, kind: str, rule: Rule, pairs: DataFrame, tables: StageTables, name: str) -> DataFrame:
-    """(node, shingles) of both ends of the pairs, from their texts."""
-    wanted = rows.join(_few(tables.put(f"{name}-wanted", _ends(pairs).withColumnRenamed("node", "doc_id"))), "doc_id", "left_semi")
+def _salted(left: DataFrame, right: DataFrame, hot: DataFrame, spread_by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``salt``: hot tokens of the left are spread over ``SALTS`` salts, those of the right copied to each."""
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    one = left.join(F.broadcast(hot), "token", "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return one, right.join(F.broadcast(hot), "token", "left").withColumn("salt", F.explode(salts)).drop("hot")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_batches(batches, "doc_id", "text", 1_000_000):
-            yield pa.RecordBatch.from_pydict({"node": ids, "shingles": pa.array([shingles(t, rule.k).tobytes() for t in texts], pa.binary())})
 
-    return tables.put(f"{name}-held", wanted.select("doc_id", "text").mapInArrow(run, f"node {kind}, shingles binary"), codec="lz4")
+def _hot(tokens: DataFrame) -> DataFrame:
+    """Tokens with over 1/``HOT_SHARE`` of all postings, ``HOT_SHARE`` at most, so their list can be broadcast."""
+    total = tokens.agg(F.sum("times")).first()[0] or 0
+    return tokens.where(F.col("times") > max(1000, total // HOT_SHARE)).select("token", F.lit(True).alias("hot"))
+
+
+_OTHER = {"set": "other", "n": "m", "at": "other_at", "label": "other_label", **{f"s{i}": f"t{i}" for i in range(4)}}
 
 
-def _link(rows: DataFrame, kind: str, postings: DataFrame, prefixes: DataFrame, nodes: DataFrame, rule: Rule, tables: StageTables) -> DataFrame:
-    """(id, label): the component of every node that has a link."""
+def _link(rows: DataFrame, nodes: DataFrame, postings: DataFrame, rule: Rule, shared, tables: StageTables) -> DataFrame:
+    """(id, label): the component of every set that has a link."""
     spark = postings.sparkSession
-    labels = spark.createDataFrame([], f"id {kind}, label {kind}")
+    labels = spark.createDataFrame([], "id long, label long")
     links: DataFrame | None = None
-    tried: DataFrame | None = None
-    current = postings.withColumn("label", F.col("node"))
-    for turn in range(3):
-        apart = current.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times"), F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), "node", "n", "label")).alias("pivot")).where("low <> high")
+    for turn in range(PIVOT_TURNS + 1):
+        last = turn == PIVOT_TURNS
+        current = postings if last else postings.where(F.col("nth") <= PIVOT_TOKENS)
+        current = current.drop("nth").join(_few(labels), F.col("set") == F.col("id"), "left").withColumn("label", F.coalesce("label", "set")).drop("id")
+        pivot = F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), *_OTHER)).alias("pivot")
+        apart = current.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times"), *([] if last else [pivot])).where("low <> high")
         apart = tables.put(f"apart{turn}", apart.drop("low", "high"))
         if apart.isEmpty():
-            break
-        if turn < 2:
-            both = _salted(current, apart, "node").select("node", "n", "label", F.col("pivot.node").alias("other"), F.col("pivot.n").alias("m"), F.col("pivot.label").alias("other_label"))
+            continue
+        hot = _hot(apart)
+        if last:
+            left, right = _all_apart(current, apart, hot, rule)
         else:
-            both = _all_apart(current, apart)
-        fits = (F.least("n", "m") * F.lit(rule.den) >= F.greatest("n", "m") * F.lit(rule.num)) & (F.col("label") != F.col("other_label"))
-        pairs = both.where(fits).select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = tables.put(f"pairs{turn}", pairs)
-        near = share_prefixes(pairs, prefixes, nodes, tables, f"turn{turn}")
-        held = _node_sets(rows, kind, rule, near, tables, f"turn{turn}")
-        new = tables.put(f"links{turn}", verify(near, held, rule))
-        tables.drop(f"turn{turn}-held")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+            left, right = _salted(current, apart.select("token", *(F.col(f"pivot.{a}").alias(b) for a, b in _OTHER.items())), hot, "set")
+        smaller = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("other") < F.col("set"))
+        both = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("label") != F.col("other_label")) & rule.near("n", "m", "at", "other_at") & rule.alike("n", "m") & (smaller if last else F.lit(True)))
+        pairs = tables.put(f"pairs{turn}", both.select(F.least("set", "other").alias("x"), F.greatest("set", "other").alias("y")).distinct())
+        held = _held(rows, nodes, pairs, rule, shared, tables)
+        new = tables.put(f"links{turn}", verify(pairs, held, rule))
+        for t in (f"apart{turn}", f"pairs{turn}", "held"):
+            tables.drop(t)
         links = new if links is None else links.unionByName(new)
-        labels = connected(links, tables, f"turn{turn}")
-        current = postings.join(labels, postings["node"] == labels["id"], "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+        labels = connected(links, tables, f"turn{turn}-")
+    if links is not None:
+        labels = tables.put("labels", labels)
     return labels
 
 
-def _all_apart(current: DataFrame, apart: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a token and lie in different components, for the tokens in ``apart``."""
-    here = _salted(current, apart.select("token", "times"), "node").select("token", "node", "n", "label")
-    there = here.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-    return here.join(there, "token").where("node < other and label <> other_label")
+def _all_apart(current: DataFrame, apart: DataFrame, hot: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the last round: all postings of tokens whose sets lie in different components, salted alike.
 
+    The right side holds the smaller set of a pair, which shares a token with any linked set within a shorter prefix.
+    """
+    left, tokens = _salted(current, apart.select("token"), hot, "set")
+    left = left.join(tokens, ["token", "salt"], "left_semi")
+    short = current.where((F.col("n") - F.col("at")).cast("long") * (rule.num + rule.den) >= F.col("n").cast("long") * (2 * rule.num))
+    _, right = _salted(apart, short, hot, "token")
+    return left, right.select("token", "salt", *(F.col(a).alias(b) for a, b in _OTHER.items()))
 
-def verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (x, y) that link, by their exact intersection."""
-    kind = pairs.schema["x"].dataType.simpleString()
-    ready = pairs.join(held.toDF("x", "sx"), "x").join(held.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                common = len(s) + len(t) - len(np.union1d(s, t))
-                keep.append(rule.den * common >= rule.num * (len(s) + len(t) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return ready.mapInArrow(run, f"x {kind}, y {kind}").distinct()
+def verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (x, y) that share a prefix value under order B and one under C, and link by their exact intersection."""
+    side = lambda x: held.select(F.col("set").alias(x), F.col("b").alias(f"b{x}"), F.col("c").alias(f"c{x}"), F.col("shingles").alias(f"s{x}"))
+    near = pairs.join(side("x"), "x").join(side("y"), "y").where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy"))
+    common = F.size(F.array_intersect("sx", "sy")).cast("long")
+    return near.where(common * (rule.num + rule.den) >= (F.size("sx") + F.size("sy")).cast("long") * rule.num).select("x", "y").distinct()
 
 
 def connected(links: DataFrame, tables: StageTables, name: str) -> DataFrame:
     """(id, label): the smallest id of each link's component, by minimum labels with pointer jumping."""
-    edges = tables.put(f"{name}-edges", links.select("x", "y").union(links.select("y", "x")).distinct())
-    labels = tables.put(f"{name}-labels0", edges.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("label")))
+    edges = tables.put(f"{name}edges", links.select("x", "y").union(links.select("y", "x")).distinct())
+    labels = tables.put(f"{name}labels0", edges.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("label")))
     step = 0
     while True:
         step += 1
         near = edges.join(labels, edges["y"] == labels["id"]).groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "id").select("id", F.least("label", "near").alias("mid"), F.col("label").alias("was"))
         to = labels.select(F.col("id").alias("mid"), F.col("label").alias("jump"))
-        new = tables.put(f"{name}-labels{step}", lower.join(to, "mid").select("id", F.least("mid", "jump").alias("label"), "was"))
+        new = tables.put(f"{name}labels{step}", lower.join(to, "mid").select("id", F.least("mid", "jump").alias("label"), "was"))
         done = new.where("label <> was").isEmpty()
-        tables.drop(f"{name}-labels{step - 1}")
+        tables.drop(f"{name}labels{step - 1}")
         labels = new.select("id", "label")
         if done:
+            tables.drop(f"{name}edges")
             return labels
