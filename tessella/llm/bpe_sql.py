@@ -4,36 +4,52 @@ Encoding. Every byte of a pre-token starts as one row (word, position, token id)
 recursive query joins each row and its successor with the merge table, takes each word's leftmost pair of minimum rank,
 gives that row the merged id and drops its successor; words without a mergeable pair leave, and the recursion ends when
 none is left. A pair may merge when the joined bytes are in the vocabulary, and its rank is that token's id, as in the
-tiktoken library. Words over ``LONG_WORD`` bytes contract every non-overlapping occurrence of the minimum-rank pair in a
-round: a new pair contains the token just made, and in a trained vocabulary the rank of such a pair is higher, so the
-one-by-one order gives the same ids.
+tiktoken library.
+
+Words over ``LONG_WORD`` bytes are cut into windows that overlap by half, and every window is a word of the query. Two
+windows are joined at a token that both hold at the same place. That is exact: whatever the ranks, a sequence of tokens is
+the encoding of its bytes if every two neighbours encode to themselves, and in the result all neighbours stand side by
+side in one window's own encoding. Where two windows hold no token in common, the next one is begun at a token of the
+first; if that doesn't help, the window grows.
 
 Decoding. Rows (document, position, id) join the vocabulary and an ordered aggregation concatenates the bytes. Bytes are
 held as the 256 code points U+0100 to U+01FF inside SQL, so that every byte string is valid text.
 
-Each worker caches the ids of chunks (see ``chunks``) and of words, at most ``CACHE_KEYS`` of each; when a cache is full,
-the half that was learned last goes (what is frequent is met early). That costs time and changes nothing else. No shuffle; a lost task is simply run again.
+Each worker caches the ids of chunks (see ``chunks``) and of words up to ``LONG_WORD`` bytes, at most ``CACHE_KEYS`` of
+each; when a cache is full, the half that was learned last goes (what is frequent is met early). That costs time and
+changes nothing else. The rows of one query are bounded: a recursion keeps all its rounds, so words are given to it until
+the squares of their lengths sum to ``MERGE_ROWS``; ids are decoded in pieces of ``PIECE_TOKENS``. No shuffle; a lost task
+is simply run again.
 
-Null and empty texts give no ids and empty bytes. Rows that repeat are encoded each. Other columns are not read.
+Null and empty texts give no ids and empty bytes. Rows that repeat are encoded each. Very long texts and words are encoded
+whole, in windows and pieces. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessella.llm.chunks import PRE_TOKEN, chunk_keys, chunk_text
-from tessella.llm.common import text_batches, two_columns
+from tessella.llm.common import text_batches, two_columns, worker_state
 
 LONG_WORD = 64
 CACHE_KEYS = 400_000
-#: Tokens decoded by one query.
-DECODE_TOKENS = 800_000
+#: Windows of a long word that are learned at a time.
+WINDOWS = 50_000
+GROWN_KEYS = 2_000
+#: Longest key of a chunk that is cached, in characters.
+CACHE_CHARS = 256
+#: Sum of the squared lengths of the words of one recursive query.
+MERGE_ROWS = 3_000_000
+#: Tokens decoded by one query, and by one group of its ordered aggregation.
+DECODE_TOKENS, PIECE_TOKENS = 800_000, 200_000
 
 _SHORT = """
 WITH RECURSIVE s(round, w, pos, id, nid, npos) AS (
@@ -53,19 +69,29 @@ WITH RECURSIVE s(round, w, pos, id, nid, npos) AS (
 SELECT s.w, s.id FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY w) USING (w, round) ORDER BY s.w, s.pos
 """
 
-#: One round over words of any length; ``SqlBpe`` repeats it, as a recursion would keep every round of a long word.
-_LONG_ROUND = """
-SELECT w, pos, CASE WHEN take THEN merged ELSE id END AS id FROM (
-  SELECT *, coalesce(lag(take) OVER (PARTITION BY w ORDER BY pos), false) AS gone FROM (
-    SELECT *, hit AND row_number() OVER (PARTITION BY w, hit, island ORDER BY pos) % 2 = 1 AS take FROM (
-      SELECT *, rn - row_number() OVER (PARTITION BY w, hit ORDER BY pos) AS island FROM (
-        SELECT *, coalesce(merged = min(merged) OVER (PARTITION BY w), false) AS hit, min(merged) OVER (PARTITION BY w) AS lowest FROM (
-          SELECT a.*, m.merged FROM (
-            SELECT w, pos, id, lead(id) OVER o AS nid, row_number() OVER o AS rn FROM s WINDOW o AS (PARTITION BY w ORDER BY pos)) a
-          LEFT JOIN merges m ON m.pair = a.id * 65536 + a.nid))
-      WHERE lowest IS NOT NULL)))
-WHERE NOT gone
-"""
+
+def _windows(word: bytes, first: int, last: int) -> list[bytes]:
+    return [word[i : i + LONG_WORD] for i in range(first, last, LONG_WORD // 2)]
+
+
+#: Places in a word and ids.
+Tokens = tuple[array, array]
+
+
+def _replace(tokens: Tokens, n: int, more: Tokens, m: int) -> None:
+    for old, new in zip(tokens, more):
+        old[n:] = new[m:]
+
+
+def _splice(tokens: Tokens, more: Tokens) -> bool:
+    """Goes over from ``tokens`` to ``more`` at a token that both hold at the same place, if there is one."""
+    n, m = len(tokens[0]) - 1, len(more[0]) - 1
+    while n >= 0 and m >= 0:
+        if tokens[0][n] == more[0][m] and tokens[1][n] == more[1][m]:
+            _replace(tokens, n, more, m)
+            return True
+        n, m = (n - 1, m) if tokens[0][n] >= more[0][m] else (n, m - 1)
+    return False
 
 
 class SqlBpe:
@@ -90,11 +116,13 @@ class SqlBpe:
         self.con.register("m", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int64())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m").fetchall()
         shown = ["".join(chr(256 + b) for b in token) for token in self.ranks]
-        self.con.register("v", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array(shown, pa.string())}))
+        self.con.register("v", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "shown": pa.array(shown, pa.string())}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v").fetchall()
-        self.bytes_of = {256 + b: b for b in range(256)}
+        self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        #: Ids of windows that had to grow.
+        self.grown: dict[bytes, bytes] = {}
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         sizes = np.array([len(w) for w in words], np.int64)
@@ -107,34 +135,64 @@ class SqlBpe:
 
     def _merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian 32-bit integers."""
-        if not words:
-            return []
-        self.con.register("start_rows", self._rows(words))
-        if max(map(len, words)) <= LONG_WORD:
-            out = self.con.sql(_SHORT).to_arrow_table()
-            w, ids = out.column("w").to_numpy(), out.column("id").to_numpy()
-        else:
-            w, ids = self._merge_long()
-        flat, cuts = ids.astype("<u4").tobytes(), np.searchsorted(w, np.arange(len(words) + 1)) * 4
-        return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-
-    def _merge_long(self) -> tuple[np.ndarray, np.ndarray]:
-        self.con.execute("CREATE OR REPLACE TEMP TABLE s AS SELECT w, pos, id FROM start_rows").fetchall()
-        self.con.execute("CREATE OR REPLACE TEMP TABLE final AS SELECT w, pos, id FROM s WHERE false").fetchall()
-        while self.con.execute("SELECT count(*) FROM s").fetchall()[0][0]:
-            self.con.execute("CREATE OR REPLACE TEMP TABLE t AS " + _LONG_ROUND).fetchall()
-            self.con.execute("INSERT INTO final SELECT w, pos, id FROM s WHERE w NOT IN (SELECT w FROM t)").fetchall()
-            self.con.execute("CREATE OR REPLACE TEMP TABLE s AS SELECT * FROM t").fetchall()
-        out = self.con.sql("SELECT w, id FROM final ORDER BY w, pos").to_arrow_table()
-        return out.column("w").to_numpy(), out.column("id").to_numpy()
-
-    def _learn_words(self, words: set[str]) -> None:
+        out: list[bytes] = []
+        start = 0
+        while start < len(words):
+            stop, held = start, 0
+            while stop < len(words) and (stop == start or held + len(words[stop]) ** 2 <= MERGE_ROWS):
+                held += len(words[stop]) ** 2
+                stop += 1
+            self.con.register("start_rows", self._rows(words[start:stop]))
+            got = self.con.sql(_SHORT).to_arrow_table()
+            flat = got.column("id").to_numpy().astype("<u4").tobytes()
+            cuts = (np.searchsorted(got.column("w").to_numpy(), np.arange(stop - start + 1)) * 4).tolist()
+            out += [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+            start = stop
+        return out
+
+    def _learn_words(self, words: set[bytes]) -> None:
         todo = [w for w in words if w not in self.words]
         if len(self.words) + len(todo) > CACHE_KEYS:
             self.words = dict(islice(self.words.items(), CACHE_KEYS // 2))
             todo = [w for w in words if w not in self.words]
-        for group in ([w for w in todo if len(w) * 4 <= LONG_WORD or len(w.encode()) <= LONG_WORD], [w for w in todo if len(w) * 4 > LONG_WORD and len(w.encode()) > LONG_WORD]):
-            self.words.update(zip(group, self._merge([w.encode() for w in group])))
+        todo.sort(key=len)  # words of one query end after about as many rounds
+        self.words.update(zip(todo, self._merge(todo)))
+
+    def _placed(self, window: bytes, start: int) -> Tokens:
+        """The window's tokens, their places counted from ``start``."""
+        held = self.words if len(window) <= LONG_WORD else self.grown
+        if window not in held:
+            if len(self.grown) >= GROWN_KEYS:
+                self.grown.clear()
+            held[window] = self._merge([window])[0]
+        ids = array("I", held[window])
+        return array("q", accumulate((self.sizes[i] for i in ids[:-1]), initial=start)), ids
+
+    def _long_word(self, word: bytes) -> bytes:
+        step = LONG_WORD // 2
+        tokens: Tokens = (array("q"), array("I"))
+        for part in range(0, len(word), WINDOWS * step):  # learned many at a time, never more than the cache holds
+            last = min(len(word), part + WINDOWS * step)
+            self._learn_words(set(_windows(word, part, last)))
+            for at in range(part, last, step):
+                end = min(len(word), at + LONG_WORD)
+                if not tokens[0]:
+                    _replace(tokens, 0, self._placed(word[:end], 0), 0)
+                elif tokens[0][-1] + self.sizes[tokens[1][-1]] < end and not _splice(tokens, self._placed(word[at:end], at)):
+                    self._grow(word, tokens, end)
+        return tokens[1].tobytes()
+
+    def _grow(self, word: bytes, tokens: Tokens, end: int) -> None:
+        """Extends ``tokens`` to ``end`` by windows that begin at one of their own tokens, each time further back."""
+        back = 1
+        while True:
+            n = max(0, len(tokens[0]) - back)
+            start = tokens[0][n]
+            more = self._placed(word[start:end], start)
+            if n == 0 or more[1][0] == tokens[1][n]:
+                _replace(tokens, n, more, 0)
+                return
+            back *= 2
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -142,44 +200,50 @@ class SqlBpe:
         new: set[str] = set()
         for k in keys:
             new.update(k)
+        here = {k: b"" for k in new if len(k) > CACHE_CHARS}  # not cached
         new.difference_update(self.chunks)
         if len(self.chunks) + len(new) > CACHE_KEYS:
             self.chunks = dict(islice(self.chunks.items(), CACHE_KEYS // 2))
             new = {x for k in keys for x in k if x not in self.chunks}
-        cut = {k: PRE_TOKEN.findall(chunk_text(k)) for k in new}
-        self._learn_words({w for words in cut.values() for w in words})
-        get = self.words.__getitem__
-        self.chunks.update((k, b"".join(map(get, words))) for k, words in cut.items())
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, k)) for k in keys]
+        cut = {k: [w.encode() for w in PRE_TOKEN.findall(chunk_text(k))] for k in new}
+        words = {w for words in cut.values() for w in words}
+        windows = chain.from_iterable(_windows(w, 0, len(w)) for w in words if len(w) > LONG_WORD)
+        self._learn_words({w for w in words if len(w) <= LONG_WORD} | set(islice(windows, WINDOWS)))
+        later = {}
+        for k, words in cut.items():
+            ids = [self.words[w] if len(w) <= LONG_WORD else None for w in words]
+            if None in ids:
+                later[k] = (words, ids)
+            else:
+                (here if k in here else self.chunks)[k] = b"".join(ids)
+        for k, (words, ids) in later.items():  # these may renew the cache of words
+            (here if k in here else self.chunks)[k] = b"".join([self._long_word(w) if x is None else x for w, x in zip(words, ids)])
+        get = self.chunks.get
+        return [b"".join([here[x] if (got := get(x)) is None else got for x in k]) for k in keys]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
+        pieces = [(doc, x[i : i + 4 * PIECE_TOKENS]) for doc, x in enumerate(ids) for i in range(0, len(x), 4 * PIECE_TOKENS)]
+        out: list[list[bytes]] = [[] for _ in ids]
         start = 0
-        while start < len(ids):
+        while start < len(pieces):
             stop, held = start, 0
-            while stop < len(ids) and (stop == start or held + len(ids[stop]) // 4 <= DECODE_TOKENS):
-                held += len(ids[stop]) // 4
+            while stop < len(pieces) and (stop == start or held + len(pieces[stop][1]) // 4 <= DECODE_TOKENS):
+                held += len(pieces[stop][1]) // 4
                 stop += 1
-            part = ids[start:stop]
+            part = [x for _, x in pieces[start:stop]]
             flat = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
-            self.con.register("tokens", pa.table({"doc": np.repeat(np.arange(len(part), dtype=np.int32), [len(x) // 4 for x in part]), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
-            got = self.con.sql("SELECT doc, string_agg(piece, '' ORDER BY pos) AS shown, count(*) AS n FROM tokens JOIN vocab USING (id) GROUP BY doc").to_arrow_table()
+            self.con.register("tokens", pa.table({"piece": np.repeat(np.arange(len(part), dtype=np.int32), [len(x) // 4 for x in part]), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
+            got = self.con.sql("SELECT tokens.piece, string_agg(vocab.shown, '' ORDER BY pos) AS shown, count(*) AS n FROM tokens JOIN vocab USING (id) GROUP BY tokens.piece ORDER BY tokens.piece").to_arrow_table()
             if (n := sum(got.column("n").to_pylist())) != len(flat):
                 raise ValueError(f"{len(flat) - n} ids are not in the vocabulary")
-            by_doc = dict(zip(got.column("doc").to_pylist(), got.column("shown").to_pylist()))
-            out += [(np.frombuffer(by_doc.get(i, "").encode("utf-16-le"), "<u2") - 256).astype(np.uint8).tobytes() if by_doc.get(i) else b"" for i in range(len(part))]
+            for (doc, _), shown in zip(pieces[start:stop], got.column("shown").to_pylist()):
+                out[doc].append((np.frombuffer(shown.encode("utf-16-le"), "<u2") - 256).astype(np.uint8).tobytes())
             start = stop
-        return out
-
-
-_HELD: dict[str, SqlBpe] = {}
+        return [b"".join(x) for x in out]
 
 
 def worker(path: str) -> SqlBpe:
-    if path not in _HELD:
-        _HELD[path] = SqlBpe(path)
-    return _HELD[path]
+    return worker_state(f"bpe_sql {path}", lambda: SqlBpe(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -120,7 +122,7 @@ def without(docs: DataFrame, dropped: DataFrame, name: str, id_col: str = "doc_i
     return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti")
 
 
-def filter_rows(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def filter_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` for which ``keep(texts)`` gives true, all columns as they are; no shuffle."""
     at = docs.columns.index(text_col)
 
