@@ -1,6 +1,8 @@
 """Token files: frequency-ranked ids in a byte-aligned variable-length code with separate control bytes.
 
 1. Every text is encoded by the tokenizers library, ``end_id`` is appended, and the ids are staged in the shared folder.
+   Pieces between white space are encoded once and cached: the tokenizer never joins across it. A piece with characters
+   beyond ASCII goes to the library as it stands, so normalisation, lower case and pre-tokens are the library's own.
 2. Ids are counted over all staged documents (a bincount to a task, then a sum to an id) and ranked: the most frequent id
    gets code 0. The ranking has one entry to an id of the vocabulary, so its size is known.
 3. Each document's codes are written with 1 to 4 bytes each: two bits a code in the control bytes (four codes to a byte),
@@ -11,15 +13,15 @@
 
 The files are Parquet so that any store Spark writes to can hold them. Only ids are shuffled, never texts.
 
-Null and empty texts hold only the end id. A repeated doc_id keeps one entry for each row, in no fixed order among them.
-Empty tables give empty files. Other columns are not read.
+Null and empty texts hold only the end id. Rows that repeat a doc_id are an entry each, in the order of their ids; rows
+without doc_id come first. Very long texts are encoded whole and fill a block of their own. Empty tables give empty files.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,9 +31,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import StageTables, text_batches, two_columns
+from tessella.llm.common import StageTables, arrow_type, text_batches, two_columns, worker_state
 
 BLOCK_IDS = 1 << 18
+#: Ids of one file at most, about, when the cluster's cores have a file each.
+FILE_IDS = 1 << 25
 CACHE_KEYS = 1_000_000
 
 # ---- coding -----------------------------------------------------------------------------------------------------------
@@ -88,8 +92,11 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Caches the ids of pieces. Their pre-tokens that are new are encoded many at a time, each up to its end token."""
-        cut = [self.pre_token.findall(p.lower() if "Σ" not in p else "".join(c.lower() for c in p)) for p in pieces]
+        """Caches the ids of pieces. Pre-tokens of ASCII pieces are encoded many at a time, each up to its end token."""
+        other = [p for p in pieces if not p.isascii()]
+        self.cache.update(zip(other, self._library(other)))
+        pieces = [p for p in pieces if p.isascii()]
+        cut = [self.pre_token.findall(p) for p in pieces]
         new = {w for words in cut for w in words}
         new.difference_update(self.words)
         if len(self.words) + len(new) > CACHE_KEYS:
@@ -107,15 +114,12 @@ class WordEncoder:
         self.cache.update((p, b"".join(map(get, words))) for p, words in zip(pieces, cut))
 
     def _pieces(self, text: str) -> list[str] | None:
-        if not self.by_piece or any(s in text for s in self.special):
+        # Python's white space has four separators, U+001C to U+001F, that the tokenizer's pattern has not
+        if not self.by_piece or any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return None
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        # isspace counts the four separators U+001C to U+001F, which the tokenizer's pattern does not
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return None
-        # one form for all cases of a piece; a capital sigma alone lower-cases by its neighbours in Python
-        return text.split() if "Σ" in text else text.lower().split()
+        if text.isascii():
+            return text.lower().split()  # one form for all cases of a piece
+        return [p.lower() if p.isascii() else p for p in text.split()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self._pieces(t) for t in texts]
@@ -131,13 +135,8 @@ class WordEncoder:
         return [self._library([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
 
 
-_HELD: dict[str, WordEncoder] = {}
-
-
 def worker(path: str) -> WordEncoder:
-    if path not in _HELD:
-        _HELD[path] = WordEncoder(path)
-    return _HELD[path]
+    return worker_state(f"token_files {path}", lambda: WordEncoder(path))
 
 
 # ---- writing ----------------------------------------------------------------------------------------------------------
@@ -198,25 +197,28 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, id_
         keys: list = []
         sizes: list[int] = []
         held: list[np.ndarray] = []
+        total = 0
 
         def close() -> pa.RecordBatch:
             control, data = pack(table[np.concatenate(held)])
-            return pa.RecordBatch.from_pydict({"file_no": pa.array([part], pa.int32()), "block_no": pa.array([block], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([sum(sizes)], pa.int64()), "doc_ids": [keys], "counts": pa.array([sizes], pa.list_(pa.int64())), "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
+            return pa.RecordBatch.from_pydict({"file_no": pa.array([part], pa.int32()), "block_no": pa.array([block], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([total], pa.int64()), "doc_ids": pa.array([keys], pa.list_(arrow_type(kind))), "counts": pa.array([sizes], pa.list_(pa.int64())), "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
             for key, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if keys and sum(sizes) + n > BLOCK_IDS:
+                if keys and total + n > BLOCK_IDS:
                     yield close()
-                    before += sum(sizes)
-                    keys, sizes, held, block = [], [], [], block + 1
+                    before += total
+                    keys, sizes, held, total, block = [], [], [], 0, block + 1
+                total += n
                 keys.append(key)
                 sizes.append(n)
                 held.append(np.frombuffer(raw, f"<u{len(raw) // n}"))
         if keys:
             yield close()
 
-    n_files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = staged.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id")
+    ids = sum(n for n, _ in counts)
+    n_files = files or max(1, -(-ids // FILE_IDS), min(spark.sparkContext.defaultParallelism, -(-ids // BLOCK_IDS)))
+    ranged = staged.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "ids")
     ranged.mapInArrow(blocks, _BLOCK.format(kind=kind)).write.option("compression", "zstd").parquet(f"{out}/blocks")
     totals = sorted((r.file_no, r.n) for r in spark.read.schema(_BLOCK.format(kind=kind)).parquet(f"{out}/blocks").groupBy("file_no").agg(F.sum("n_ids").alias("n")).collect())
     starts, before = [], 0
@@ -246,10 +248,10 @@ def read_token_files(spark: SparkSession, out: str, with_ids: bool = True) -> Da
         table = np.frombuffer(shared.value, "<u4")
         for batch in batches:
             for start, keys, sizes, control, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                ids = table[unpack(control, data, sum(sizes))]
                 ends = np.cumsum(sizes)
+                ids = table[unpack(control, data, int(ends[-1]))]
                 each = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes)]
-                cols = {"doc_id": keys, "start": pa.array(start + ends - np.array(sizes), pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in each], pa.int64())}
+                cols = {"doc_id": pa.array(keys, arrow_type(kind)), "start": pa.array(start + ends - np.array(sizes), pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in each], pa.int64())}
                 yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(each, pa.binary())} if with_ids else {}))
 
     return placed.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
