@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import worker_state
+
 N_PAGES = 1000
 
 # Elements of HTML by how they are treated.
@@ -49,6 +51,9 @@ BAD_WORDS = {
     "form": frozenset("form login signup search register contact".split()),
     "edge": frozenset("footer foot copyright legal bottom header head top masthead colophon credits imprint".split()),
 }
+# HTML elements that end svg and math content when they start in it, and the elements in it that hold HTML.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 _TAGS = ("p", "h1", "h2 h3 h4 h5 h6", "li dd dt", "ul ol dl menu", "div", "section", "article main", "nav", "aside", "header", "footer", "form fieldset label", "blockquote pre figure figcaption", "table tr td th tbody thead")
 _TAG_NO = {t: i for i, group in enumerate(_TAGS) for t in group.split()}
 _WORD = re.compile(r"[a-z]+")
@@ -79,7 +84,10 @@ class Tree:
         #: (tag, number of the block-level element that is current inside it)
         self.stack: list[tuple[str, int]] = [("html", 0)]
         self.held: list[str] = []
+        self.held_chars = 0
         self.dropped = 0
+        #: How many elements of a tag are open.
+        self.open: Counter = Counter()
         #: By depth of an open anchor on the stack, the characters held when it began.
         self.began: dict[int, int] = {}
         self._read(page)
@@ -100,8 +108,11 @@ class Tree:
             if end:
                 self._end(tag)
                 continue
+            foreign = self.open["svg"] + self.open["math"]
+            if attrs.endswith("/") and (foreign or tag in ("svg", "math")):
+                continue  # only in svg and math does a slash end an element
             self._start(tag, attrs)
-            if tag in RAW:
+            if tag in RAW and not foreign:
                 close = re.compile(f"</{tag}", re.I).search(page, at)
                 at = close.start() if close else len(page)
         if at < len(page):
@@ -109,13 +120,17 @@ class Tree:
 
     def _text(self, text: str) -> None:
         if not self.dropped:
-            self.held.append(text)
+            self._hold(text)
+
+    def _hold(self, text: str) -> None:
+        self.held.append(text)
+        self.held_chars += len(text)
 
     def _flush(self) -> None:
         if not self.held:
             return
         text = " ".join(html.unescape("".join(self.held)).split())
-        self.held = []
+        self.held, self.held_chars = [], 0
         if text:
             n = self.stack[-1][1]
             node = self.nodes[n]
@@ -137,6 +152,7 @@ class Tree:
         if tag in NO_TEXT:
             self.dropped += 1
         self.stack.append((tag, n))
+        self.open[tag] += 1
 
     def _pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
@@ -146,14 +162,19 @@ class Tree:
             if tag in NO_TEXT:
                 self.dropped -= 1
             if tag == "a":
-                self.nodes[self.stack[-1][1]].link_chars += max(0, sum(map(len, self.held)) - self.began.pop(len(self.stack) - 1, 0))
+                self.nodes[self.stack[-1][1]].link_chars += max(0, self.held_chars - self.began.pop(len(self.stack) - 1, 0))
             self.stack.pop()
+            self.open[tag] -= 1
 
     def _start(self, tag: str, attrs: str) -> None:
+        if tag in BREAKS_OUT and (self.open["svg"] or self.open["math"]):
+            top = next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] in ("svg", "math"))
+            if not any(t in HOLDS_HTML for t, _ in self.stack[top + 1 :]):
+                self._pop_to(top)
         if tag == "br":
-            self.held.append(" ")
+            self._hold(" ")
             return
-        if tag in ("html", "body") and any(t == tag for t, _ in self.stack[1:]) or tag == "html":
+        if tag == "html" or tag == "body" and self.open[tag]:
             return
         if tag in CLOSES_P:
             self._close({"p"}, {"table", "td", "th", "button", "object"})
@@ -166,11 +187,13 @@ class Tree:
                 self._flush()
             return
         if tag == "a":
-            self.began[len(self.stack)] = sum(map(len, self.held))
+            self.began[len(self.stack)] = self.held_chars
         self._push(tag, attrs)
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
         """Ends the outermost open element of ``tags`` above the nearest of ``stop``."""
+        if not any(self.open[t] for t in tags):
+            return
         cut = 0
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] in stop:
@@ -182,7 +205,9 @@ class Tree:
 
     def _end(self, tag: str) -> None:
         if tag == "br":
-            self.held.append(" ")
+            self._hold(" ")
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             open_tag = self.stack[i][0]
             if open_tag == tag:
@@ -355,9 +380,10 @@ def extract(pages: DataFrame, model: Boosted | None = None, html_col: str = "htm
     schema = ", ".join(f"c{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("html_extract")
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
                 texts = main_texts([p or "" for p in part.column(len(carry)).to_pylist()], shared.value)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(carry))), pa.array(texts, pa.string())], [*(f"c{i}" for i in range(len(carry))), "text"])
 
