@@ -1,45 +1,53 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched block by block under maximum scores.
 
-Index (driver, one test set; its size is checked against ``MAX_ITEMS``): terms are white-space pieces, lower-cased, without
-characters that are neither letters nor digits. Every item has BM25 impacts for its distinct terms; items are sorted by
-threshold and cut into blocks; each term keeps its largest impact in every block and overall.
-
-Search (one pass over all texts, no shuffle): a text is cut into passages of ``2 * longest`` terms that start every
-``longest`` terms, where ``longest`` is the most terms of a copy: those of an item and one more for every shingle it may
-lose, as a word put in loses one at least. So a copy of at most that many terms lies within one passage; each passage is a query. As in block-max
-WAND a passage is dropped when the sum of its terms' overall maxima stays under the lowest threshold, then a block when the
-sum of block maxima stays under the block's lowest threshold; only items of the blocks left are scored exactly, and every
-item above its own threshold is retrieved. An item's threshold is its score against itself less the largest share that a
-copy keeping ``min_overlap`` of its 5-word shingles may lose, so no such copy is missed.
-
-Verification: the item's shingles of five words (fewer words: the whole item) are looked up in the passage. Its last
+Index: terms are white-space pieces, lower-cased, without characters that are neither letters nor digits. Every item has
+BM25 impacts for its distinct terms; items are sorted by threshold and cut into blocks; each term keeps its largest impact
+in every block and overall. Items are dealt by a hash into shards of about ``SHARD_ITEMS``; each shard is one index, sent
+to the workers and searched in a pass of its own, so any number of items is searched and the size of an index is bounded.
+
+Search (no shuffle of texts): a text is cut into passages of ``2 * longest`` terms that start every ``longest`` terms, where
+``longest`` is the most terms of an item and of what may be put into it; each passage is a query, and so is the text as a
+whole if it has several, since a copy can be spread over passages by what stands in between. As in block-max WAND a query
+is dropped when the sum of its terms' overall maxima stays under the lowest threshold, then a block when the sum of block
+maxima stays under the block's lowest threshold; only items of the blocks left are scored exactly, and every item above
+its own threshold is retrieved. An item's threshold is its score against itself less the largest share that a text keeping
+``min_overlap`` of its 5-word shingles may lose, so no text that does is missed.
+
+Verification: the item's shingles of five words (fewer words: the whole item) are looked up in the whole text. Its last
 sentence, or last quarter where that has under five words, is the answer, the rest the question. A match needs
 ``min_overlap`` of all shingles; the shares of the question's and of the answer's own are given beside it and decide
-nothing, since one changed word can remove most shingles of a short answer.
+nothing, since one changed word can remove most shingles of a short answer. Reported are the score and first term of the
+best passage (ties: the first), or, if no passage alone reaches the threshold, those of the whole text.
 
-Null or empty text matches nothing; so does an item without terms. Items with equal text match alike, each by its id.
-Repeated rows match each. Empty tables give no rows. Other columns are not read.
+Null or empty text matches nothing; so does an item without terms. An item without id matches like any other and is
+reported with a null id. Items with equal text match alike, each by its id; an item that repeats with id and text counts
+once. Repeated rows match each. Very long texts are searched whole. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessella.llm.common import filter_rows, text_batches, two_columns
+from tessella.llm.common import arrow_type, filter_rows, text_batches, two_columns, worker_state
 
-MAX_ITEMS = 10_000
+SHARD_ITEMS = 10_000
 BLOCK = 4
 MAX_BLOCKS = 256
 SHINGLE = 5
 K1, B = 1.2, 0.75
+#: Numbers held at once in sums over blocks, and postings looked up at once.
+SUMS_AT_ONCE, LOOKUPS_AT_ONCE = 4_000_000, 500_000
 _SENTENCE = re.compile(r"[.!?]\s+")
 
 
@@ -67,7 +75,7 @@ class ItemIndex:
         self.ids: dict[str, int] = {}
         self.longest = 1
         found = []
-        for key, text in sorted(items, key=lambda x: x[0]):
+        for key, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "") if not isinstance(x[0], str) else (False, x[0], x[1] or "")):
             pieces = [term(p) for p in (text or "").split()]
             words = [p for p in pieces if p]
             if words:
@@ -116,6 +124,9 @@ class ItemIndex:
         self.keys, self.nth, self.weight = keys[by], nth[by], weight[by]
         self.term_max = self.block_max.max(axis=1, initial=0.0)
         self.cache: dict[str, int] = {}
+        #: By width, the hashes of all items' shingles.
+        grams = {g for i in self.items for g in i.question | i.answer}
+        self.grams = {w: np.unique(_hashed(np.array([g for g in grams if len(g) == w], np.int64))) for w in sorted({len(g) for g in grams})}
 
     def terms_of(self, text: str) -> np.ndarray:
         """Term numbers of the whole text; a word that no item has is -1."""
@@ -138,14 +149,15 @@ class ItemIndex:
         sizes = np.array([len(t) for t in terms])
         step = self.longest
         counts = np.maximum(1, -(-sizes // step) - 1)
-        first = np.cumsum(counts) - counts
+        whole = counts > 1
+        first = np.cumsum(counts + whole) - counts - whole
         word = np.concatenate(terms)
         doc = np.repeat(np.arange(len(texts)), sizes)
         slot = (np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // step
-        # a term lies in the passage that starts in its slot and in the one before
+        # a term lies in the passage that starts in its slot, in the one before, and in the whole text
         known = word >= 0
         word, doc, slot = word[known], doc[known], slot[known]
-        pairs = np.concatenate([(first[doc] + x)[ok] * self.n_terms + word[ok] for x in (slot, slot - 1) for ok in ((x >= 0) & (x < counts[doc]),)])
+        pairs = np.concatenate([*((first[doc] + x)[ok] * self.n_terms + word[ok] for x in (slot, slot - 1) for ok in ((x >= 0) & (x < counts[doc]),)), ((first + counts)[doc] * self.n_terms + word)[whole[doc]]])
         pairs = np.unique(pairs)
         if not len(pairs):
             return []
@@ -154,11 +166,19 @@ class ItemIndex:
         passage, term_no, number, block = self._reach(passage, term_no, self.block_max, self.block_low)
         for p, n, score in self._scores(passage, term_no, number, block):
             d = int(np.searchsorted(first, p, "right")) - 1
-            start = (p - int(first[d])) * step
-            found = self._verify(n, terms[d][start : start + 2 * step])
-            if found and ((d, n) not in best or score > best[d, n][3]):
-                best[d, n] = (d, self.items[n].key, start, score, *found)
-        return [best[k] for k in sorted(best)]
+            part = p - int(first[d])
+            row = (part < counts[d], score, -part)
+            if (d, n) not in best or row > best[d, n]:
+                best[d, n] = row
+        out, have, last = [], set(), -1
+        for d, n in sorted(best):
+            if d != last:
+                have, last = self._shingles(terms[d]), d
+            found = self._verify(n, have)
+            if found:
+                alone, score, part = best[d, n]
+                out.append((d, self.items[n].key, -part * step if alone else 0, score, *found))
+        return out
 
     def _reach(self, passage: np.ndarray, term_no: np.ndarray, most: np.ndarray, low: np.ndarray):
         """The passages whose summed maxima reach the threshold of any column; then (row, column) of each sum that does."""
@@ -167,7 +187,12 @@ class ItemIndex:
             return none, none, none, none
         starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
         ends = np.append(starts[1:], len(passage))
-        reach = np.concatenate([np.add.reduceat(most[term_no[starts[i] : ends[min(i + 4096, len(starts)) - 1]]], starts[i : i + 4096] - starts[i], axis=0) >= low for i in range(0, len(starts), 4096)])
+        reach, i = [], 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + SUMS_AT_ONCE // most.shape[1], "right")))
+            reach.append(np.add.reduceat(most[term_no[starts[i] : ends[j - 1]]], starts[i:j] - starts[i], axis=0) >= low)
+            i = j
+        reach = np.concatenate(reach)
         keep = reach.any(axis=1)
         rows, columns = np.nonzero(reach[keep])
         kept = np.repeat(keep, ends - starts)
@@ -178,8 +203,11 @@ class ItemIndex:
         out = []
         starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else rows
         sizes = np.diff(np.append(starts, len(passage)))
-        for i in range(0, len(rows), 4096):
-            r, b = rows[i : i + 4096], blocks[i : i + 4096]
+        ends, i = np.cumsum(sizes[rows]), 0
+        while i < len(rows):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LOOKUPS_AT_ONCE, "right")))
+            r, b = rows[i:j], blocks[i:j]
+            i = j
             n = sizes[r]
             at = np.repeat(starts[r], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             key = np.repeat(b * self.n_terms, n) + term_no[at]
@@ -192,49 +220,72 @@ class ItemIndex:
             out += [(int(passage[starts[r[x]]]), int(b[x] * self.block + y), float(score[x, y])) for x, y in zip(*np.nonzero(score >= limit))]
         return out
 
-    def _verify(self, n: int, passage: np.ndarray) -> tuple[float, float] | None:
+    def _shingles(self, terms: np.ndarray) -> set:
+        """Those of the text's shingles that may be an item's."""
+        have = set()
+        for width, hashes in self.grams.items():
+            if len(terms) >= width:
+                windows = np.lib.stride_tricks.sliding_window_view(terms, width)
+                have.update(map(tuple, windows[np.isin(_hashed(windows), hashes)].tolist()))
+        return have
+
+    def _verify(self, n: int, have: set) -> tuple[float, float] | None:
         item = self.items[n]
-        width = min(SHINGLE, len(item.terms))
-        have = set(map(tuple, np.lib.stride_tricks.sliding_window_view(passage, width).tolist())) if len(passage) >= width else set()
-        every = item.question | item.answer
         q, a = len(item.question & have) / max(1, len(item.question)), len(item.answer & have) / max(1, len(item.answer))
-        return (q, a) if len(every & have) >= item.need else None
+        return (q, a) if len((item.question | item.answer) & have) >= item.need else None
+
+
+def _hashed(windows: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(windows), np.uint64)
+    for i in range(windows.shape[1] if windows.ndim == 2 else 0):
+        out = (out ^ windows[:, i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _shards(items: DataFrame, item_id: str, item_text: str, min_overlap: float) -> Iterator[tuple[str, object]]:
+    """For each shard a name for the workers' cache and the broadcast items."""
+    spark = items.sparkSession
+    rows = two_columns(items, item_id, item_text).distinct()
+    shards = -(-rows.count() // SHARD_ITEMS)
+    for i in range(shards):
+        found = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)) == i).collect()
+        yield f"decontam {uuid.uuid4().hex}", spark.sparkContext.broadcast(([(r.doc_id, r.text) for r in found], min_overlap))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, min_overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, passage_start, bm25, question_overlap, answer_overlap): one row for each text and item that match."""
-    shared = docs.sparkSession.sparkContext.broadcast(_collected(items, item_id, item_text))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    rows = two_columns(docs, id_col, text_col)
+    types = pa.schema(list(zip(_COLUMNS, (arrow_type(kind), arrow_type(item_kind), pa.int64(), pa.float64(), pa.float64(), pa.float64()))))
+    columns = f"doc_id {kind}, item_id {item_kind}, passage_start long, bm25 double, question_overlap double, answer_overlap double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(shared.value, min_overlap)
-        for ids, texts in text_batches(batches, "doc_id", "text", 2_000_000):
-            found = [(ids[row[0]].as_py(), *row[1:]) for row in index.search(texts)]
-            yield pa.RecordBatch.from_pylist([dict(zip(_COLUMNS, f)) for f in found], schema=pa.schema(list(zip(_COLUMNS, (_TYPES[kind], _TYPES[item_kind], pa.int64(), pa.float64(), pa.float64(), pa.float64())))))
+    def search(name: str, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = worker_state(name, lambda: ItemIndex(*shared.value))
+            for ids, texts in text_batches(batches, "doc_id", "text", 2_000_000):
+                found = [(ids[row[0]].as_py(), *row[1:]) for row in index.search(texts)]
+                yield pa.RecordBatch.from_pylist([dict(zip(_COLUMNS, f)) for f in found], schema=types)
 
-    return two_columns(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, passage_start long, bm25 double, question_overlap double, answer_overlap double")
+        return rows.mapInArrow(run, columns)
 
+    found = [search(*shard) for shard in _shards(items, item_id, item_text, min_overlap)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], columns)
 
-def _collected(items: DataFrame, item_id: str, item_text: str) -> list[tuple]:
-    rows = two_columns(items, item_id, item_text).where("doc_id is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} test items; search them in parts")
-    return [(r.doc_id, r.text) for r in rows]
 
-
-def uncontaminated(docs: DataFrame, items: DataFrame, min_overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def uncontaminated(docs: DataFrame, items: DataFrame, min_overlap: float = 0.8, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows, whole, that match no item."""
-    shared = docs.sparkSession.sparkContext.broadcast(_collected(items, item_id, item_text))
-    held: dict[str, ItemIndex] = {}
 
-    def keep(texts: list[str]) -> list[bool]:
-        if not held:
-            held["index"] = ItemIndex(shared.value, min_overlap)
-        found = {row[0] for row in held["index"].search(texts)}
-        return [n not in found for n in range(len(texts))]
+    def clean(name: str, shared) -> Callable[[list[str]], list[bool]]:
+        def keep(texts: list[str]) -> list[bool]:
+            found = {row[0] for row in worker_state(name, lambda: ItemIndex(*shared.value)).search(texts)}
+            return [n not in found for n in range(len(texts))]
+
+        return keep
 
-    return filter_rows(docs, keep, id_col, text_col)
+    for name, shared in _shards(items, item_id, item_text, min_overlap):
+        docs = filter_rows(docs, clean(name, shared), text_col)
+    return docs
 
 
 _COLUMNS = ("doc_id", "item_id", "passage_start", "bm25", "question_overlap", "answer_overlap")
-_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
