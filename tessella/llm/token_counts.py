@@ -1,9 +1,9 @@
-"""Token counts by a two-tier map-side lookup of pre-token lengths; no pre-token is shuffled.
+"""Token counts by a two-tier map-side lookup of pre-token lengths; nothing is shuffled or collected.
 
-Tier one: every task sums the pre-token counts of all its texts and reports its ``per_task`` most frequent; these bounded
-reports are summed and the ``table_size`` most frequent pre-tokens, encoded once on the driver by the tokenizers library,
-are broadcast as one table (a text of joined keys and an array of 16-bit lengths; some tens of bytes an entry, so a few
-MB). The table decides only which tier answers, never the count.
+Tier one: the pre-tokens that are entries of the tokenizer's own vocabulary, the frequent ones of the text it was trained
+on, in the order of their merges and ``table_size`` at most. Their lengths, worked out once on the driver by the tokenizers
+library, are broadcast as one table (a text of joined keys and an array of 16-bit lengths; about ten bytes an entry). The
+table decides only which tier answers, never the count, so no pass over the corpus is spent on it.
 
 Tier two: what the table lacks is encoded by the library in the worker, once per worker while its cache of at most
 ``CACHE_KEYS`` keys holds it.
@@ -11,23 +11,22 @@ Tier two: what the table lacks is encoded by the library in the worker, once per
 A pre-token is a chunk (see ``chunks``), which the tokenizer's pattern never splits across. Strings of special tokens
 inside a text are one token each, as the library has it by default, and split the text.
 
-Null and empty texts count 0 bytes and 0 tokens. Repeated rows are counted each. Other columns are not read.
+Null and empty texts count 0 bytes and 0 tokens. Very long texts are counted whole, one to a batch. Repeated rows are
+counted each; empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessella.llm.chunks import chunk_keys, chunk_text
-from tessella.llm.common import text_batches, two_columns
+from tessella.llm.common import text_batches, two_columns, worker_state
 
 CACHE_KEYS = 1_500_000
 #: No key contains it: chunks of even texts hold no tabs, others start with a carriage return.
@@ -87,39 +86,25 @@ class Lengths:
         return [found + sum(first(k) or second(k, 0) for k in ks) for ks, (_, found) in zip(keys, split)]
 
 
-_HELD: dict[str, Lengths] = {}
-
-
 def worker(path: str) -> Lengths:
-    if path not in _HELD:
-        _HELD[path] = Lengths(path)
-    return _HELD[path]
-
+    return worker_state(f"token_counts {path}", lambda: Lengths(path))
 
-def frequent_pre_tokens(docs: DataFrame, path: str, table_size: int = 65_536, per_task: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, n): the most frequent pre-tokens over all texts, at most ``table_size`` of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = worker(path), Counter()
-        for _, texts in text_batches(batches, "doc_id", "text"):
-            for t in texts:
-                for p in held.parts(t)[0]:
-                    total.update(chunk_keys(p))
-            if len(total) > 64 * per_task:  # keeps memory bounded; rare keys lose their count so far
-                total = Counter(dict(total.most_common(32 * per_task)))
-        top = total.most_common(per_task)
-        yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    reports = two_columns(docs, id_col, text_col).mapInArrow(run, "key string, n long")
-    return reports.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(table_size)
+def frequent_pre_tokens(path: str, table_size: int = 65_536) -> list[str]:
+    """Keys of pre-tokens that are vocabulary entries, after a blank first, each kind in the order of the merges."""
+    held = Lengths(path)
+    entries = [held.library.decode([i]) for i in sorted(held.library.get_vocab().values())]
+    whole = [t for t in dict.fromkeys(entries) if t and "\ufffd" not in t and _SEPARATOR not in t]
+    after_blank = [t[1:] for t in whole if t[0] == " " and t[1:] and not t[1:].isspace() and len(t[1:].split()) == 1 and t[1:].strip() == t[1:]]
+    return (after_blank + ["\r" + t for t in whole])[:table_size]
 
 
 def count_tokens(docs: DataFrame, path: str, table_size: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every text."""
     spark: SparkSession = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    keys = [r.key for r in frequent_pre_tokens(docs, path, table_size, id_col=id_col, text_col=text_col).collect()]
-    sizes = worker(path).of(keys)
+    keys = frequent_pre_tokens(path, table_size)
+    sizes = Lengths(path).of(keys)
     fits = [(k, n) for k, n in zip(keys, sizes) if 0 < n < 65536]
     table = (_SEPARATOR.join(k for k, _ in fits), np.array([n for _, n in fits], "<u2").tobytes())
     shared = spark.sparkContext.broadcast(table)
