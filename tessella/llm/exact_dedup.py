@@ -10,7 +10,8 @@ result. Only ids and keys are shuffled, never texts. Groups are aggregated to (k
 key, so a digest that a third of all rows share is spread over ``salts`` tasks and no task or driver holds a group.
 
 Null text is empty text, and equal to it. The row with the largest id stays; rows that repeat an id are copies of one
-another like any others (each is returned, ``kept`` is true for all rows with the largest id). Empty tables give no rows.
+another like any others (each is returned, ``kept`` is true for all rows with the largest id). A row without id is kept
+only where no row of its group has one (``keep_id`` is null then). Very long texts are hashed whole. Empty tables give no rows.
 Columns other than id and text are not read, so their names can't clash.
 """
 
@@ -47,7 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     part = salted.groupBy("key", "salt").agg(F.max("doc_id").alias("most"), F.count("*").alias("n"))
     whole = part.groupBy("key").agg(F.max("most").alias("keep_id"), F.sum("n").alias("group_size"))
     spread = part.select("key", "salt").join(whole, "key")
-    return salted.join(spread, ["key", "salt"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest")
+    return salted.join(spread, ["key", "salt"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "digest")
 
 
 def _survivors(rows: DataFrame, keys: DataFrame, on: list[str], flag: str) -> DataFrame:

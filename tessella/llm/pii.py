@@ -12,7 +12,8 @@ every document, since the permutation depends on the key and the format only; no
 network of ``ROUNDS`` rounds over two halves permutes a domain of size a * b; cycle walking keeps to smaller domains.
 Being a permutation, it may leave a value as it is, with a chance of one in the size of its format.
 
-Null and empty texts stay as they are and hold nothing. Repeated rows get the same result; empty tables give no rows.
+Where kinds compete for the same characters, the first in ``KINDS`` has them, and within a kind the leftmost match. Null
+and empty texts stay as they are and hold nothing. Very long texts are read whole, in time linear to them. Repeated rows get the same result; empty tables give no rows.
 Other columns are not read.
 """
 
@@ -22,12 +23,12 @@ import datetime
 import hashlib
 import hmac
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import two_columns
+from tessella.llm.common import two_columns, worker_state
 
 ROUNDS = 8
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -189,15 +190,20 @@ def pseudonymize(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     rest = text  # what was found is blanked out, so that no later kind reaches into it
     for kind, pattern, how in _EACH:
         found = [(m.start(), m.end(), kind, new) for m in pattern.finditer(rest) if (new := how(m, key)) is not None]
-        for s, e, _, _ in found:
-            rest = rest[:s] + "\0" * (e - s) + rest[e:]
+        if found:
+            rest = _cut(rest, ((s, e, "\0" * (e - s)) for s, e, _, _ in found))
         spans += found
     spans.sort()
+    return _cut(text, ((s, e, new) for s, e, _, new in spans)), [(k, s, e) for s, e, k, _ in spans]
+
+
+def _cut(text: str, parts: Iterable[tuple[int, int, str]]) -> str:
+    """The text with the (start, end) of each part replaced; parts stand in order and apart."""
     out, at = [], 0
-    for s, e, _, new in spans:
+    for s, e, new in parts:
         out += [text[at:s], new]
         at = e
-    return "".join([*out, text[at:]]), [(k, s, e) for s, e, k, _ in spans]
+    return "".join([*out, text[at:]])
 
 
 def mask(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,7 +213,8 @@ def mask(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "tex
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_state("pii")
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             texts, spans = [], []
             for t in batch.column(1).to_pylist():
                 new, found = pseudonymize(t, secret) if t else (t, [])
