@@ -16,7 +16,8 @@ named by the hash of the set.
 3. Candidate pairs share a token and lie in different components. Two pivot rounds pair the nodes of a token with one
    pivot only, by their first tokens, which joins large groups of near copies by stars; a last round pairs all that is
    still apart under every token. The join's own condition holds the filters on size, on the places of the token (what is
-   left behind it in either set must suffice) and on the sketches, so pairs that fail them are never emitted.
+   left behind it in either set must suffice) and on the sketches, so pairs that fail them are never emitted; pairs of
+   large sets then pass a wider sketch.
 4. The ends of these pairs, few of all sets, are worked out once more from the text of one row each: the pairs must share a
    prefix token under B and one under C; then the sets are intersected exactly.
 5. Links give components by minimum labels and pointer jumping, and a component's smallest id goes to its rows.
@@ -52,6 +53,8 @@ SALTS = 64
 PIVOT_TURNS = 2
 #: Of a set's shared tokens, those that pivot rounds use.
 PIVOT_TOKENS = 4
+#: Sets of more shingles have a second sketch, of this many bits.
+WIDE_FROM, WIDE_BITS = 600, 4096
 #: Postings that a bucket's reducer takes in before it sorts them.
 POSTINGS_AT_ONCE = 1_000_000
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -133,10 +136,10 @@ def ordered(s: np.ndarray, marks: np.ndarray, n: int, key: np.uint64 = np.uint64
     return np.concatenate([s[~common], s[common]])[:n]
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Four longs: the parity of the number of shingles on each of 256 bits."""
-    bits = np.bincount((s >> np.uint64(41)).astype(np.int64) & 255, minlength=256).astype(np.uint8) & 1
-    return np.packbits(bits).view(np.int64)
+def sketch(s: np.ndarray, bits: int = 256) -> np.ndarray:
+    """Longs: the parity of the number of shingles on each bit."""
+    times = np.bincount((s >> np.uint64(41)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(times).view(np.int64)
 
 
 def similarity_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,7 +150,7 @@ def similarity_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "d
     tables = StageTables(spark, "jaccard")
     facts, marks = _facts(rows, kind, rule, tables)
     shared = spark.sparkContext.broadcast(marks.tobytes())
-    nodes = tables.put("nodes", facts.where("set is not null").groupBy("set", "n").agg(F.min("doc_id").alias("doc_id"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4))))
+    nodes = tables.put("nodes", facts.where("set is not null").groupBy("set", "n").agg(F.min("doc_id").alias("doc_id"), *(F.first(x).alias(x) for x in ("s0", "s1", "s2", "s3", "wide"))))
     postings = _shared_postings(rows, nodes, rule, shared, tables)
     labels = _link(rows, nodes, postings, rule, shared, tables)
     out = tables.put("result", _named(facts, labels))
@@ -175,12 +178,12 @@ def _facts(rows: DataFrame, kind: str, rule: Rule, tables: StageTables) -> tuple
             add_marks(marks, list({h: s for h, s in zip(hashes, sets) if h is not None}.values()))
             n = pa.array([len(s) for s in sets], pa.int64())
             bits = np.concatenate([sketch(s) for s in sets]).reshape(-1, 4)
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": n, "set": pa.array(hashes, pa.int64()), "mark": pa.array([False] * len(ids), pa.bool_()), **{f"s{i}": bits[:, i].copy() for i in range(4)}})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": n, "set": pa.array(hashes, pa.int64()), "mark": pa.array([False] * len(ids), pa.bool_()), **{f"s{i}": bits[:, i].copy() for i in range(4)}, "wide": pa.array([sketch(s, WIDE_BITS) if len(s) > WIDE_FROM else None for s in sets], pa.list_(pa.int64()))})
         at = np.flatnonzero(marks)
         for part in np.array_split(at, max(1, len(at) // 100_000)):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(part), arrow_type(kind)), "n": part, "set": signed(marks[part]), "mark": pa.array([True] * len(part), pa.bool_()), **{f"s{i}": np.zeros(len(part), np.int64) for i in range(4)}})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(part), arrow_type(kind)), "n": part, "set": signed(marks[part]), "mark": pa.array([True] * len(part), pa.bool_()), **{f"s{i}": np.zeros(len(part), np.int64) for i in range(4)}, "wide": pa.nulls(len(part), pa.list_(pa.int64()))})
 
-    both = tables.put("facts", rows.mapInArrow(run, f"doc_id {kind}, n long, set long, mark boolean, s0 long, s1 long, s2 long, s3 long"))
+    both = tables.put("facts", rows.mapInArrow(run, f"doc_id {kind}, n long, set long, mark boolean, s0 long, s1 long, s2 long, s3 long, wide array<long>"))
     marks = np.zeros(1 << (MARK_BITS - 6), np.uint64)
     got = both.where("mark").groupBy("n").agg(F.bit_or("set").alias("bits")).toPandas()
     marks[got["n"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
@@ -238,7 +241,7 @@ def _shared_postings(rows: DataFrame, nodes: DataFrame, rule: Rule, shared, tabl
     dealt = rows.mapInArrow(deal, "bucket long, token binary, set binary, n binary, at binary").repartition("bucket")
     found = dealt.mapInArrow(gather, "token long, set long, n int, at int").dropDuplicates(["token", "set"])
     nth = F.row_number().over(Window.partitionBy("set").orderBy("at", "token"))
-    return tables.put("postings", found.join(nodes.drop("doc_id", "n"), "set").withColumn("nth", nth))
+    return tables.put("postings", found.join(nodes.drop("doc_id", "n", "wide"), "set").withColumn("nth", nth))
 
 
 class SharedTokens:
@@ -350,9 +353,10 @@ def _link(rows: DataFrame, nodes: DataFrame, postings: DataFrame, rule: Rule, sh
         smaller = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("other") < F.col("set"))
         both = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("label") != F.col("other_label")) & rule.near("n", "m", "at", "other_at") & rule.alike("n", "m") & (smaller if last else F.lit(True)))
         pairs = tables.put(f"pairs{turn}", both.select(F.least("set", "other").alias("x"), F.greatest("set", "other").alias("y")).distinct())
+        pairs = tables.put(f"alike{turn}", _alike(pairs, nodes, rule))
         held = _held(rows, nodes, pairs, rule, shared, tables)
         new = tables.put(f"links{turn}", verify(pairs, held, rule))
-        for t in (f"apart{turn}", f"pairs{turn}", "held"):
+        for t in (f"apart{turn}", f"pairs{turn}", f"alike{turn}", "held"):
             tables.drop(t)
         links = new if links is None else links.unionByName(new)
         labels = connected(links, tables, f"turn{turn}-")
@@ -373,6 +377,14 @@ def _all_apart(current: DataFrame, apart: DataFrame, hot: DataFrame, rule: Rule)
     return left, right.select("token", "salt", *(F.col(a).alias(b) for a, b in _OTHER.items()))
 
 
+def _alike(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs less those of large sets, for which 256 bits say little, whose wide sketches differ too much."""
+    wide = nodes.where("wide is not null").select("set", "n", "wide")
+    both = pairs.join(wide.toDF("x", "nx", "wx"), "x", "left").join(wide.toDF("y", "ny", "wy"), "y", "left")
+    bits = F.aggregate(F.zip_with("wx", "wy", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    return both.where(F.col("wx").isNull() | F.col("wy").isNull() | (bits * (rule.num + rule.den) <= (F.col("nx") + F.col("ny")) * (rule.den - rule.num))).select("x", "y")
+
+
 def verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (x, y) that share a prefix value under order B and one under C, and link by their exact intersection."""
     side = lambda x: held.select(F.col("set").alias(x), F.col("b").alias(f"b{x}"), F.col("c").alias(f"c{x}"), F.col("shingles").alias(f"s{x}"))
