@@ -15,11 +15,10 @@ first; if that doesn't help, the window grows.
 Decoding. Rows (document, position, id) join the vocabulary and an ordered aggregation concatenates the bytes. Bytes are
 held as the 256 code points U+0100 to U+01FF inside SQL, so that every byte string is valid text.
 
-Each worker caches the ids of chunks (see ``chunks``) and of words up to ``LONG_WORD`` bytes, at most ``CACHE_KEYS`` of
-each; when a cache is full, the half that was learned last goes (what is frequent is met early). That costs time and
-changes nothing else. The rows of one query are bounded: a recursion keeps all its rounds, so words are given to it until
-the squares of their lengths sum to ``MERGE_ROWS``; ids are decoded in pieces of ``PIECE_TOKENS``. No shuffle; a lost task
-is simply run again.
+Each worker caches the ids of at most ``CACHE_KEYS`` chunks (see ``chunks``); when the cache is full, the half that was
+learned last goes (what is frequent is met early). That costs time and changes nothing else. The rows of one query are
+bounded: a recursion keeps all its rounds, so words are given to it until the squares of their lengths sum to
+``MERGE_ROWS``; ids are decoded in pieces of ``PIECE_TOKENS``. No shuffle; a lost task is simply run again.
 
 Null and empty texts give no ids and empty bytes. Rows that repeat are encoded each. Very long texts and words are encoded
 whole, in windows and pieces. Empty tables give no rows. Other columns are not read.
@@ -29,7 +28,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain, islice
 
 import numpy as np
@@ -40,16 +39,15 @@ from tessella.llm.chunks import PRE_TOKEN, chunk_keys, chunk_text
 from tessella.llm.common import text_batches, two_columns, worker_state
 
 LONG_WORD = 64
-CACHE_KEYS = 400_000
+CACHE_KEYS = 300_000
 #: Windows of a long word that are learned at a time.
 WINDOWS = 50_000
-GROWN_KEYS = 2_000
 #: Longest key of a chunk that is cached, in characters.
 CACHE_CHARS = 256
 #: Sum of the squared lengths of the words of one recursive query.
-MERGE_ROWS = 3_000_000
+MERGE_ROWS = 2_000_000
 #: Tokens decoded by one query, and by one group of its ordered aggregation.
-DECODE_TOKENS, PIECE_TOKENS = 800_000, 200_000
+DECODE_TOKENS, PIECE_TOKENS = 400_000, 100_000
 
 _SHORT = """
 WITH RECURSIVE s(round, w, pos, id, nid, npos) AS (
@@ -112,7 +110,7 @@ class SqlBpe:
                 if left is not None and right is not None:
                     pairs.append(left * 65536 + right)
                     merged.append(rank)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.con.register("m", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int64())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m").fetchall()
         shown = ["".join(chr(256 + b) for b in token) for token in self.ranks]
@@ -120,9 +118,8 @@ class SqlBpe:
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v").fetchall()
         self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        #: Ids of windows that had to grow.
-        self.grown: dict[bytes, bytes] = {}
+        #: Ids of windows of long words.
+        self.windows: dict[bytes, bytes] = {}
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         sizes = np.array([len(w) for w in words], np.int64)
@@ -150,22 +147,17 @@ class SqlBpe:
             start = stop
         return out
 
-    def _learn_words(self, words: set[bytes]) -> None:
-        todo = [w for w in words if w not in self.words]
-        if len(self.words) + len(todo) > CACHE_KEYS:
-            self.words = dict(islice(self.words.items(), CACHE_KEYS // 2))
-            todo = [w for w in words if w not in self.words]
-        todo.sort(key=len)  # words of one query end after about as many rounds
-        self.words.update(zip(todo, self._merge(todo)))
+    def _learn_windows(self, windows: Iterable[bytes]) -> None:
+        if len(self.windows) > 2 * WINDOWS:
+            self.windows.clear()
+        todo = sorted({w for w in windows if w not in self.windows}, key=len)
+        self.windows.update(zip(todo, self._merge(todo)))
 
     def _placed(self, window: bytes, start: int) -> Tokens:
         """The window's tokens, their places counted from ``start``."""
-        held = self.words if len(window) <= LONG_WORD else self.grown
-        if window not in held:
-            if len(self.grown) >= GROWN_KEYS:
-                self.grown.clear()
-            held[window] = self._merge([window])[0]
-        ids = array("I", held[window])
+        if window not in self.windows:
+            self._learn_windows([window])
+        ids = array("I", self.windows[window])
         return array("q", accumulate((self.sizes[i] for i in ids[:-1]), initial=start)), ids
 
     def _long_word(self, word: bytes) -> bytes:
@@ -173,7 +165,7 @@ class SqlBpe:
         tokens: Tokens = (array("q"), array("I"))
         for part in range(0, len(word), WINDOWS * step):  # learned many at a time, never more than the cache holds
             last = min(len(word), part + WINDOWS * step)
-            self._learn_words(set(_windows(word, part, last)))
+            self._learn_windows(_windows(word, part, last))
             for at in range(part, last, step):
                 end = min(len(word), at + LONG_WORD)
                 if not tokens[0]:
@@ -194,6 +186,15 @@ class SqlBpe:
                 return
             back *= 2
 
+    def _ids_of_words(self, words: set[str]) -> dict[str, bytes]:
+        found = {w: got for w in words if w[0] == " " and (got := self.chunks.get(w[1:])) is not None}  # a chunk that is one word
+        todo = sorted(((w, w.encode()) for w in words if w not in found), key=lambda x: len(x[1]))  # those of a query end together
+        cut = next((i for i, (_, b) in enumerate(todo) if len(b) > LONG_WORD), len(todo))
+        found.update(zip((w for w, _ in todo[:cut]), self._merge([b for _, b in todo[:cut]])))
+        self._learn_windows(islice(chain.from_iterable(_windows(b, 0, len(b)) for _, b in todo[cut:]), WINDOWS))
+        found.update((w, self._long_word(b)) for w, b in todo[cut:])
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         keys = [chunk_keys(t) for t in texts]
@@ -205,19 +206,10 @@ class SqlBpe:
         if len(self.chunks) + len(new) > CACHE_KEYS:
             self.chunks = dict(islice(self.chunks.items(), CACHE_KEYS // 2))
             new = {x for k in keys for x in k if x not in self.chunks}
-        cut = {k: [w.encode() for w in PRE_TOKEN.findall(chunk_text(k))] for k in new}
-        words = {w for words in cut.values() for w in words}
-        windows = chain.from_iterable(_windows(w, 0, len(w)) for w in words if len(w) > LONG_WORD)
-        self._learn_words({w for w in words if len(w) <= LONG_WORD} | set(islice(windows, WINDOWS)))
-        later = {}
+        cut = {k: PRE_TOKEN.findall(chunk_text(k)) for k in new}
+        ids = self._ids_of_words({w for words in cut.values() for w in words})
         for k, words in cut.items():
-            ids = [self.words[w] if len(w) <= LONG_WORD else None for w in words]
-            if None in ids:
-                later[k] = (words, ids)
-            else:
-                (here if k in here else self.chunks)[k] = b"".join(ids)
-        for k, (words, ids) in later.items():  # these may renew the cache of words
-            (here if k in here else self.chunks)[k] = b"".join([self._long_word(w) if x is None else x for w, x in zip(words, ids)])
+            (here if k in here else self.chunks)[k] = b"".join(map(ids.__getitem__, words))
         get = self.chunks.get
         return [b"".join([here[x] if (got := get(x)) is None else got for x in k]) for k in keys]
 
@@ -252,7 +244,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker(path)
-        for ids, texts in text_batches(batches, "doc_id", "text", 2_000_000):
+        for ids, texts in text_batches(batches, "doc_id", "text", 1_000_000):
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "ids": pa.array(bpe.encode(texts), pa.binary())})
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids binary")
@@ -277,7 +269,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker(path)
-        for keys, texts in text_batches(batches, "doc_id", "text", 2_000_000):
+        for keys, texts in text_batches(batches, "doc_id", "text", 1_000_000):
             ids = bpe.encode(texts)
             yield pa.RecordBatch.from_pydict({"doc_id": keys, "ids": pa.array(ids, pa.binary()), "decoded": pa.array(bpe.decode(ids), pa.binary())})
 

@@ -132,7 +132,7 @@ def filter_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
             start = 0
             while start < batch.num_rows:
                 stop, held = start, 0
-                while stop < batch.num_rows and held < 2_000_000:
+                while stop < batch.num_rows and held < 1_000_000:
                     held += len(texts[stop].as_py() or "")
                     stop += 1
                 part = batch.slice(start, stop - start)

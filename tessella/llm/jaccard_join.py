@@ -13,8 +13,8 @@ named by the hash of the set.
 2. A second pass writes each set's prefix under order A: any two linked sets of n shingles share one of the first
    ``n - ceil(num * n / den) + 1``. Postings (token, set, size, place) travel packed, many to a row, to the bucket of their
    token; a bucket keeps those of tokens that two different sets hold. Copies are skipped inside a task.
-3. Candidate pairs share a token and lie in different components. Two pivot rounds pair the nodes of a token with one
-   pivot only, by their first tokens, which joins large groups of near copies by stars; a last round pairs all that is
+3. Candidate pairs share a token and lie in different components. Pivot rounds pair the nodes of a token with one
+   pivot only, by their commonest tokens, which joins large groups of near copies by stars; a last round pairs all that is
    still apart under every token. The join's own condition holds the filters on size, on the places of the token (what is
    left behind it in either set must suffice) and on the sketches, so pairs that fail them are never emitted; pairs of
    large sets then pass a wider sketch.
@@ -52,7 +52,7 @@ HOT_SHARE = 2000
 SALTS = 64
 PIVOT_TURNS = 2
 #: Of a set's shared tokens, those that pivot rounds use.
-PIVOT_TOKENS = 4
+PIVOT_TOKENS = 6
 #: Sets of more shingles have a second sketch, of this many bits.
 WIDE_FROM, WIDE_BITS = 600, 4096
 #: Postings that a bucket's reducer takes in before it sorts them.
@@ -78,6 +78,11 @@ class Rule:
         left = F.least(x - F.col(at), y - F.col(other_at))
         return (F.least(x, y) * self.den >= F.greatest(x, y) * self.num) & (left * (self.num + self.den) >= (x + y) * self.num)
 
+    def short(self) -> Column:
+        """Whether a token is in the part of the prefix within which a set shares one with any linked set of its size or more."""
+        n = F.col("n").cast("long")
+        return (n - F.col("at")) * (self.num + self.den) >= n * (2 * self.num)
+
     def alike(self, n: str, m: str) -> Column:
         """Filter on the sketches: linked sets differ in at most (den - num) / (den + num) of both sizes together."""
         bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(4)), F.lit(0))
@@ -196,7 +201,7 @@ _POSTING = [("token", np.uint64), ("set", np.int64), ("n", np.int32), ("at", np.
 def _shared_postings(rows: DataFrame, nodes: DataFrame, rule: Rule, shared, tables: StageTables) -> DataFrame:
     """(token, set, n, at, s0..s3, nth): prefix postings under order A of tokens that at least two different sets hold.
 
-    ``nth`` is the token's place among the shared ones of its set.
+    ``nth`` is the token's place among the shared ones of its set, the commonest of its short prefix first.
     """
     tokens = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * F.lit(rule.num) / F.lit(rule.den)) + 1)).first()[0] or 0
     buckets = max(2 * int(tables.spark.conf.get("spark.sql.shuffle.partitions")), int(tokens) // POSTINGS_AT_ONCE)
@@ -240,7 +245,7 @@ def _shared_postings(rows: DataFrame, nodes: DataFrame, rule: Rule, shared, tabl
 
     dealt = rows.mapInArrow(deal, "bucket long, token binary, set binary, n binary, at binary").repartition("bucket")
     found = dealt.mapInArrow(gather, "token long, set long, n int, at int").dropDuplicates(["token", "set"])
-    nth = F.row_number().over(Window.partitionBy("set").orderBy("at", "token"))
+    nth = F.row_number().over(Window.partitionBy("set").orderBy(rule.short().desc(), F.desc("at"), "token"))
     return tables.put("postings", found.join(nodes.drop("doc_id", "n", "wide"), "set").withColumn("nth", nth))
 
 
@@ -335,12 +340,11 @@ def _link(rows: DataFrame, nodes: DataFrame, postings: DataFrame, rule: Rule, sh
     """(id, label): the component of every set that has a link."""
     spark = postings.sparkSession
     labels = spark.createDataFrame([], "id long, label long")
-    links: DataFrame | None = None
     for turn in range(PIVOT_TURNS + 1):
         last = turn == PIVOT_TURNS
         current = postings if last else postings.where(F.col("nth") <= PIVOT_TOKENS)
         current = current.drop("nth").join(_few(labels), F.col("set") == F.col("id"), "left").withColumn("label", F.coalesce("label", "set")).drop("id")
-        pivot = F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), *_OTHER)).alias("pivot")
+        pivot = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), *_OTHER)).alias("pivot")
         apart = current.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times"), *([] if last else [pivot])).where("low <> high")
         apart = tables.put(f"apart{turn}", apart.drop("low", "high"))
         if apart.isEmpty():
@@ -355,14 +359,23 @@ def _link(rows: DataFrame, nodes: DataFrame, postings: DataFrame, rule: Rule, sh
         pairs = tables.put(f"pairs{turn}", both.select(F.least("set", "other").alias("x"), F.greatest("set", "other").alias("y")).distinct())
         pairs = tables.put(f"alike{turn}", _alike(pairs, nodes, rule))
         held = _held(rows, nodes, pairs, rule, shared, tables)
-        new = tables.put(f"links{turn}", verify(pairs, held, rule))
-        for t in (f"apart{turn}", f"pairs{turn}", f"alike{turn}", "held"):
+        labels = tables.put(f"labels{turn}", _relabelled(labels, verify(pairs, held, rule), turn, tables))
+        for t in (f"apart{turn}", f"pairs{turn}", f"alike{turn}", "held", f"labels{turn - 1}"):
             tables.drop(t)
-        links = new if links is None else links.unionByName(new)
-        labels = connected(links, tables, f"turn{turn}-")
-    if links is not None:
-        labels = tables.put("labels", labels)
-    return labels
+    return tables.put("labels", labels)
+
+
+def _relabelled(labels: DataFrame, links: DataFrame, turn: int, tables: StageTables) -> DataFrame:
+    """(id, label) after the links: components of the graph whose nodes are the labels so far."""
+    known = _few(labels)
+    ends = tables.put(f"links{turn}", links)
+    for end in ("x", "y"):
+        ends = ends.join(known.toDF(end, f"l{end}"), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+    edges = ends.select(F.col("lx").alias("x"), F.col("ly").alias("y")).where("x <> y").distinct()
+    merged = connected(edges, tables, f"turn{turn}-")
+    old = labels.join(_few(merged).toDF("label", "new"), "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+    met = merged.join(labels.select("id"), "id", "left_anti")
+    return old.unionByName(met)
 
 
 def _all_apart(current: DataFrame, apart: DataFrame, hot: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -372,8 +385,7 @@ def _all_apart(current: DataFrame, apart: DataFrame, hot: DataFrame, rule: Rule)
     """
     left, tokens = _salted(current, apart.select("token"), hot, "set")
     left = left.join(tokens, ["token", "salt"], "left_semi")
-    short = current.where((F.col("n") - F.col("at")).cast("long") * (rule.num + rule.den) >= F.col("n").cast("long") * (2 * rule.num))
-    _, right = _salted(apart, short, hot, "token")
+    _, right = _salted(apart, current.where(rule.short()), hot, "token")
     return left, right.select("token", "salt", *(F.col(a).alias(b) for a, b in _OTHER.items()))
 
 
