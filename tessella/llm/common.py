@@ -89,11 +89,13 @@ def worker_state(operator: str, make: Callable[[], object] | None = None):
     Workers serve one stage after another; what the last operator kept goes before the next one fills its own.
     """
     if operator not in _STATE:
-        if _STATE:
-            _STATE.clear()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # glibc only; without it memory is given back later
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _STATE.clear()
+        gc.collect()
+    # What earlier tasks have freed goes back to the system.
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    if operator not in _STATE:
         _STATE[operator] = make() if make else None
     return _STATE[operator]
 
@@ -105,9 +107,20 @@ def arrow_type(kind: str) -> pa.DataType:
 
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the key and the text, under fixed names, so that no other column of the input can clash."""
+    short_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
+TEXT_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows to an Arrow batch to ``TEXT_ROWS``: texts make the usual 10,000 rows tens or hundreds of MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 BROADCAST_IDS = 1_000_000
 
 
@@ -124,6 +137,7 @@ def without(docs: DataFrame, dropped: DataFrame, name: str, id_col: str = "doc_i
 
 def filter_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` for which ``keep(texts)`` gives true, all columns as they are; no shuffle."""
+    short_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

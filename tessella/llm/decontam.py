@@ -277,8 +277,12 @@ def uncontaminated(docs: DataFrame, items: DataFrame, min_overlap: float = 0.8,
     """The rows, whole, that match no item."""
 
     def clean(name: str, shared) -> Callable[[list[str]], list[bool]]:
+        held: list[ItemIndex] = []
+
         def keep(texts: list[str]) -> list[bool]:
-            found = {row[0] for row in worker_state(name, lambda: ItemIndex(*shared.value)).search(texts)}
+            if not held:
+                held.append(worker_state(name, lambda: ItemIndex(*shared.value)))
+            found = {row[0] for row in held[0].search(texts)}
             return [n not in found for n in range(len(texts))]
 
         return keep

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import worker_state
+from tessella.llm.common import short_batches, worker_state
 
 N_PAGES = 1000
 
@@ -376,6 +376,7 @@ def extract(pages: DataFrame, model: Boosted | None = None, html_col: str = "htm
     """The ``carry`` columns and ``text`` of every page."""
     model = model or train()
     shared = pages.sparkSession.sparkContext.broadcast(model)
+    short_batches(pages.sparkSession)
     rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(f"`{html_col}`").alias("page"))
     schema = ", ".join(f"c{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
 

@@ -339,7 +339,7 @@ _OTHER = {"set": "other", "n": "m", "at": "other_at", "label": "other_label", **
 def _link(rows: DataFrame, nodes: DataFrame, postings: DataFrame, rule: Rule, shared, tables: StageTables) -> DataFrame:
     """(id, label): the component of every set that has a link."""
     spark = postings.sparkSession
-    labels = spark.createDataFrame([], "id long, label long")
+    labels = spark.range(0).withColumn("label", F.col("id"))
     for turn in range(PIVOT_TURNS + 1):
         last = turn == PIVOT_TURNS
         current = postings if last else postings.where(F.col("nth") <= PIVOT_TOKENS)

@@ -168,8 +168,12 @@ def accepted(docs: DataFrame, model: Model, min_score: float, text_col: str = "t
     """The rows, whole, that get a learned language with at least ``min_score`` and whose n-grams are those of that language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    begun: list[bool] = []
+
     def keep(texts: list[str]) -> list[bool]:
-        worker_state("langid")
+        if not begun:
+            begun.append(True)
+            worker_state("langid")
         return [name != UND and score >= min_score and like for name, score, like in zip(*shared.value.judge(texts))]
 
     return filter_rows(docs, keep, text_col)
