@@ -39,7 +39,7 @@ from tessella.llm.chunks import PRE_TOKEN, chunk_keys, chunk_text
 from tessella.llm.common import text_batches, two_columns, worker_state
 
 LONG_WORD = 64
-CACHE_KEYS = 300_000
+CACHE_KEYS = 200_000
 #: Windows of a long word that are learned at a time.
 WINDOWS = 50_000
 #: Longest key of a chunk that is cached, in characters.
@@ -47,7 +47,7 @@ CACHE_CHARS = 256
 #: Sum of the squared lengths of the words of one recursive query.
 MERGE_ROWS = 2_000_000
 #: Tokens decoded by one query, and by one group of its ordered aggregation.
-DECODE_TOKENS, PIECE_TOKENS = 400_000, 100_000
+DECODE_TOKENS, PIECE_TOKENS = 200_000, 100_000
 
 _SHORT = """
 WITH RECURSIVE s(round, w, pos, id, nid, npos) AS (
@@ -197,21 +197,19 @@ class SqlBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        keys = [chunk_keys(t) for t in texts]
         new: set[str] = set()
-        for k in keys:
-            new.update(k)
-        here = {k: b"" for k in new if len(k) > CACHE_CHARS}  # not cached
-        new.difference_update(self.chunks)
+        for t in texts:  # split once more below: the pieces of all texts together take more room than the texts
+            new.update(k for k in chunk_keys(t) if k not in self.chunks)
         if len(self.chunks) + len(new) > CACHE_KEYS:
             self.chunks = dict(islice(self.chunks.items(), CACHE_KEYS // 2))
-            new = {x for k in keys for x in k if x not in self.chunks}
+            new = {k for t in texts for k in chunk_keys(t) if k not in self.chunks}
+        here: dict[str, bytes] = {k: b"" for k in new if len(k) > CACHE_CHARS}  # not cached
         cut = {k: PRE_TOKEN.findall(chunk_text(k)) for k in new}
         ids = self._ids_of_words({w for words in cut.values() for w in words})
         for k, words in cut.items():
             (here if k in here else self.chunks)[k] = b"".join(map(ids.__getitem__, words))
         get = self.chunks.get
-        return [b"".join([here[x] if (got := get(x)) is None else got for x in k]) for k in keys]
+        return [b"".join([here[x] if (got := get(x)) is None else got for x in chunk_keys(t)]) for t in texts]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         pieces = [(doc, x[i : i + 4 * PIECE_TOKENS]) for doc, x in enumerate(ids) for i in range(0, len(x), 4 * PIECE_TOKENS)]

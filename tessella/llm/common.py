@@ -81,6 +81,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str,
 
 
 _STATE: dict = {}
+_MMAP_THRESHOLD = -3
 
 
 def worker_state(operator: str, make: Callable[[], object] | None = None):
@@ -94,7 +95,9 @@ def worker_state(operator: str, make: Callable[[], object] | None = None):
     # What earlier tasks have freed goes back to the system.
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc only
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(_MMAP_THRESHOLD, 1 << 18)  # arrays from 256 KB on are mapped, and so given back when freed
+        libc.malloc_trim(0)
     if operator not in _STATE:
         _STATE[operator] = make() if make else None
     return _STATE[operator]

@@ -47,7 +47,8 @@ MAX_BLOCKS = 256
 SHINGLE = 5
 K1, B = 1.2, 0.75
 #: Numbers held at once in sums over blocks, and postings looked up at once.
-SUMS_AT_ONCE, LOOKUPS_AT_ONCE = 4_000_000, 500_000
+SUMS_AT_ONCE, LOOKUPS_AT_ONCE = 2_000_000, 200_000
+CACHE_KEYS = 100_000
 _SENTENCE = re.compile(r"[.!?]\s+")
 
 
@@ -132,7 +133,7 @@ class ItemIndex:
         """Term numbers of the whole text; a word that no item has is -1."""
         pieces = text.split()
         new = [p for p in set(pieces) if p not in self.cache]
-        if len(self.cache) + len(new) > 1_000_000:
+        if len(self.cache) + len(new) > CACHE_KEYS:
             self.cache, new = {}, list(set(pieces))
         for p in new:
             w = term(p)
