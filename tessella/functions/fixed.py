@@ -66,3 +66,9 @@ WORKFLOW_PRECONDITION = r"\bmust\s+(?:be\s+)?(?:created|performed|run|read|check
 # Words that a statement is compared without, and word forms that count as one.
 STATEMENT_STOP = "must|should|shall|the|a|an|be|is|are|was|were|to"
 STATEMENT_FORMS = {"has": "have", "compiles": "compile", "handles": "handle", "included": "include"}
+# Words that call something by a label, and those that may stand between such a word and the label.
+LABEL_KINDS = ("skill", "plugin", "agent", "tool")
+LABEL_CALLS = ("label", "named", "called")
+# What a dependency may be, and the states of a finished extraction.
+DEPENDENCY_TYPES = ("software", "service", "hardware", "knowledge", "data", "other")
+EXTRACTION_STATUSES = ("validated", "needs_review")

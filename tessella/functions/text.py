@@ -106,7 +106,7 @@ def language_group(language: Column | str, *fields: Column | str) -> Column:
 def valid_languages(tags: Column | str) -> Column:
     """Non-empty, all well formed (or ``und``), none twice."""
     t = _col(tags)
-    return (F.size(t) > 0) & F.forall(t, lambda x: F.coalesce(x.rlike(r"^(und|[a-z]{2,3}(-[A-Za-z0-9]+)*)$"), F.lit(False))) & (F.size(F.array_distinct(t)) == F.size(t))
+    return (F.size(t) > 0) & F.forall(t, lambda x: F.coalesce(x.rlike(r"^(und|[a-z]{2,3})(-[A-Za-z0-9]{2,8})*$"), F.lit(False))) & (F.size(F.array_distinct(t)) == F.size(t))
 
 
 def search_text(name: Column | str, description: Column | str, body: Column | str) -> Column:

@@ -23,7 +23,9 @@ TOP = ("schema_version", "skill_id", "source_hash", *SEMANTIC, "evidence", "extr
 ARTIFACT = ("artifact", "format", "required", "constraints", "evidence_ids")
 STATEMENT = ("statement", "evidence_ids")
 ITEM = {"operations": ("action", "target", "outcome", "qualifiers", "evidence_ids"), "inputs": ARTIFACT, "outputs": ARTIFACT, "dependencies": ("name", "type", "required", "evidence_ids"), "preconditions": STATEMENT, "constraints": STATEMENT, "exclusions": STATEMENT, "quality_criteria": STATEMENT}
-TEXTS = {"operations": ("action",), "inputs": ("artifact",), "outputs": ("artifact",), "dependencies": ("name", "type")}
+TEXTS = {"operations": ("action", "target"), "inputs": ("artifact",), "outputs": ("artifact",), "dependencies": ("name",)}
+OPTIONAL_TEXTS = {"operations": ("outcome",), "inputs": ("format",), "outputs": ("format",)}
+TEXT_LISTS = {"operations": ("qualifiers",), "inputs": ("constraints",), "outputs": ("constraints",)}
 
 
 @dataclass(frozen=True)
@@ -186,7 +188,7 @@ def materialize(semantic: dict, skill: dict, how: Extraction = Extraction(), att
 
 
 # ---- checking ---------------------------------------------------------------------------------------------------------
-_LANGUAGE = re.compile(r"und|[a-z]{2,3}(?:-[A-Za-z0-9]+)*")
+_LANGUAGE = re.compile(r"(?:und|[a-z]{2,3})(?:-[A-Za-z0-9]{2,8})*")
 
 
 def problems(contract: dict, skill: dict) -> Iterator[str]:
@@ -202,12 +204,21 @@ def problems(contract: dict, skill: dict) -> Iterator[str]:
         if not isinstance(value, str) or not value.strip():
             yield f"{where} must be a non-empty string"
 
+    def texts(where: str, value) -> Iterator[str]:
+        if not isinstance(value, list):
+            yield f"{where} must be a list"
+        else:
+            for i, x in enumerate(value):
+                yield from filled(f"{where}[{i}]", x)
+
     yield from exact("contract", contract, TOP)
     if contract.get("schema_version") != "contract_v2":
         yield "schema_version must be contract_v2"
     if contract.get("skill_id") != skill.get("skill_id"):
         yield "skill_id differs from the skill"
-    if contract.get("source_hash") != source_hash(skill):
+    if not isinstance(contract.get("source_hash"), str) or not re.fullmatch(r"[0-9a-f]{64}", contract["source_hash"]):
+        yield "source_hash must be 64 lower-case hexadecimal digits"
+    elif contract["source_hash"] != source_hash(skill):
         yield "source_hash differs from the skill's content"
     languages = contract.get("source_languages")
     if not isinstance(languages, list) or not languages or len(set(map(str, languages))) != len(languages) or not all(isinstance(x, str) and _LANGUAGE.fullmatch(x) for x in languages):
@@ -216,8 +227,11 @@ def problems(contract: dict, skill: dict) -> Iterator[str]:
         yield "canonical_language must be a language tag"
     known: set[str] = set()
     rows = contract.get("evidence")
+    if not isinstance(rows, list):
+        yield "evidence must be a list"
     for i, e in enumerate(rows if isinstance(rows, list) else []):
         yield from exact(f"evidence[{i}]", e, ("evidence_id", "source_field", "quote", "start_char", "end_char"))
+        yield from filled(f"evidence[{i}].evidence_id", e.get("evidence_id"))
         start, end = e.get("start_char"), e.get("end_char")
         if e.get("source_field") not in ev.FIELDS or type(start) is not int or type(end) is not int or not 0 <= start < end or (skill.get(e["source_field"]) or "")[start:end] != e.get("quote"):
             yield f"evidence[{i}] does not quote its source"
@@ -246,6 +260,13 @@ def problems(contract: dict, skill: dict) -> Iterator[str]:
             yield from exact(where, item, ITEM[f])
             for name in TEXTS.get(f, ("statement",)):
                 yield from filled(f"{where}.{name}", item.get(name))
+            for name in OPTIONAL_TEXTS.get(f, ()):
+                if item.get(name) is not None:
+                    yield from filled(f"{where}.{name}", item[name])
+            for name in TEXT_LISTS.get(f, ()):
+                yield from texts(f"{where}.{name}", item.get(name))
+            if f == "dependencies" and item.get("type") not in fixed.DEPENDENCY_TYPES:
+                yield f"{where}.type must be one of {', '.join(fixed.DEPENDENCY_TYPES)}"
             if "required" in ITEM[f] and item.get("required") not in (True, False, None):
                 yield f"{where}.required must be true, false or null"
             yield from references(where, item)
@@ -253,8 +274,16 @@ def problems(contract: dict, skill: dict) -> Iterator[str]:
         yield f"evidence is never referred to: {sorted(known - used)}"
     how = contract.get("extraction")
     yield from exact("extraction", how, ("method", "provider", "model", "prompt_version", "temperature", "status", "attempts", "warnings"))
-    if how.get("method") != "llm" or how.get("status") not in ("validated", "failed") or type(how.get("attempts")) is not int or how["attempts"] < 1 or isinstance(how.get("temperature"), bool) or not isinstance(how.get("temperature"), (int, float)):
-        yield "extraction is not valid"
+    for name in ("provider", "model", "prompt_version"):
+        yield from filled(f"extraction.{name}", how.get(name))
+    warmth, tries = how.get("temperature"), how.get("attempts")
+    if how.get("method") != "llm" or how.get("status") not in fixed.EXTRACTION_STATUSES:
+        yield "extraction.method or extraction.status is not valid"
+    if isinstance(warmth, bool) or not isinstance(warmth, (int, float)) or not 0 <= warmth <= 2:
+        yield "extraction.temperature must lie in 0..2"
+    if type(tries) is not int or tries < 1:
+        yield "extraction.attempts must be 1 or more"
+    yield from texts("extraction.warnings", how.get("warnings"))
 
 
 def check(contract: dict, skill: dict) -> str | None:

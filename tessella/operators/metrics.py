@@ -6,6 +6,8 @@ row of metrics; strata are means over tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,15 +94,16 @@ class Evaluation(NamedTuple):
 
 
 def evaluate(tasks: DataFrame, rankings: DataFrame, pool: DataFrame) -> Evaluation:
-    """``tasks``: query_id, gold (array), generic_only, and optionally relevance (map of grades).
+    """``tasks``: query_id, gold (array), generic_only or task_type, and optionally relevance (map of grades).
 
     Skips generic tasks, then tasks without gold in the pool, then tasks without a ranking. The stratum follows the whole
     gold set, the metrics only what is in the pool.
     """
+    generic = [F.coalesce(F.col(c) == v, F.lit(False)) for c, v in (("generic_only", True), ("task_type", "generic_only")) if c in tasks.columns]
     in_pool = pool.select("skill_id").distinct()
     golds = tasks.select("query_id", F.explode("gold").alias("skill_id")).distinct().join(in_pool, "skill_id", "left_semi")
     flags = (
-        tasks.select("query_id", F.coalesce("generic_only", F.lit(False)).alias("generic"), F.size("gold").alias("n_gold"))
+        tasks.select("query_id", reduce(or_, generic, F.lit(False)).alias("generic"), F.size("gold").alias("n_gold"))
         .join(golds.select("query_id").distinct().withColumn("has_gold", F.lit(True)), "query_id", "left")
         .join(rankings.select("query_id").distinct().withColumn("has_ranking", F.lit(True)), "query_id", "left")
         .withColumn("skip", F.when(F.col("generic"), "generic_only").when(F.col("has_gold").isNull(), "no_gt_in_pool").when(F.col("has_ranking").isNull(), "missing_prediction"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import hashing, text
 from tessella.functions.fixed import ARTIFACT_STOP_WORDS, CONSUMER_ACTIONS, QUERY_INSTRUCTION, RERANK_INSTRUCTION
-from tessella.operators import bm25, dense, fusion, graph, metrics, negatives, sampling
+from tessella.operators import bm25, dense, fusion, graph, metrics, negatives, retrieval, sampling
 from tessella.plans import roles
 from tessella.plans.roles import GOLD, POOL, TASKS
 
@@ -191,22 +191,28 @@ def dense_topk(spark, sf):
 
 
 # Two vectors stand for the embeddings of a query and of a document of the same number.
-_HYBRID = f"""{_BM25}, names AS (SELECT pool_idx, skill_id FROM {POOL}),
+_S12 = "concat_ws(' | ', coalesce(name, ''), coalesce(description, '')[1:300], coalesce(body, '')[1:2500])"
+_PADDED = f"""{_BM25.replace(sql_tokens('body'), sql_tokens(_S12))},
+pad AS (SELECT query_id, pool_idx, score FROM rk WHERE rank <= 100 UNION ALL SELECT t.query_id, h.pool_idx, 0.0 FROM {TASKS} t, (SELECT pool_idx FROM {POOL} ORDER BY pool_idx LIMIT 200) h WHERE NOT EXISTS (SELECT 1 FROM rk WHERE rk.query_id = t.query_id AND rk.pool_idx = h.pool_idx AND rank <= 100)),
+lx AS (SELECT query_id, pool_idx, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_idx) AS rank FROM pad)"""
+_HYBRID = f"""{_PADDED}, names AS (SELECT pool_idx, skill_id FROM {POOL}),
 dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_idx) AS rank FROM (SELECT t.query_id, b.vec_id AS pool_idx, {_SIM} AS score FROM {TASKS} t JOIN embeddings a ON a.vec_id = t.item_id, embeddings b WHERE b.vec_id IN (SELECT pool_idx FROM names))),
-bt AS (SELECT query_id, pool_idx, rank, 0 AS src FROM rk WHERE rank <= 100 UNION ALL SELECT query_id, pool_idx, rank, 1 FROM dn WHERE rank <= 100),
+bt AS (SELECT query_id, pool_idx, rank, 0 AS src FROM lx WHERE rank <= 100 UNION ALL SELECT query_id, pool_idx, rank, 1 FROM dn WHERE rank <= 100),
 fs AS (SELECT query_id, skill_id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + rank)), 9) AS score FROM bt JOIN names USING (pool_idx) GROUP BY ALL),
 hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, skill_id) AS rank FROM fs)"""
 
 
+@query(f"WITH {_PADDED} SELECT query_id, skill_id, score, rank FROM lx JOIN (SELECT pool_idx, skill_id FROM {POOL}) USING (pool_idx) WHERE rank <= 100")
+def bm25_s12(spark, sf):
+    return retrieval.lexical(roles.pool(spark, sf), roles.tasks(spark, sf), 100, TOKENS).withColumn("rank", F.col("rank").cast("long"))
+
+
 def _hybrid(spark, sf, top_k=50, depth=100):
     pool = roles.pool(spark, sf)
-    names = pool.select("pool_idx", "skill_id")
-    lexical = bm25.rank(pool, "body", roles.tasks(spark, sf), "query", depth, tokenize=TOKENS)
     v = roles.table(spark, sf, "embeddings").select("vec_id", "embedding")
     asked = roles.tasks(spark, sf).join(v, F.col("item_id") == F.col("vec_id")).select("query_id", "embedding")
-    there = v.join(names, F.col("vec_id") == F.col("pool_idx"), "left_semi").select(F.col("vec_id").alias("pool_idx"), "embedding")
-    semantic = dense.semantic_topk(asked, there, depth)
-    return fusion.reciprocal_rank_fusion([r.join(names, "pool_idx").select("query_id", "skill_id", "rank") for r in (lexical, semantic)], top_k)
+    there = v.join(pool, F.col("vec_id") == F.col("pool_idx"), "left_semi").select(F.col("vec_id").alias("pool_idx"), "embedding")
+    return retrieval.hybrid(pool, roles.tasks(spark, sf), there, asked, top_k, depth, tokenize=TOKENS)
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, skill_id, score, rank FROM hy WHERE rank <= 50")

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and rows.rdd.getNumPartitions() < cores:  # a small table of one row group, else one task's work
+        rows = rows.repartition(cores)
+    return rows
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,13 +63,14 @@ def training_summary(spark, sf):
     return training.summary(_mixed(spark, sf).biencoder)
 
 
-_LOSS = f"x AS (SELECT a.vec_id AS query_id, b.vec_id AS other, {_SIM} AS s FROM embeddings a, embeddings b WHERE a.vec_id < 40 AND b.vec_id < 40)"
+_LOSS = f"x AS (SELECT a.vec_id AS query_id, b.vec_id AS other, {_SIM} AS s FROM embeddings a JOIN embeddings b ON a.vec_id // 40 = b.vec_id // 40)"
 
 
 def _similarities(spark, sf):
-    v = roles.table(spark, sf, "embeddings").where("vec_id < 40").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    other = F.broadcast(v.toDF("other", "w"))
-    return v.join(other).select(F.col("vec_id").alias("query_id"), "other", dense.cosine(F.col("v"), F.col("w")).alias("s"))
+    # every vector has the others of its batch of 40 for in-batch documents
+    v = roles.table(spark, sf, "embeddings").select(F.expr("vec_id div 40").alias("batch"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    other = v.toDF("batch", "other", "w")
+    return v.join(other, "batch").select(F.col("vec_id").alias("query_id"), "other", dense.cosine(F.col("v"), F.col("w")).alias("s"))
 
 
 @query(f"WITH {_LOSS} SELECT query_id, round(ln(sum(exp(s / 0.05 - 20.0))) - max(CASE WHEN other = query_id THEN s / 0.05 - 20.0 END), 6) AS loss FROM x GROUP BY 1")

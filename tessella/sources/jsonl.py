@@ -1,15 +1,16 @@
-"""JSON-lines sources and sinks: files or folders of ``.jsonl`` and ``.jsonl.gz`` in any store Spark reads."""
+"""JSON-lines sources and sinks: files or folders of ``.jsonl``, ``.json`` and either with ``.gz``, in any store Spark reads."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 CORRUPT = "_corrupt_record"
+OLD = ".old"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -25,38 +26,65 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read(spark: SparkSession, path: str, schema: StructType, strict: bool = True) -> DataFrame:
     """Records of ``schema``; blank lines are skipped, gzip is read by its extension.
 
-    Strict: a line that is no JSON object raises, naming file and text. Otherwise the line is kept in ``_corrupt_record``.
+    Strict: a line that is no JSON object raises, naming file and text, whatever columns are selected. Otherwise the line
+    is kept in ``_corrupt_record``. Lines have no numbers, as a file may be read in parts.
     """
+    restore(spark, path)
     full = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    rows = spark.read.schema(full).option("pathGlobFilter", "*.{jsonl,jsonl.gz}").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    lines = spark.read.option("pathGlobFilter", "*.{jsonl,json}{,.gz}").text(path).where("trim(value) <> ''")
+    parsed = F.from_json("value", full, {"columnNameOfCorruptRecord": CORRUPT})
+    # the generator keeps the line from being parsed once for the check and again for the columns
+    rows = lines.select("value", F.col("_metadata.file_name").alias("_file"), F.explode(F.array(parsed)).alias("_row"))
+    bad = F.when(~F.trim("value").startswith("{"), F.col("value")).otherwise(F.col("_row")[CORRUPT])
+    columns = [F.col("_row")[f.name].alias(f.name) for f in schema.fields]
     if not strict:
-        return rows
-    named = rows.withColumn("_file", F.col("_metadata.file_name"))
-    error = F.raise_error(F.concat(F.lit("malformed record in "), "_file", F.lit(": "), F.substring(CORRUPT, 1, 80)))
-    first = schema.fields[0]
-    checked = F.when(F.col(CORRUPT).isNotNull(), error.cast(first.dataType)).otherwise(F.col(first.name))
-    return named.select(checked.alias(first.name), *[f.name for f in schema.fields[1:]])
+        return rows.select(*columns, bad.alias(CORRUPT))
+    error = F.raise_error(F.concat(F.lit("malformed record in "), "_file", F.lit(": "), F.substring(bad, 1, 80)))
+    return rows.where(F.when(bad.isNotNull(), error.cast("boolean")).otherwise(True)).select(*columns)
 
 
 def read_if_exists(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    restore(spark, path)
     return read(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def write_atomic(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Writes beside ``path`` and renames at the end; a failure leaves what was there. Refuses to overwrite unasked."""
+def restore(spark: SparkSession, path: str) -> None:
+    """Puts back what ``write_atomic`` had set aside if it was lost between its two renames."""
+    fs, target = _fs(spark, path)
+    aside = _fs(spark, path.rstrip("/") + OLD)[1]
+    if not fs.exists(target) and fs.exists(aside):
+        fs.rename(aside, target)
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"can't rename {source} to {target}")
+
+
+def write_atomic(df: DataFrame, path: str, overwrite: bool = False) -> int:
+    """Writes beside ``path``, sets aside what was there, and renames; returns the number of rows.
+
+    A failure while writing leaves what was there; one between the renames leaves it aside, where ``read`` and the next
+    write find it. Refuses to overwrite unasked.
+    """
     spark = df.sparkSession
+    restore(spark, path)
     fs, target = _fs(spark, path)
     if fs.exists(target) and not overwrite:
         raise FileExistsError(path)
-    temporary = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".tmp")
+    temporary, aside = (_fs(spark, path.rstrip("/") + x)[1] for x in (".tmp", OLD))
+    seen = Observation()
     try:
-        df.write.mode("overwrite").option("compression", "gzip").json(temporary.toString())
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", "gzip").json(temporary.toString())
         if fs.exists(target):
-            fs.delete(target, True)
-        fs.rename(temporary, target)
+            fs.delete(aside, True)
+            _rename(fs, target, aside)
+        _rename(fs, temporary, target)
+        fs.delete(aside, True)
     finally:
         if fs.exists(temporary):
             fs.delete(temporary, True)
+    return seen.get["rows"]
 
 
 def append(df: DataFrame, path: str) -> None:

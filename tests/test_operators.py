@@ -242,7 +242,7 @@ def test_jsonl(spark, tmp_path):
     assert jsonl.read(spark, str(folder), schema).count() == 2
     out = str(tmp_path / "out")
     jsonl.write_atomic(spark.createDataFrame([("é", 1)], schema), out)
-    assert jsonl.read(spark, out, schema, strict=False).count() in (0, 1)
+    assert [tuple(r) for r in jsonl.read(spark, out, schema).collect()] == [("é", 1)]
     with pytest.raises(FileExistsError):
         jsonl.write_atomic(spark.createDataFrame([("é", 1)], schema), out)
     (folder / "y.jsonl").write_text("nonsense\n")

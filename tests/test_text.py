@@ -80,3 +80,25 @@ def test_labels_statements_and_fences():
     assert ev.near_exclusion_heading("# Out of scope\n- a\n- b", 17) and not ev.near_exclusion_heading("# Scope\n- b", 9)
     with pytest.raises(ValueError):
         ev.json_object("[1]")
+
+
+@pytest.mark.parametrize(
+    "query, name, want",
+    [
+        ("the PDF Tools skill", "pdf-tools", True),
+        ("use tool: pdf_tools now", "pdf tools", True),
+        ("an agent called PDF tools", "pdf tools", True),
+        ("source_skill named 'pdf tools'", "pdf tools", True),
+        ("my_skill pdf tools", "pdf tools", False),
+        ("pdf tools skills", "pdf tools", False),
+        ("pdf tools_skill", "pdf tools", False),
+        ("pdf and tools skill", "pdf tools", False),
+        ("xpdf tools skill", "pdf tools", False),
+        ("the skill label for pdf tools", "pdf tools", False),
+        ("pdf pdf tools plugin", "pdf tools", True),
+        ("skill ...", "", False),
+        ("a b a b tool", "a b", True),
+    ],
+)
+def test_labels_that_leak(query, name, want):
+    assert ev.reveals_label(query, name) is want
