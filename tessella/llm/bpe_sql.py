@@ -15,7 +15,7 @@ first; if that doesn't help, the window grows.
 Decoding. Rows (document, position, id) join the vocabulary and an ordered aggregation concatenates the bytes. Bytes are
 held as the 256 code points U+0100 to U+01FF inside SQL, so that every byte string is valid text.
 
-Each worker caches the ids of at most ``CACHE_KEYS`` chunks (see ``chunks``); when the cache is full, the half that was
+Each worker caches the ids of at most ``cache_keys`` chunks (see ``chunks``); when the cache is full, the half that was
 learned last goes (what is frequent is met early). That costs time and changes nothing else. The rows of one query are
 bounded: a recursion keeps all its rounds, so words are given to it until the squares of their lengths sum to
 ``MERGE_ROWS``; ids are decoded in pieces of ``PIECE_TOKENS``. No shuffle; a lost task is simply run again.
@@ -39,7 +39,8 @@ from tessella.llm.chunks import PRE_TOKEN, chunk_keys, chunk_text
 from tessella.llm.common import text_batches, two_columns, worker_state
 
 LONG_WORD = 64
-CACHE_KEYS = 200_000
+#: Chunks that a worker caches: about 200 bytes each. Fewer take more time and change nothing else.
+CACHE_KEYS = 800_000
 #: Windows of a long word that are learned at a time.
 WINDOWS = 50_000
 #: Longest key of a chunk that is cached, in characters.
@@ -95,9 +96,11 @@ def _splice(tokens: Tokens, more: Tokens) -> bool:
 class SqlBpe:
     """Encoder and decoder of one vocabulary, held once by each Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_keys: int = CACHE_KEYS):
         import duckdb
 
+        self.cache_keys = cache_keys
+
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         if max(self.ranks.values()) >= 65536:
@@ -198,18 +201,21 @@ class SqlBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         new: set[str] = set()
-        for t in texts:  # split once more below: the pieces of all texts together take more room than the texts
-            new.update(k for k in chunk_keys(t) if k not in self.chunks)
-        if len(self.chunks) + len(new) > CACHE_KEYS:
-            self.chunks = dict(islice(self.chunks.items(), CACHE_KEYS // 2))
-            new = {k for t in texts for k in chunk_keys(t) if k not in self.chunks}
+        keys = [chunk_keys(t) for t in texts]
+        for k in keys:
+            new.update(k)
+        new.difference_update(self.chunks)
+        if len(self.chunks) + len(new) > self.cache_keys:
+            self.chunks = dict(islice(self.chunks.items(), self.cache_keys // 2))
+            new = {x for k in keys for x in k if x not in self.chunks}
         here: dict[str, bytes] = {k: b"" for k in new if len(k) > CACHE_CHARS}  # not cached
-        cut = {k: PRE_TOKEN.findall(chunk_text(k)) for k in new}
+        # a blank and ASCII letters are one pre-token
+        cut = {k: [" " + k] if k.isascii() and k.isalpha() else PRE_TOKEN.findall(chunk_text(k)) for k in new}
         ids = self._ids_of_words({w for words in cut.values() for w in words})
         for k, words in cut.items():
             (here if k in here else self.chunks)[k] = b"".join(map(ids.__getitem__, words))
         get = self.chunks.get
-        return [b"".join([here[x] if (got := get(x)) is None else got for x in chunk_keys(t)]) for t in texts]
+        return [b"".join([here[x] if (got := get(x)) is None else got for x in k]) for k in keys]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         pieces = [(doc, x[i : i + 4 * PIECE_TOKENS]) for doc, x in enumerate(ids) for i in range(0, len(x), 4 * PIECE_TOKENS)]
@@ -232,8 +238,8 @@ class SqlBpe:
         return [b"".join(x) for x in out]
 
 
-def worker(path: str) -> SqlBpe:
-    return worker_state(f"bpe_sql {path}", lambda: SqlBpe(path))
+def worker(path: str, cache_keys: int = CACHE_KEYS) -> SqlBpe:
+    return worker_state(f"bpe_sql {path} {cache_keys}", lambda: SqlBpe(path, cache_keys))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,12 +267,12 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return two_columns(encoded, id_col, ids_col).mapInArrow(run, f"doc_id {kind}, decoded binary")
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_keys: int = CACHE_KEYS) -> DataFrame:
     """(doc_id, ids, decoded): both directions in one pass of one Python worker to a task."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker(path)
+        bpe = worker(path, cache_keys)
         for keys, texts in text_batches(batches, "doc_id", "text", 1_000_000):
             ids = bpe.encode(texts)
             yield pa.RecordBatch.from_pydict({"doc_id": keys, "ids": pa.array(ids, pa.binary()), "decoded": pa.array(bpe.decode(ids), pa.binary())})
