@@ -19,6 +19,9 @@ from tessella.llm.common import StageTables, without
 #: how unlikely their n-grams are (``langid.accepted``), not by this limit.
 MIN_LANGUAGE_SCORE = 0.3
 
+#: Chunks cached by a worker of the last stage, whose executors carry what the stages before it have left.
+CACHE_KEYS = 200_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter (or null), and those that the classifier gives to no language."""
@@ -43,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text kept, decoded again: digests of both, as in query op2_bpe."""
-    out = bpe_sql.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = bpe_sql.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), cache_keys=CACHE_KEYS)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
