@@ -2,7 +2,8 @@
 
 1. Every text is encoded by the tokenizers library, ``end_id`` is appended, and the ids are staged in the shared folder.
    Pieces between white space are encoded once and cached: the tokenizer never joins across it. A piece with characters
-   beyond ASCII goes to the library as it stands, so normalisation, lower case and pre-tokens are the library's own.
+   beyond ASCII and the accented Latin letters up to U+017E (composed, each with one lower case, letters in every version
+   of Unicode) goes to the library as it stands, so its normalisation, lower case and pre-tokens are the library's own.
 2. Ids are counted over all staged documents (a bincount to a task, then a sum to an id) and ranked: the most frequent id
    gets code 0. The ranking has one entry to an id of the vocabulary, so its size is known.
 3. Each document's codes are written with 1 to 4 bytes each: two bits a code in the control bytes (four codes to a byte),
@@ -22,8 +23,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,10 @@ BLOCK_IDS = 1 << 18
 FILE_IDS = 1 << 25
 CACHE_KEYS = 1_000_000
 
+#: Visible ASCII, and accented Latin letters without the dotted capital I.
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
+_PLAIN_TEXT = re.compile(r"(?s:[\s!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+)")
+
 # ---- coding -----------------------------------------------------------------------------------------------------------
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
@@ -92,15 +99,16 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Caches the ids of pieces. Pre-tokens of ASCII pieces are encoded many at a time, each up to its end token."""
-        other = [p for p in pieces if not p.isascii()]
+        """Caches the ids of pieces. Pre-tokens of plain pieces are encoded many at a time, each up to its end token."""
+        other = [p for p in pieces if not p.isascii() and not _PLAIN.fullmatch(p)]
         self.cache.update(zip(other, self._library(other)))
-        pieces = [p for p in pieces if p.isascii()]
-        cut = [self.pre_token.findall(p) for p in pieces]
+        pieces = [p for p in pieces if p not in self.cache]
+        cut = [self.pre_token.findall(p.lower()) for p in pieces]
         new = {w for words in cut for w in words}
         new.difference_update(self.words)
         if len(self.words) + len(new) > CACHE_KEYS:
-            self.words, new = {}, {w for words in cut for w in words}
+            self.words = dict(islice(self.words.items(), CACHE_KEYS // 2))  # what is frequent is met early
+            new = {w for words in cut for w in words if w not in self.words}
         todo = list(new)
         for start in range(0, len(todo), 1000):
             part = todo[start : start + 1000]
@@ -117,7 +125,7 @@ class WordEncoder:
         # Python's white space has four separators, U+001C to U+001F, that the tokenizer's pattern has not
         if not self.by_piece or any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return None
-        if text.isascii():
+        if text.isascii() or _PLAIN_TEXT.fullmatch(text):
             return text.lower().split()  # one form for all cases of a piece
         return [p.lower() if p.isascii() else p for p in text.split()]
 
@@ -128,8 +136,8 @@ class WordEncoder:
             new.update(p or ())
         new.difference_update(self.cache)
         if len(self.cache) + len(new) > CACHE_KEYS:
-            self.cache = {}
-            new = {x for p in pieces for x in p or ()}
+            self.cache = dict(islice(self.cache.items(), CACHE_KEYS // 2))
+            new = {x for p in pieces for x in p or () if x not in self.cache}
         self._learn(list(new))
         get = self.cache.__getitem__
         return [self._library([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
