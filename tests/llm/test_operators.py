@@ -285,3 +285,92 @@ def test_main_text_of_held_out_pages(model):
             right += (marker in text) == kept[n]
             total += 1
     assert right >= 0.97 * total
+
+
+def test_long_words_equal_tiktoken():
+    import random
+
+    import tiktoken
+
+    path, r = P.path("byte_bpe_50k.tiktoken"), random.Random(1)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokens = sorted(t.decode() for t in ranks if t.isalpha() and t.isascii())
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    cases = ["=" * n for n in (63, 64, 65, 128, 129, 1000, 5003)] + [" " * 130 + "x", "-=" * 700, "abc" * 999, "日本" * 900]
+    cases += ["".join(r.sample(tokens, 60)) for _ in range(100)] + [word("ae", r.randint(50, 400)) for _ in range(100)]
+    cases += [" ".join(word("abcdefghijklmnopqrstuvwxyz", 45) for _ in range(8000)), word("abcdefghijklmnopqrstuvwxyzABC", 200_000)]
+    bpe = bpe_sql.SqlBpe(path, cache_keys=2000)
+    got = bpe.encode(cases)
+    assert got == [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in cases]
+    assert bpe.decode(got) == [t.encode() for t in cases]
+
+
+def test_pieces_equal_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, r = P.path("word_bpe_49k.json"), random.Random(2)
+    library, own = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 211 == 0)]
+    latin = [chr(c) for c in [*range(0x20, 0x7F), *range(0xC0, 0x180)]]
+    cases = [chr(c) for c in points] + ["İᢩ", "̵᫈", "₟“", "΍₞"]
+    cases += ["".join(chr(r.choice(points)) for _ in range(r.randint(1, 12))) for _ in range(10_000)]
+    cases += ["".join(r.choice([*latin, "Σ", "́", "\x85"]) for _ in range(r.randint(1, 20))) for _ in range(10_000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(cases)] == [e.ids for e in library.encode_batch(cases, add_special_tokens=False)]
+
+
+def test_copies_with_words_put_in_are_found(spark, monkeypatch):
+    words = [f"t{i}" for i in range(100)]
+    items = spark.createDataFrame([(None, " ".join(words)), (7, "x y z u v w"), (7, "x y z u v w")], "item_id long, text string")
+    rows = [(at, " ".join([*(f"f{i}" for i in range(at)), *words[:50], *(f"g{i}" for i in range(40)), *words[50:], *(f"h{i}" for i in range(200))])) for at in range(0, 130, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(decontam, "SHARD_ITEMS", 1)
+    got = [(r.doc_id, r.item_id) for r in decontam.find_contamination(docs, items).collect()]
+    same_rows(got, [(i, None) for i, _ in rows])
+    assert decontam.uncontaminated(docs, items).count() == 0
+
+
+def test_components_of_a_hot_group_equal_brute_force(spark, monkeypatch):
+    """A large group of near copies about the threshold, exact copies of a third of all rows, and a passage that all share."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 100_000)
+    base, rows = [f"w{i}" for i in range(80)], []
+    for n in range(220):
+        changed = list(base)
+        for at in rng.choice(80, 1 + n % 4, replace=False):
+            changed[at] = f"x{rng.integers(10_000)}"
+        rows.append((1000 - n, " ".join(changed)))
+    rows += [(2000 + n, "one and the same text of some words") for n in range(110)] + [(3000, None), (3001, ""), (3002, " ".join(f"y{i}" for i in range(5000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rule in (jaccard_join.Rule(3, 90, 100), jaccard_join.Rule(5, 80, 100)):
+        got = [tuple(r) for r in jaccard_join.similarity_components(df, rule).collect()]
+        same_rows(got, brute_components([(i, t or "") for i, t in rows], rule))
+    odd_ids = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (5, "a b c d"), (5, "e f g"), (4, "e f g")], "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_join.similarity_components(odd_ids, jaccard_join.Rule(3, 90, 100)).collect()]
+    same_rows(got, [(None, 2, None), (None, 2, None), (5, 2, 5), (5, 1, 4), (4, 1, 4)])
+
+
+@pytest.mark.parametrize("part", ['<svg viewBox="0"/>', "<math/>", '<svg><path d="x"/><title/><g><circle r=1 /></g></svg>', '<svg><path d="M0">', "<svg><style>a{}</style><foreignObject><p>in</p></foreignObject></svg>"])
+def test_svg_and_math_take_no_text_with_them(model, part):
+    article = "<p>" + "Some good words in the article go here. " * 8 + "</p>"
+    page = "<html><body><nav><a href=x>m</a></nav><article><h1>Title</h1>{}" + article * 2 + "</article><footer>f</footer></body></html>"
+    assert html_extract.main_texts([page.format(part)], model) == html_extract.main_texts([page.format("")], model)
+
+
+def test_rows_without_id(spark):
+    rows = [(None, "a"), (3, "A"), (None, "b"), (None, "b")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same_rows([(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got], [(None, 3, 2, False), (3, 3, 2, True), (None, None, 2, True), (None, None, 2, True)])
+
+
+def test_counting_shuffles_nothing(odd):
+    plan = token_counts.count_tokens(odd.coalesce(1), P.path("byte_bpe_50k.json"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_long_texts_with_much_personal_data():
+    text = " ".join(f"u{i}@mail.example.com" for i in range(3000))
+    new, spans = pii.pseudonymize(text, b"k" * 32)
+    assert len(spans) == 3000 and len(new) == len(text) and len(set(new.split())) == 3000
