@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe_sql, decontam, exact_dedup, fim, html_extract, jaccard_join, langid, license_scan, pii, token_counts, token_files
+from tessella.llm import bpe_sql, decontam, exact_dedup, fim, html_extract, jaccard_join, langid, license_scan, pii, simhash, token_counts, token_files
 from tessella.llm.common import StageTables
 
 
@@ -68,13 +68,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored("output", "form"), 256).alias("restored_sha256"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe, op3_exact_dedup, op4_token_files, op5_license_scan, op6_decontamination, op7_token_counts, op8_pii, op9_jaccard_join, op10_language_id, op11_fill_in_middle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe, op3_exact_dedup, op4_token_files, op5_license_scan, op6_decontamination, op7_token_counts, op8_pii, op9_jaccard_join, op10_language_id, op11_fill_in_middle, op12_simhash, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
