@@ -165,7 +165,18 @@ def _run_batches(spark: SparkSession, tables: StageTables, n_batches: int, parti
     path = lambda x: jvm.org.apache.hadoop.fs.Path(tables.path(x))
     fs = path("source").getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path("source"))
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.shuffle.partitions": str(partitions), "spark.sql.execution.arrow.maxRecordsPerBatch": "50000"}
+    state = "spark.sql.streaming.stateStore."
+    conf = {
+        f"{state}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        # Every start has stores of its own: those of the start before are closed and their local files go at once.
+        f"{state}unloadOnCommit": "true",
+        f"{state}rocksdb.allowFAllocate": "false",
+        f"{state}rocksdb.changelogCheckpointing.enabled": "true",
+        f"{state}rocksdb.boundedMemoryUsage": "true",
+        f"{state}rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "50000",
+    }
     was = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
