@@ -2,7 +2,7 @@
 
 A page is cut into tags and text and built into a tree of its block-level elements (end tags may be missing, elements may
 overlap, the page may break off anywhere). Every element gets features: its tag, tokens of its class, id and role
-attributes and those of its ancestors, depth, text and link density of itself and its subtree, share of the page's text,
+attributes and those of its ancestors (words on containers of the main text and words for a state do not count against it), depth, text and link density of itself and its subtree, share of the page's text,
 and how it compares with its siblings. Boosted trees, trained on the driver on ``N_PAGES`` generated pages whose main text
 is known (see ``html_pages``), give each element the log-odds of holding main text.
 
@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ BAD_WORDS = {
     "form": frozenset("form login signup search register contact".split()),
     "edge": frozenset("footer foot copyright legal bottom header head top masthead colophon credits imprint".split()),
 }
+# Words that make a class name say what state a page or container is in, not what it is.
+STATE_WORDS = frozenset("has no with without is not off on open opened closed hidden hide visible show shown enabled disabled active inactive allowed collapsed expanded layout".split())
 # HTML elements that end svg and math content when they start in it, and the elements in it that hold HTML.
 BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
@@ -68,7 +71,8 @@ class Node:
     tag: str
     parent: int
     depth: int
-    words: tuple[str, ...] = ()
+    #: The tokens of every class, id and role name, name by name.
+    names: tuple[tuple[str, ...], ...] = ()
     chars: int = 0
     link_chars: int = 0
     links: int = 0
@@ -141,10 +145,11 @@ class Tree:
         n = self.stack[-1][1]
         if tag in BLOCK:
             self._flush()
-            words: tuple[str, ...] = ()
+            names: tuple[tuple[str, ...], ...] = ()
             if attrs and not attrs.isspace():
-                words = tuple(w for name, value in _ATTR.findall(attrs) if name.lower() in ("class", "id", "role") for w in _WORD.findall(_CAMEL.sub(" ", value).lower()))
-            self.nodes.append(Node(tag, n, self.nodes[n].depth + 1, words))
+                values = (value.strip("\"'") for name, value in _ATTR.findall(attrs) if name.lower() in ("class", "id", "role"))
+                names = tuple(tuple(_WORD.findall(_CAMEL.sub(" ", name).lower())) for value in values for name in value.split())
+            self.nodes.append(Node(tag, n, self.nodes[n].depth + 1, names))
             self.nodes[n].kids.append(len(self.nodes) - 1)
             n = len(self.nodes) - 1
         elif tag == "a":
@@ -218,9 +223,25 @@ class Tree:
 
 
 # ---- features ---------------------------------------------------------------------------------------------------------
-def _bad_flags(words: tuple[str, ...]) -> list[bool]:
-    have = set(words)
-    return [not have.isdisjoint(v) for v in BAD_WORDS.values()]
+_NO_FLAGS = [False] * len(BAD_WORDS)
+
+
+def _named(node: Node) -> tuple[list[bool], bool, bool]:
+    """What an element's names say: kinds of parts around the main text, main text (by a name of its own), some state.
+
+    Names of the page as a whole say nothing, and names of a state (``has-comments``, ``sidebar-off``) nothing else.
+    """
+    if not node.names or node.tag in ("html", "body"):
+        return _NO_FLAGS, False, False
+    bad, good, state = set(), False, False
+    for name in node.names:
+        if not STATE_WORDS.isdisjoint(name):
+            state = True
+            continue
+        found = [k for k, v in BAD_WORDS.items() if not v.isdisjoint(name)]
+        bad.update(found)
+        good |= not found and not GOOD_WORDS.isdisjoint(name)
+    return [k in bad for k in BAD_WORDS], good, state
 
 
 def node_features(tree: Tree) -> np.ndarray:
@@ -243,14 +264,24 @@ def node_features(tree: Tree) -> np.ndarray:
     above_tag = np.zeros((n, len(_TAGS) + 1))
     bad = np.zeros((n, len(BAD_WORDS)))
     above_bad = np.zeros((n, len(BAD_WORDS)))
-    good, above_good = np.zeros(n), np.zeros(n)
+    good, above_good, mixed = np.zeros(n), np.zeros(n), np.zeros(n)
+    named = [_named(x) for x in nodes]
+    # elements with an article or main element below them that no name speaks against
+    holds_main = np.zeros(n, bool)
+    for i in range(n - 1, 0, -1):
+        if holds_main[i] or nodes[i].tag in ("article", "main") and not any(named[i][0]):
+            holds_main[parent[i]] = True
     place, same, before, after = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     up = np.maximum(parent, 0)
     for i, x in enumerate(nodes):
         tag[i, _TAG_NO.get(x.tag, len(_TAGS))] = 1
-        if x.words:
-            bad[i] = _bad_flags(x.words)
-            good[i] = not GOOD_WORDS.isdisjoint(x.words)
+        flags, good[i], mixed[i] = named[i]
+        if any(flags):
+            # A word weighs nothing against a container of the main text: it neither marks the element nor goes down.
+            if holds_main[i] or good[i] and all_text[i] > 0.5 * total:
+                mixed[i] = 1
+            else:
+                bad[i] = flags
         if i:
             p = x.parent
             above_tag[i] = np.maximum(above_tag[p], tag[p])
@@ -267,7 +298,7 @@ def node_features(tree: Tree) -> np.ndarray:
             same[k] = [times[t] for t in names]
     depth = np.array([x.depth for x in nodes], float)
     kids = np.array([len(x.kids) for x in nodes], float)
-    columns = [depth, np.minimum(kids, 20), np.minimum(np.log1p(own), 6), np.minimum(np.log1p(all_text), 8), np.minimum(np.log1p(size), 4), all_text / total, np.minimum(all_text / size, 500), all_link / np.maximum(1, all_text), all_links / size, own / np.maximum(1, all_text), np.minimum(np.log1p(before), 6), np.minimum(np.log1p(after), 6), place, np.minimum(same, 12), all_text / np.maximum(1, all_text[up]), all_text[up] / total, all_link[up] / np.maximum(1, all_text[up]), good, above_good]
+    columns = [depth, np.minimum(kids, 20), np.minimum(np.log1p(own), 6), np.minimum(np.log1p(all_text), 8), np.minimum(np.log1p(size), 4), all_text / total, np.minimum(all_text / size, 500), all_link / np.maximum(1, all_text), all_links / size, own / np.maximum(1, all_text), np.minimum(np.log1p(before), 6), np.minimum(np.log1p(after), 6), place, np.minimum(same, 12), all_text / np.maximum(1, all_text[up]), all_text[up] / total, all_link[up] / np.maximum(1, all_text[up]), good, above_good, mixed]
     return np.column_stack([*columns, tag, above_tag, bad, above_bad])
 
 
@@ -331,6 +362,12 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate:
     return Boosted(np.array(features), np.array(thresholds), np.array(values), float(base))
 
 
+@lru_cache(maxsize=1)
+def trained() -> Boosted:
+    """The trees of the ``N_PAGES`` generated pages, fitted once in a driver."""
+    return train()
+
+
 def train(pages: list[tuple[str, str]] | None = None) -> Boosted:
     """Learns from (html, marker) pages: an element holds main text if a segment under it holds the marker word."""
     from tessella.llm.html_pages import labelled_pages
@@ -374,7 +411,7 @@ def main_texts(pages: list[str], model: Boosted) -> list[str]:
 
 def extract(pages: DataFrame, model: Boosted | None = None, html_col: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The ``carry`` columns and ``text`` of every page."""
-    model = model or train()
+    model = model or trained()
     shared = pages.sparkSession.sparkContext.broadcast(model)
     short_batches(pages.sparkSession)
     rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(f"`{html_col}`").alias("page"))

@@ -41,6 +41,18 @@ class _Page:
     def link(self, words: int = 3) -> str:
         return f'<a href="/{self.word()}">{" ".join(self.word() for _ in range(self.r.randint(1, words)))}</a>'
 
+    #: Class names that say what state a page is in.
+    STATES = "has-comments no-comments comments-closed comments-open with-sidebar no-sidebar sidebar-off is-open with-related-header nav-open has-ads no-footer menu-open share-enabled".split()
+    #: Words of parts around the main text, as wrappers of all of it carry them now and then.
+    STRAY = "related sidebar widget header banner comments share menu toc footer top promo bottom".split()
+
+    def mixed(self, name: str) -> str:
+        """Attributes of a container of the main text: its name among words that mean nothing here."""
+        more = [self.r.choice(self.STATES) for _ in range(self.r.choice([0, 0, 1, 1, 2]))] + [self.r.choice(self.STRAY) for _ in range(self.r.random() < 0.3)]
+        names = [name, *more]
+        self.r.shuffle(names)
+        return f' class="{" ".join(names)}"' if self.r.random() < 0.7 else f' id="{name}" class="{" ".join(more) or "x"}"'
+
     def box(self, tags: str, names: str, inner: str, bare: float = 0.15) -> str:
         tag = self.r.choice(tags.split())
         attr = ""
@@ -98,14 +110,23 @@ class _Page:
         return self.marked(text)
 
     def main(self) -> str:
-        out = []
-        if self.r.random() < 0.8:
+        out, before = [], ""
+        blocks_in_divs = self.r.random() < 0.15
+        heading = self.r.random()
+        if heading < 0.25:  # the heading stands in front of what holds the text
+            before = f"<h1>{self.marked(self.sentence(1, 10))}</h1>"
+            before = self.pick(lambda: before, lambda: before, lambda: f"<header>{before}</header>" if self.r.random() < 0.3 else before, lambda: f"{before}<p>{self.marked(self.sentence(2, 14))}</p>", lambda: f"<div>{before}</div>")
+        elif heading < 0.85:
             head = f"<h1>{self.marked(self.sentence(1, 10))}</h1>"
             out.append(f"<header>{head}</header>" if self.r.random() < 0.15 else head)
         loose = self.r.random() < 0.3
-        for _ in range(self.r.choice([1, 1, 2, 3, 5, 8, 14, 40])):
+        if self.r.random() < 0.1:  # a stub
+            out.append(f"<p>{self.marked(self.sentence(1, 3))}</p>")
+        for _ in range(0 if out and self.r.random() < 0.08 else self.r.choice([1, 1, 2, 3, 5, 8, 14, 40])):
             kind = self.r.random()
-            if kind < 0.72:
+            if kind < 0.72 and blocks_in_divs:
+                out.append(f"<div>{self.paragraph()}</div>" if self.r.random() < 0.7 else self.box("div section", "text row paragraph block col", self.paragraph(), 0))
+            elif kind < 0.72:
                 text = self.paragraph()
                 out.append(f"<p><b>{text}<br>" if loose and self.r.random() < 0.3 else f"<p>{text}" if loose and self.r.random() < 0.3 else f"<p>{text}</p>")
             elif kind < 0.8:
@@ -124,21 +145,37 @@ class _Page:
             else:
                 out.append(self.pick(self.advert, self.notice, self.sidebar, self.form))
         inner = "".join(out)
-        body = self.pick(lambda: f"<article>{inner}</article>", lambda: self.box("article", "post entry article", inner, 0), lambda: self.box("div section main", "content post entry article story post-body article-text", inner, 0), lambda: f"<main>{inner}</main>")
-        if self.r.random() < 0.3:
-            body = self.box("main div section", "content main wrapper page container", body + (self.comments() if self.r.random() < 0.3 else ""), 0.3)
-        return body
+        body = self.pick(lambda: f"<article>{inner}</article>", lambda: self.box("article", "post entry article", inner, 0), lambda: self.box("div section main", "content post entry article story post-body article-text", inner, 0), lambda: f"<main>{inner}</main>", lambda: f"<div>{inner}</div>", lambda: self.around("article div section main", "content main post entry article story", inner), lambda: self.around("article div main", "content main post entry", inner))
+        if self.r.random() < 0.15:
+            body = before + body
+            before = ""
+        if self.r.random() < 0.4:
+            more = body + (self.comments() if self.r.random() < 0.3 else "")
+            if before and self.r.random() < 0.8:
+                before, more = "", before + more
+            body = self.pick(lambda: self.box("main div section", "content main wrapper page container", more, 0.3), lambda: self.around("main div section", "content main wrapper page container", more))
+        return before + body
+
+    def around(self, tags: str, names: str, inner: str) -> str:
+        tag = self.r.choice(tags.split())
+        return f"<{tag}{self.mixed(self.r.choice(names.split()))}>{inner}</{tag}>"
 
     def page(self) -> str:
+        if self.r.random() < 0.08:  # nothing but the main text
+            return f"<html><head><title>{self.sentence(1, 8)}</title></head><body{self.states()}>{self.main()}</body></html>"
         before = [m for m, p in ((self.header, 0.5), (self.menu, 0.7), (self.notice, 0.25), (self.advert, 0.45), (self.sidebar, 0.2), (self.form, 0.15)) if self.r.random() < p]
         after = [m for m, p in ((self.comments, 0.35), (self.sidebar, 0.35), (self.advert, 0.2), (self.notice, 0.15), (self.form, 0.2), (self.menu, 0.1), (self.footer, 0.85)) if self.r.random() < p]
         inner = "".join(m() for m in before) + self.main() + "".join(m() for m in after)
         if self.r.random() < 0.2:
             inner = self.box("div", "wrapper container page site", inner, 0.3)
-        text = f'<!DOCTYPE html><html><head><title>{self.sentence(1, 8)}</title><script>var t="</p>";</script></head><body>{inner}</body></html>'
+        text = f'<!DOCTYPE html><html><head><title>{self.sentence(1, 8)}</title><script>var t="</p>";</script></head><body{self.states()}>{inner}</body></html>'
         return text[: self.r.randint(len(text) // 2, len(text))] if self.r.random() < 0.05 else text
 
 
+    def states(self) -> str:
+        return f' class="{" ".join(self.r.choice(self.STATES) for _ in range(self.r.randint(1, 3)))}"' if self.r.random() < 0.3 else ""
+
+
 def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, str]]:
     """(html, marker) of ``n`` pages."""
     made = [_Page(random.Random(f"{seed}:{i}")) for i in range(n)]
