@@ -8,7 +8,7 @@ batches less ``delay_hours`` (before the first: minus infinity); H is the smalle
    last version (by ``valid_at``, ``change_id``) with ``valid_at <= sold_at`` among those not pruned, or none;
 3. of a client's versions with ``valid_at <= H`` all but the last are pruned.
 
-After the last batch the waiting sales are emitted as one batch more.
+After the last batch the waiting sales are emitted as one batch more (in the last start).
 
 How it runs. One write deals both tables to batches and buckets. A stateful streaming query (``transformWithStateInPandas``)
 is started anew for every batch on one checkpoint, and reads the batch's files, which are moved into its source folder.
@@ -92,7 +92,7 @@ def enrich(sales: DataFrame, changes: DataFrame, n_batches: int, delay_hours: in
     rows = _dealt(sold.unionByName(changed), hot.where("client is not null"), len(keys)).withColumn("bucket", F.element_at(F.lit(keys), (F.col("bucket") + 1).cast("int")))
     marks = _watermarks(sales, changes, n_batches, delay_hours)
     ticks = spark.createDataFrame([(b, w, h) for b, (w, h) in enumerate(marks)], "feed int, at long, id long")
-    ticks = ticks.withColumn("bucket", F.explode(F.lit(keys))).selectExpr("feed", "cast(bucket as long) bucket", f"{_TICK} kind", "cast(feed as long) client", f"cast(feed = {n_batches} as long) slice", "at", "id", "0L cents", "'' op", "0 nulls")
+    ticks = ticks.withColumn("bucket", F.explode(F.lit(keys))).selectExpr("feed", "cast(bucket as long) bucket", f"{_TICK} kind", "cast(feed as long) client", f"cast(feed = {n_batches - 1} as long) slice", "at", "id", "0L cents", "'' op", "0 nulls")
     (rows.unionByName(ticks)).write.partitionBy("feed").parquet(tables.path("dealt"))
     _run_batches(spark, tables, n_batches, partitions)
     out = tables.put("result", _completed(spark.read.schema(_OUT).parquet(tables.path("out")), n_batches))
@@ -149,12 +149,12 @@ def _dealt(rows: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:
 
 
 def _watermarks(sales: DataFrame, changes: DataFrame, n_batches: int, delay_hours: int) -> list[tuple[int, int]]:
-    """(watermark of changes, H) for every batch and the one after the last; one row a batch comes to the driver."""
+    """(watermark of changes, H) for every batch; one row a batch comes to the driver."""
     tops = []
     for table, time in ((sales, "sold_at"), (changes, "valid_at")):
         got = {r.batch: r.top for r in table.groupBy("batch").agg(F.max(micros(F.col(time))).alias("top")).collect()}
         known = [got.get(b) for b in range(n_batches)]
-        before = [max((t for t in known[:b] if t is not None), default=None) for b in range(n_batches + 1)]
+        before = [max((t for t in known[:b] if t is not None), default=None) for b in range(n_batches)]
         tops.append([_MIN if t is None else t - delay_hours * 3_600_000_000 for t in before])
     return [(w, min(s, w)) for s, w in zip(*tops)]
 
@@ -174,6 +174,8 @@ def _run_batches(spark: SparkSession, tables: StageTables, n_batches: int, parti
         f"{state}rocksdb.changelogCheckpointing.enabled": "true",
         f"{state}rocksdb.boundedMemoryUsage": "true",
         f"{state}rocksdb.maxMemoryUsageMB": "256",
+        # The file system's own checksums guard the small files of every commit.
+        "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.execution.arrow.maxRecordsPerBatch": "50000",
     }
@@ -181,7 +183,7 @@ def _run_batches(spark: SparkSession, tables: StageTables, n_batches: int, parti
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        for b in range(n_batches + 1):
+        for b in range(n_batches):
             fs.rename(path(f"dealt/feed={b}"), path(f"source/b{b:06d}"))
             fed = spark.readStream.schema(_FED).parquet(f"{tables.path('source')}/*")
             found = fed.groupBy("bucket").transformWithStateInPandas(Versions(), _OUT, "Append", "None")
@@ -199,8 +201,8 @@ class Versions(StatefulProcessor):
     _WAITING = ("client", "slice", "at", "id", "nulls")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._versions = handle.getValueState("versions", ", ".join(f"{x} binary" for x in (*self._VERSION, "ops")))
-        self._waiting = handle.getValueState("waiting", ", ".join(f"{x} binary" for x in self._WAITING))
+        names = [*(f"v_{x}" for x in (*self._VERSION, "ops")), *(f"w_{x}" for x in self._WAITING)]
+        self._state = handle.getValueState("bucket", ", ".join(f"{x} binary" for x in names))
 
     def close(self) -> None:
         pass
@@ -211,36 +213,34 @@ class Versions(StatefulProcessor):
         if len(tick) != 1:
             raise ValueError(f"bucket {key}: {len(tick)} ticks in one batch")
         batch, watermark, h, last = (int(tick[x].iloc[0]) for x in ("client", "at", "id", "slice"))
-        held, ops = _loaded(self._versions, self._VERSION, True)
-        waiting, _ = _loaded(self._waiting, self._WAITING, False)
+        held, ops, waiting = self._loaded()
         changes, sales = new[new["kind"] == _CHANGE], new[new["kind"] == _SALE]
         late = changes["at"].to_numpy() < watermark
         yield from _late_rows(changes[late], batch)
         fresh = changes[~late]
         held = _ordered({x: np.concatenate([held[x], _codes(fresh["op"], ops) if x == "op" else fresh[x].to_numpy(np.int64)]) for x in self._VERSION}, ops)
-        asked = {x: np.concatenate([waiting[x], sales[x].to_numpy(np.int64)]) for x in self._WAITING}
-        now = np.full(len(asked["at"]), True) if last else (asked["at"] < h) | (asked["nulls"] & _NO_TIME > 0)
-        emitted = {x: v[now] for x, v in asked.items()}
-        units = Units(held)
-        at = units.answer(emitted)
-        keep, retired = units.pruned(h)
-        yield from _sale_rows_out(emitted, held, ops, units, at, batch)
-        yield from _reports(emitted, held, ops, units, retired, batch)
-        _saved(self._versions, {x: v[keep] for x, v in held.items()}, self._VERSION, ops)
-        _saved(self._waiting, {x: v[~now] for x, v in asked.items()}, self._WAITING)
-
-
-def _loaded(state, names: tuple[str, ...], with_ops: bool) -> tuple[dict[str, np.ndarray], list[str]]:
-    found = state.get() if state.exists() else None
-    columns = {x: np.frombuffer(bytes(found[i]), np.int64) if found else np.zeros(0, np.int64) for i, x in enumerate(names)}
-    return columns, json.loads(bytes(found[len(names)])) if found and with_ops else []
-
-
-def _saved(state, columns: dict[str, np.ndarray], names: tuple[str, ...], ops: list[str] | None = None) -> None:
-    if len(columns["at"]):
-        state.update((*(columns[x].tobytes() for x in names), *([] if ops is None else [json.dumps(ops).encode()])))
-    elif state.exists():
-        state.clear()
+        waiting = {x: np.concatenate([waiting[x], sales[x].to_numpy(np.int64)]) for x in self._WAITING}
+        for turn in range(1 + last):  # after the last batch, what still waits is emitted as a batch of its own
+            now = (waiting["at"] < h) | (waiting["nulls"] & _NO_TIME > 0) | (turn == 1)
+            emitted, waiting = ({x: v[chosen] for x, v in waiting.items()} for chosen in (now, ~now))
+            units = Units(held)
+            yield from _sale_rows_out(emitted, held, ops, units, units.answer(emitted), batch + turn)
+            keep, retired = units.pruned(h)
+            yield from _reports(held, ops, units, retired, batch + turn)
+            held = {x: v[keep] for x, v in held.items()}
+        self._save(held, ops, waiting)
+
+    def _loaded(self) -> tuple[dict[str, np.ndarray], list[str], dict[str, np.ndarray]]:
+        found = [bytes(x) for x in self._state.get()] if self._state.exists() else None
+        n = len(self._VERSION)
+        at = lambda names, start: {x: np.frombuffer(found[start + i] if found else b"", np.int64) for i, x in enumerate(names)}
+        return at(self._VERSION, 0), json.loads(found[n]) if found else [], at(self._WAITING, n + 1)
+
+    def _save(self, held: dict[str, np.ndarray], ops: list[str], waiting: dict[str, np.ndarray]) -> None:
+        if len(held["at"]) or len(waiting["at"]):
+            self._state.update((*(held[x].tobytes() for x in self._VERSION), json.dumps(ops).encode(), *(waiting[x].tobytes() for x in self._WAITING)))
+        elif self._state.exists():
+            self._state.clear()
 
 
 def _codes(values: pd.Series, ops: list[str]) -> np.ndarray:
@@ -349,7 +349,7 @@ def _sale_rows_out(sales, held, ops, units: Units, at: np.ndarray, batch: int) -
         yield _frame(n, rec=["sale"] * n, id=_ints(sales["id"], sales["nulls"] & _NO_ID > 0), batch=np.full(n, batch), client=_ints(sales["client"], fine), slice=_ints(sales["slice"], fine), sold=_ints(sales["at"], sales["nulls"] & _NO_TIME > 0), hot=sales["nulls"] & _HOT > 0, n_held=_ints(count, fine), **_version(held, ops, at))
 
 
-def _reports(sales, held, ops, units: Units, retired: np.ndarray, batch: int) -> Iterator[pd.DataFrame]:
+def _reports(held, ops, units: Units, retired: np.ndarray, batch: int) -> Iterator[pd.DataFrame]:
     """Of every slice of a hot client that held versions: how many, the last one, and the last one pruned."""
     hot = np.flatnonzero(units.hot)
     if len(hot):
