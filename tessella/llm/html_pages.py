@@ -70,7 +70,7 @@ class _Page:
         return self.pick(lambda: self.box("nav", "menu nav main-nav", f"<ul>{items}</ul>", 0.6), lambda: self.box("div", "menu nav navigation breadcrumb toc", f"<ul>{items}</ul>", 0), lambda: self.box("ul", "menu nav tabs pagination", items, 0.3))
 
     def header(self) -> str:
-        title = self.pick(lambda: f"<h1>{self.sentence(1, 4)}</h1>", lambda: f"<p>{self.sentence(2, 8)}</p>", lambda: f"<div>{self.link()}</div>", lambda: self.sentence(2, 6))
+        title = self.pick(lambda: f"<h1>{self.sentence(1, 4)}</h1>", lambda: f"<h1>{self.sentence(1, 2)}</h1>", lambda: f"<p>{self.sentence(2, 8)}</p>", lambda: f"<div>{self.link()}</div>", lambda: self.sentence(2, 6))
         inner = title + (self.menu() if self.r.random() < 0.4 else "")
         return self.pick(lambda: self.box("header", "header top masthead", inner, 0.6), lambda: self.box("div", "header top masthead banner", inner, 0))
 
@@ -115,14 +115,14 @@ class _Page:
         heading = self.r.random()
         if heading < 0.25:  # the heading stands in front of what holds the text
             before = f"<h1>{self.marked(self.sentence(1, 10))}</h1>"
-            before = self.pick(lambda: before, lambda: before, lambda: f"<header>{before}</header>" if self.r.random() < 0.3 else before, lambda: f"{before}<p>{self.marked(self.sentence(2, 14))}</p>", lambda: f"<div>{before}</div>")
+            before = self.pick(lambda: before, lambda: before, lambda: before, lambda: f"{before}<p>{self.marked(self.sentence(2, 14))}</p>", lambda: f"<div>{before}</div>")
         elif heading < 0.85:
             head = f"<h1>{self.marked(self.sentence(1, 10))}</h1>"
             out.append(f"<header>{head}</header>" if self.r.random() < 0.15 else head)
         loose = self.r.random() < 0.3
-        if self.r.random() < 0.1:  # a stub
+        if self.r.random() < 0.15:  # a stub
             out.append(f"<p>{self.marked(self.sentence(1, 3))}</p>")
-        for _ in range(0 if out and self.r.random() < 0.08 else self.r.choice([1, 1, 2, 3, 5, 8, 14, 40])):
+        for _ in range(0 if out and self.r.random() < 0.1 else self.r.choice([1, 1, 2, 3, 5, 8, 14, 40])):
             kind = self.r.random()
             if kind < 0.72 and blocks_in_divs:
                 out.append(f"<div>{self.paragraph()}</div>" if self.r.random() < 0.7 else self.box("div section", "text row paragraph block col", self.paragraph(), 0))
