@@ -1,13 +1,15 @@
 """Personal data replaced by format-preserving pseudonyms from a keyed Feistel network.
 
 Found and validated: e-mail addresses, payment card numbers (13 to 19 digits, Luhn), IBANs (mod 97), IPv4 addresses (each
-part at most 255), telephone numbers (with a country code, or in a bracketed or 3-3-4 form), US social security numbers
-(ranges that are issued) and calendar dates (ISO, or with dots or slashes; the day must exist). A number that fails its
-validation is left alone, as is everything else.
+part at most 255) and IPv6 addresses, telephone numbers (with + and a country code, or North American in a bracketed or
+3-3-4 form), US social security numbers (ranges that are issued) and calendar dates of the years 1900 to 2099 (ISO; with
+dots, slashes or dashes, day first, or month first where only that is a date; with the month's name in English, German,
+French or Spanish); the day must exist. A number that fails its validation is left alone, as is everything else. Out of
+scope: names, postal addresses, numbers dialled with 00, dates without a year or with two digits of it.
 
 Each value is permuted within its own format: digits among numbers of as many digits, letters among words of as many
-letters, a date among the days of its century, an address among addresses. Separators, case, country code and check digits'
-validity are kept (check digits are worked out again). Equal values, however they are punctuated, get equal pseudonyms in
+letters, a date among the days of its century, an address among addresses (IPv6 in its shortest form). Separators, case,
+country code (the longest known one, whatever follows it) and check digits' validity are kept (check digits are worked out again). Equal values, however they are punctuated, get equal pseudonyms in
 every document, since the permutation depends on the key and the format only; no table is shared or shuffled. A Feistel
 network of ``ROUNDS`` rounds over two halves permutes a domain of size a * b; cycle walking keeps to smaller domains.
 Being a permutation, it may leave a value as it is, with a chance of one in the size of its format.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -133,12 +136,38 @@ def _email(m: re.Match, key: bytes) -> str | None:
     return f"{_letters(user, key, 'user')}@{_letters(name, key, 'host')}{dot}{top}"
 
 
+# Country codes of one and two digits; every other one has three. None begins another.
+_SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def country_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in _SHORT_CODES), digits[:3])
+
+
 def _phone(m: re.Match, key: bytes) -> str | None:
-    digits = sum(c.isdigit() for c in m[0])
-    if not 7 <= digits <= 15:
+    """The national number is permuted; forms without a country code are North American, so their code is 1.
+
+    A bracketed trunk zero behind the code, ``+49 (0)30``, is no part of the number.
+    """
+    trunk = m[0].find("(0)") if m[0][0] == "+" else -1
+    at = [i for i, c in enumerate(m[0]) if c.isdigit() and i != trunk + 1] if trunk >= 0 else [i for i, c in enumerate(m[0]) if c.isdigit()]
+    digits = "".join(m[0][i] for i in at)
+    if not 7 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+(\d{1,3})(?=\D)", m[0])
-    return _digits(m[0], key, "phone", keep=len(code[1]) if code else 0)
+    code = country_code(digits) if m[0][0] == "+" else ""
+    new = iter(code + _digits(digits[len(code) :], key, f"phone{code or 1}-"))
+    at = set(at)
+    return "".join(next(new) if i in at else c for i, c in enumerate(m[0]))
+
+
+def _ip6(m: re.Match, key: bytes) -> str | None:
+    try:
+        value = int(ipaddress.IPv6Address(m[0]))
+    except ValueError:
+        return None
+    if not any(c.isdigit() for c in m[0]) or value < 1 << 32:  # names in code, loopback
+        return None
+    return str(ipaddress.IPv6Address(permute(value, 1 << 128, key, "ip6")))
 
 
 def _ssn(m: re.Match, key: bytes) -> str | None:
@@ -153,33 +182,70 @@ def _ssn(m: re.Match, key: bytes) -> str | None:
     return f"{at + 1 + (at + 1 >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-def _date(m: re.Match, key: bytes) -> str | None:
-    iso = m["y1"] is not None
-    year, month, day = (int(m[x]) for x in (("y1", "m1", "d1") if iso else ("y2", "m2", "d2")))
+def _other_day(year: int, month: int, day: int, key: bytes) -> datetime.date | None:
+    """The pseudonym of a date, a day of its century; None if there is no such day."""
     try:
         at = datetime.date(year, month, day)
     except ValueError:
         return None
     first = datetime.date(year // 100 * 100, 1, 1)
     days = (datetime.date(year // 100 * 100 + 100, 1, 1) - first).days
-    new = first + datetime.timedelta(permute((at - first).days, days, key, "date"))
-    sep = m["s1"] if iso else m["s2"]
-    return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}" if iso else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
+    return first + datetime.timedelta(permute((at - first).days, days, key, "date"))
+
+
+def _date(m: re.Match, key: bytes) -> str | None:
+    """Day first; month first where only that is a date."""
+    if m["y1"] is not None:
+        new = _other_day(int(m["y1"]), int(m["m1"]), int(m["d1"]), key)
+        return new and f"{new.year:04d}{m['s1']}{new.month:02d}{m['s1']}{new.day:02d}"
+    year, one, two, sep = int(m["y2"]), int(m["d2"]), int(m["m2"]), m["s2"]
+    if new := _other_day(year, two, one, key):
+        return f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
+    new = _other_day(year, one, two, key)
+    return new and f"{new.month:02d}{sep}{new.day:02d}{sep}{new.year:04d}"
+
+
+# Names of the months, January to December, in English (also short), German, French and Spanish.
+_MONTHS = tuple(tuple(x.split()) for x in (
+    "january february march april may june july august september october november december",
+    "jan feb mar apr may jun jul aug sep oct nov dec",
+    "januar februar märz april mai juni juli august september oktober november dezember",
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+))
+_MONTH = "|".join(sorted({w for names in _MONTHS for w in names}, key=len, reverse=True))
+
+
+def _named_date(m: re.Match, key: bytes) -> str | None:
+    first = m["n1"] is None  # day, month, year
+    name, day, year = (m["n2"], m["d2n"], m["y2n"]) if first else (m["n1"], m["d1n"], m["y1n"])
+    german = first and m.string[m.end("d2n")] == "."  # several names are the same in English and German
+    names = next(x for x in ((_MONTHS[2], *_MONTHS) if german else _MONTHS) if name.lower() in x)
+    new = _other_day(int(year), names.index(name.lower()) + 1, int(day), key)
+    if new is None:
+        return None
+    other = names[new.month - 1]
+    other = other.upper() if name.isupper() else other.capitalize() if name[0].isupper() else other
+    shown = f"{new.day:02d}" if day[0] == "0" else str(new.day)
+    parts = ((m.start("d2n"), day, shown), (m.start("n2"), name, other), (m.start("y2n"), year, f"{new.year:04d}")) if first else ((m.start("n1"), name, other), (m.start("d1n"), day, shown), (m.start("y1n"), year, f"{new.year:04d}"))
+    return _cut(m[0], ((s - m.start(), s - m.start() + len(old), text) for s, old, text in parts))
 
 
 #: (kind, pattern, replacement or None if the match fails validation), the first kind that fits wins.
 KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w])", _email),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)", _iban),
-    ("date", r"(?<![\w.,/-])(?:(?P<y1>(?:19|20)\d\d)(?P<s1>[-/.])(?P<m1>\d\d)(?P=s1)(?P<d1>\d\d)|(?P<d2>\d\d)(?P<s2>[-/.])(?P<m2>\d\d)(?P=s2)(?P<y2>(?:19|20)\d\d))(?![\w/-]|[.,]\d)", _date),
-    ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
-    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
-    ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)", _phone),
+    ("date", r"(?<![\w.,/+-])(?:(?P<y1>(?:19|20)\d\d)(?P<s1>[-/.])(?P<m1>\d\d)(?P=s1)(?P<d1>\d\d)|(?P<d2>\d\d)(?P<s2>[-/.])(?P<m2>\d\d)(?P=s2)(?P<y2>(?:19|20)\d\d))(?![\w/-]|[.,]\d)", _date),
+    ("date", rf"(?i)(?<![\w.,/-])(?:(?P<n1>{_MONTH})\.? (?P<d1n>\d{{1,2}})(?:st|nd|rd|th)?,? (?P<y1n>(?:19|20)\d\d)|(?P<d2n>\d{{1,2}})(?:\.|st|nd|rd|th)? (?:de |of )?(?P<n2>{_MONTH})\.?(?: de|,)? (?P<y2n>(?:19|20)\d\d))(?![\w/-]|[.,]\d)", _named_date),
+    ("ip", r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){1,7}(?:::)?(?![\w:]|\.\d)", _ip6),
+    ("ip", r"(?<![\w.+])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
+    ("ssn", r"(?<![\w+-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
+    ("card", r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(0\)[ .-]?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)", _phone),
 )
 _EACH = [(kind, re.compile(pattern), how) for kind, pattern, how in KINDS]
 #: Every kind holds an @ or four digits among at most two separators.
-_HINT = re.compile(r"@|\d(?:[^\w\n]{0,2}\d){3}|[A-Z]{2}\d\d")
+_HINT = re.compile(r"@|\d(?:[^\w\n]{0,2}\d){3}|[A-Z]{2}\d\d|[0-9A-Fa-f]::?[0-9A-Fa-f]")
 
 
 def pseudonymize(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
