@@ -6,14 +6,15 @@ its target. As windows: a candidate is *scanned* when fewer than ``target`` cand
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import hashing, text
-from tessella.operators import bm25
+from tessella.functions import text
+from tessella.operators import bm25, permutation
 from tessella.operators.dense import cosine
 from tessella.operators.lineage import cut
 
@@ -58,7 +59,10 @@ def filter_identity(pairs: DataFrame, skills: DataFrame, threshold: float = 0.85
 
 
 def flag_identity(pairs: DataFrame, skills: DataFrame, threshold: float = 0.85) -> DataFrame:
-    side = with_identity(skills)
+    pairs = cut(pairs)
+    # only skills of a pair are normalised
+    named = pairs.select(F.col("positive_skill_id").alias("skill_id")).unionByName(pairs.select("skill_id")).distinct()
+    side = cut(with_identity(skills.join(named, "skill_id", "left_semi")))
     both = pairs.join(side.select(F.struct("*").alias("p"), F.col("skill_id").alias("positive_skill_id")), "positive_skill_id").join(side.select(F.struct("*").alias("c"), "skill_id"), "skill_id")
     return both.withColumn("reason", identity_reason(threshold)).drop("p", "c")
 
@@ -144,22 +148,27 @@ def mine_local(queries: DataFrame, skills: DataFrame, seed: int = 42, threshold:
 
 def _lists(queries: DataFrame, positives: DataFrame, pool: DataFrame, seed: int, head: int, prefix: int, tokenize) -> dict[str, Lists]:
     """The local sources. Lists of a greater width begin with those of a smaller."""
-    size = pool.count()
     lexical = cut(bm25.rank(pool, text.search_text("name", "description", "body"), queries, "query", head, tokenize=tokenize).join(pool.select("pool_idx", "skill_id"), "pool_idx").select("query_id", "skill_id", "score", "rank"))
-    keyed = pool.select("skill_id", text.category("category", "skill_id").alias("category"))
-    of = cut(positives.join(keyed.withColumnRenamed("skill_id", "positive_skill_id"), "positive_skill_id").select("query_id", "category").distinct())
-    members = cut(keyed.groupBy("category").agg(F.count("*").alias("n")))
+    keyed = cut(permutation.numbered(pool.select("skill_id", F.coalesce(text.category("category", "skill_id"), F.lit("")).alias("category")), "skill_id", "category"))
+    sizes = cut(keyed.groupBy("category").agg(F.count("*").alias("n")))
+    size = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    of = cut(positives.join(keyed.select(F.col("skill_id").alias("positive_skill_id"), "category"), "positive_skill_id").select("query_id", "category").distinct().join(F.broadcast(sizes), "category"))
 
     def ranked(asked: DataFrame, width: int) -> tuple[DataFrame, bool]:
         return head_then_rest(lexical.join(asked, "query_id", "left_semi"), asked, pool, width), width >= size
 
     def mates(asked: DataFrame, width: int) -> tuple[DataFrame, bool]:
         own = of.join(asked, "query_id", "left_semi")
-        most = own.join(members, "category").groupBy("query_id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
-        return _shuffled(own.join(keyed, "category").select("query_id", "skill_id"), seed, "category", width), width >= most
+        most = own.agg(F.max("n")).first()[0] or 0
+        drawn_ = permutation.order(own, "n", width, seed, F.col("query_id"), "category", F.col("category")).withColumnRenamed("number", "mate")
+        # queries of several categories take their orders in turn
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("position", "category"))
+        rows = drawn_.join(keyed.select("skill_id", "category", "mate"), ["category", "mate"])
+        return rows.select("query_id", "skill_id", F.lit(0.0).alias("score"), place.cast("long").alias("position")), width >= _whole(most)
 
     def drawn(asked: DataFrame, width: int) -> tuple[DataFrame, bool]:
-        return _random(asked, pool, seed, prefix, width, size)
+        rows = permutation.order(asked.withColumn("n", F.lit(size)), "n", width, seed, F.col("query_id"), "random")
+        return rows.join(keyed.select("skill_id", "number"), "number").select("query_id", "skill_id", F.lit(0.0).alias("score"), "position"), width >= _whole(size)
 
     return {"bm25": ranked, "same_category": mates, "random": drawn}
 
@@ -182,27 +191,10 @@ def _filled(lists: Lists, asked: DataFrame, mark: Callable[[DataFrame], DataFram
         width *= 8
 
 
-def _shuffled(rows: DataFrame, seed: int, salt: str, prefix: int) -> DataFrame:
-    key = hashing.order_key(seed, F.col("query_id"), F.lit(salt), F.col("skill_id"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(key, "skill_id"))
-    return rows.select("query_id", "skill_id", F.lit(0.0).alias("score"), place.cast("long").alias("position")).where(F.col("position") <= prefix)
-
-
-def _random(queries: DataFrame, pool: DataFrame, seed: int, prefix: int, width: int, size: int) -> tuple[DataFrame, bool]:
-    """A seeded random order of the pool for each query, its first ``width`` rows, and whether that is all of it.
-
-    Skills fall by hash into buckets of about ``prefix``; a query begins with two neighbouring buckets of its own and goes on
-    to the next. So no query sorts the pool and the pool is sorted nowhere, unless the quota isn't filled before.
-    """
-    buckets = max(1, size // prefix)
-    turns = min(buckets, 2 * (width // prefix))
-    there = pool.select("skill_id", F.pmod(F.xxhash64(F.lit(seed), "skill_id"), F.lit(buckets)).alias("bucket"))
-    start = F.pmod(F.xxhash64(F.lit(seed + 1), "query_id"), F.lit(buckets))
-    asked = queries.select("query_id", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")).select("query_id", "turn", F.pmod(F.col("start") + F.col("turn"), F.lit(buckets)).alias("bucket"))
-    key = hashing.order_key(seed, F.col("query_id"), F.lit("random"), F.col("skill_id"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("turn", key, "skill_id"))
-    rows = asked.join(there, "bucket").select("query_id", "skill_id", F.lit(0.0).alias("score"), place.cast("long").alias("position"))
-    return rows.where(F.col("position") <= width), width >= size
+def _whole(n: int) -> int:
+    """The width at which an order of n holds all of it."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    return a * -(-n // a)
 
 
 def unfilled(mined: Mined, queries: DataFrame, sources=LOCAL_SOURCES) -> DataFrame:
@@ -220,13 +212,13 @@ def merge_sources(candidates: DataFrame, positives: DataFrame, sources=MERGED_SO
     """
     valid = candidates.where("skill_id is not null and skill_id <> ''").join(positives.select("query_id", F.col("positive_skill_id").alias("skill_id")), ["query_id", "skill_id"], "left_anti")
     first = Window.partitionBy("query_id", "source", "skill_id").orderBy("position")
-    once = valid.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    once = cut(valid.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"))
     taken: DataFrame | None = None
     for source, quota in sources:
         rows = once.where(F.col("source") == source)
         if taken is not None:
             rows = rows.join(taken.select("query_id", "skill_id"), ["query_id", "skill_id"], "left_anti")
-        picked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("nth") <= quota).drop("nth")
+        picked = cut(rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("nth") <= quota).drop("nth"))
         taken = picked if taken is None else taken.unionByName(picked)
     return taken
 

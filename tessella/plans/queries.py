@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import hashing, text
 from tessella.functions.fixed import ARTIFACT_STOP_WORDS, CONSUMER_ACTIONS, QUERY_INSTRUCTION, RERANK_INSTRUCTION
-from tessella.operators import bm25, dense, fusion, graph, metrics, negatives, retrieval, sampling
+from tessella.operators import bm25, dense, fusion, graph, metrics, negatives, permutation, retrieval, sampling
 from tessella.plans import roles
 from tessella.plans.roles import GOLD, POOL, TASKS
 
@@ -332,7 +332,33 @@ def _local_queries(spark, sf):
     return roles.tasks(spark, sf).join(best, "query_id").select("query_id", "query", "positive_skill_id"), pool
 
 
-@query()
+def sql_order(rows: str, n: str, width: int, key: str) -> str:
+    """The first ``width`` values of every row's order of 0 .. n - 1, those below n: all columns, position, number."""
+    drawn = lambda r, half: f"('0x' || sha256({key} || ':{r}:' || {half})[1:12])::BIGINT"
+    at = f"SELECT *, i // b AS l, i % b AS r FROM (SELECT *, unnest(range(0, least({width}, a * b))) AS i FROM (SELECT *, ceil({n} / a)::BIGINT AS b FROM (SELECT *, ceil(sqrt({n}))::BIGINT AS a FROM {rows} x)))"
+    for r in range(permutation.ROUNDS):
+        at = f"SELECT * REPLACE ({f'(l + {drawn(r, "r")}) % a AS l' if r % 2 == 0 else f'(r + {drawn(r, "l")}) % b AS r'}) FROM ({at})"
+    return f"(SELECT * EXCLUDE (a, b, i, l, r), i + 1 AS position, l * b + r AS number FROM ({at}) WHERE l * b + r < {n})"
+
+
+# Of every list the first 64 candidates, which fill the quotas; pairs are what any scan may look at.
+_SEARCH = _BM25.replace(sql_tokens("body"), sql_tokens("concat_ws(chr(10), name, description, body)"))
+_LOCAL = f"""first AS (WITH {_BM25} SELECT query_id, pool_idx FROM rk WHERE rank = 1), {_SEARCH}, pl AS (SELECT *, row_number() OVER (ORDER BY category, skill_id) - 1 AS number, row_number() OVER (PARTITION BY category ORDER BY skill_id) - 1 AS mate, count(*) OVER (PARTITION BY category) AS n, count(*) OVER () AS size FROM {POOL}),
+best AS (SELECT query_id, skill_id AS positive_skill_id, category, n, size FROM first JOIN pl USING (pool_idx)),
+lists AS (SELECT 'bm25' AS source, query_id, skill_id, rank AS position FROM rk JOIN pl USING (pool_idx) WHERE rank <= 64
+ UNION ALL SELECT 'same_category', o.query_id, pl.skill_id, o.position FROM {sql_order("best", "n", 64, "'42:' || query_id || ':category:' || category")} o JOIN pl ON pl.category = o.category AND pl.mate = o.number
+ UNION ALL SELECT 'random', o.query_id, pl.skill_id, o.position FROM {sql_order("best", "size", 64, "'42:' || query_id || ':random'")} o JOIN pl ON pl.number = o.number),
+pairs AS (SELECT DISTINCT query_id, positive_skill_id, skill_id FROM lists JOIN best USING (query_id)), {_REASON.replace(">= 0.6", ">= 0.85")},
+fl2 AS (SELECT l.*, f.reason FROM lists l JOIN fl f USING (query_id, skill_id))"""
+
+
+def _scan(source: str, target: int, seen: str | None) -> str:
+    fresh = f" AND (query_id, skill_id) NOT IN (SELECT (query_id, skill_id) FROM {seen})" if seen else ""
+    return f"(SELECT source, query_id, skill_id, reason FROM (SELECT *, coalesce(sum((reason IS NULL)::INT) OVER (PARTITION BY query_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM fl2 WHERE source = '{source}'{fresh}) WHERE passed < {target})"
+
+
+@query(f"""WITH {_LOCAL}, s1 AS {_scan("bm25", 3, None)}, s2 AS (SELECT * FROM s1 UNION ALL {_scan("same_category", 2, "s1")}), s3 AS (SELECT * FROM s2 UNION ALL {_scan("random", 1, "s2")})
+SELECT query_id, skill_id, source, coalesce(reason, 'negative') AS state FROM s3""")
 def local_negatives(spark, sf):
     asked, pool = _local_queries(spark, sf)
     mined = negatives.mine_local(asked, pool, tokenize=TOKENS)
@@ -359,7 +385,21 @@ def merge_sources(spark, sf):
     return negatives.merge_sources(c, positives).select("query_id", "source", "skill_id")
 
 
-@query()
+def _merged(rows: str) -> str:
+    """CTEs m0 to m3 and their union: up to each source's quota in order, a skill once, from rows without positives."""
+    out, taken = [], []
+    for i, (source, quota) in enumerate(negatives.MERGED_SOURCES):
+        fresh = "".join(f" AND (query_id, skill_id) NOT IN (SELECT (query_id, skill_id) FROM m{j})" for j in range(i))
+        out.append(f"m{i} AS (SELECT query_id, source, skill_id FROM {rows} WHERE source = '{source}'{fresh} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position) <= {quota})")
+        taken.append(f"SELECT * FROM m{i}")
+    return ", ".join([*out, f"merged AS ({' UNION ALL '.join(taken)})"])
+
+
+@query(f"""WITH top AS (SELECT query_id, pool_idx, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_idx) AS position FROM (SELECT a.vec_id AS query_id, b.vec_id AS pool_idx, {_SIM} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE position <= 50),
+mo AS (SELECT query_id, source, skill_id, min(position) AS position FROM (
+  SELECT query_id, pool_idx AS skill_id, 'semantic' AS source, position FROM top UNION ALL SELECT query_id, pool_idx, CASE position % 3 WHEN 0 THEN 'bm25' WHEN 1 THEN 'same_category' ELSE 'random' END, position FROM top WHERE position % 5 = 0) WHERE skill_id <> query_id GROUP BY ALL),
+{_merged("mo")}
+SELECT 'q' || query_id AS query_id, 'v' || skill_id AS skill_id, CASE WHEN {_SIM} >= 0.3 THEN 'embedding_false_negative' ELSE source END AS state FROM merged JOIN embeddings a ON a.vec_id = skill_id JOIN embeddings b ON b.vec_id = query_id""")
 def semantic_negatives(spark, sf):
     v = roles.vectors(spark, sf)
     asked = roles.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), "embedding", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("positive_skill_id"))
