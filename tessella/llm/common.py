@@ -105,7 +105,9 @@ def worker_state(operator: str, make: Callable[[], object] | None = None):
 
 def arrow_type(kind: str) -> pa.DataType:
     """The Arrow type of an id column's Spark type."""
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    if kind.startswith("decimal"):
+        return pa.decimal128(*(int(x) for x in kind[8:-1].split(",")))
+    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(), "binary": pa.binary()}[kind]
 
 
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

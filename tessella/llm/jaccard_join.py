@@ -19,7 +19,7 @@ named by the hash of the set.
    left behind it in either set must suffice) and on the sketches, so pairs that fail them are never emitted; pairs of
    large sets then pass a wider sketch.
 4. The ends of these pairs, few of all sets, are worked out once more from the text of one row each: the pairs must share a
-   prefix token under B and one under C; then the sets are intersected exactly.
+   prefix token under B and one under C (32 bits of it); the sets of those that do are joined and intersected exactly.
 5. Links give components by minimum labels and pointer jumping, and a component's smallest id goes to its rows.
 
 Every pair that could link is verified or already connected. Hot tokens, sets and components are salted or aggregated
@@ -290,7 +290,7 @@ def _few(ids: DataFrame) -> DataFrame:
 def _held(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, rule: Rule, shared, tables: StageTables) -> DataFrame:
     """(set, b, c, shingles) of every end of the pairs, from the text of one of its rows.
 
-    Values under orders B and C are cut to 16 bits: an overlap is never missed, and a false one only costs a verification.
+    Values under orders B and C are cut to 32 bits: an overlap is never missed, and a false one only costs a verification.
     """
     ends = tables.put("ends", pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct())
     one = tables.put("one", nodes.join(_few(ends), "set", "left_semi").select("set", "doc_id"))
@@ -307,13 +307,13 @@ def _held(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, rule: Rule, share
                     continue
                 seen.add(key)
                 n = rule.prefix(len(s))
-                values = (key, *(ordered(s, marks, n, x).astype(np.uint16).view(np.int16) for x in (_B, _C)), signed(s))
+                values = (key, *(ordered(s, marks, n, x).astype(np.uint32).view(np.int32) for x in (_B, _C)), signed(s))
                 for column, value in zip(out.values(), values):
                     column.append(value)
-            types = [pa.int64()] + [pa.list_(pa.int16())] * 2 + [pa.list_(pa.int64())]
+            types = [pa.int64()] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_pydict({x: pa.array(v, t) for (x, v), t in zip(out.items(), types)})
 
-    held = tables.put("held", texts.select("set", "text").mapInArrow(run, "set long, b array<short>, c array<short>, shingles array<long>"), codec="lz4")
+    held = tables.put("held", texts.select("set", "text").mapInArrow(run, "set long, b array<int>, c array<int>, shingles array<long>"), codec="lz4")
     for t in ("ends", "one"):
         tables.drop(t)
     return held
@@ -398,11 +398,20 @@ def _alike(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (x, y) that share a prefix value under order B and one under C, and link by their exact intersection."""
-    side = lambda x: held.select(F.col("set").alias(x), F.col("b").alias(f"b{x}"), F.col("c").alias(f"c{x}"), F.col("shingles").alias(f"s{x}"))
-    near = pairs.join(side("x"), "x").join(side("y"), "y").where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy"))
+    """The pairs (x, y) that share a prefix value under order B and one under C, and link by their exact intersection.
+
+    The orders are asked first, with the prefixes alone; whole sets are joined to the pairs that pass.
+    """
+    side = lambda x, *columns: held.select(F.col("set").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in columns))
+    near = agreeing(pairs.join(side("x", "b", "c"), "x").join(side("y", "b", "c"), "y")).select("x", "y")
+    both = near.join(side("x", "shingles"), "x").join(side("y", "shingles"), "y")
     common = F.size(F.array_intersect("sx", "sy")).cast("long")
-    return near.where(common * (rule.num + rule.den) >= (F.size("sx") + F.size("sy")).cast("long") * rule.num).select("x", "y").distinct()
+    return both.where(common * (rule.num + rule.den) >= (F.size("sx") + F.size("sy")).cast("long") * rule.num).select("x", "y").distinct()
+
+
+def agreeing(pairs: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share a value under both orders."""
+    return pairs.where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy"))
 
 
 def connected(links: DataFrame, tables: StageTables, name: str) -> DataFrame:
