@@ -173,7 +173,8 @@ def _run_batches(spark: SparkSession, tables: StageTables, n_batches: int, parti
         f"{state}rocksdb.allowFAllocate": "false",
         f"{state}rocksdb.changelogCheckpointing.enabled": "true",
         f"{state}rocksdb.boundedMemoryUsage": "true",
-        f"{state}rocksdb.maxMemoryUsageMB": "256",
+        f"{state}rocksdb.maxMemoryUsageMB": "48",
+        f"{state}rocksdb.writeBufferSizeMB": "4",
         # The file system's own checksums guard the small files of every commit.
         "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
         "spark.sql.shuffle.partitions": str(partitions),
