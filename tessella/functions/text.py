@@ -40,11 +40,12 @@ def tokens(text: Column | str) -> Column:
         pairs = F.when(F.length(run) > 1, F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))).otherwise(none)
         return F.when(run.rlike(f"^[{CJK}]"), F.concat(F.split(run, ""), pairs)).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, pieces))
+    # a text without CJK, as most are, takes one regular expression and no lambda
+    return F.when(_col(text).rlike(f"[{CJK}]"), F.flatten(F.transform(runs, pieces))).otherwise(plain_tokens(text))
 
 
 def plain_tokens(text: Column | str) -> Column:
-    """``tokens`` for text known to hold no CJK: one regular expression and no lambda."""
+    """``tokens`` for text known to hold no CJK."""
     return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 

@@ -11,6 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text
+from tessella.operators.lineage import cut
+
+
+#: Query terms that are broadcast.
+BROADCAST_TERMS = 500_000
+SALTS = 16
 
 
 class Index(NamedTuple):
@@ -29,11 +35,14 @@ def index(pool: DataFrame, body: Column | str, tokenize=text.tokens, terms_of: D
     only what a query can touch is shuffled. Document numbers and lengths always cover the whole pool.
     """
     docs = pool.select("pool_idx", tokenize(body).alias("tokens"))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    rows = docs.select("pool_idx", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    # one row more a document, with the empty token, so that the statistics come from the pass that makes the postings
+    spread = docs.select("pool_idx", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
     if terms_of is not None:
-        rows = rows.join(terms_of.select("token").distinct(), "token", "left_semi")
-    postings = rows.groupBy("token", "pool_idx", "dl").agg(F.count("*").alias("tf"))
+        asked = terms_of.select("token").unionByName(terms_of.sparkSession.createDataFrame([("",)], "token string")).distinct()
+        spread = spread.join(asked, "token", "left_semi")
+    counted = cut(spread.groupBy("token", "pool_idx", "dl").agg(F.count("*").alias("tf")))
+    stats = counted.where("token = ''").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    postings = counted.where("token <> ''").select("pool_idx", "dl", "token", "tf")
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     terms = df.crossJoin(stats.select("n_docs")).select("token", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     return Index(postings, terms, stats)
@@ -46,14 +55,22 @@ def query_terms(queries: DataFrame, query: Column | str, tokenize=text.tokens) -
 
 def scores(pool: DataFrame, body: Column | str, queries: DataFrame, query: Column | str, k1: float = 1.5, b: float = 0.75, tokenize=text.tokens) -> DataFrame:
     """(query_id, pool_idx, score) of every document that shares a token with the query."""
-    asked = query_terms(queries, query, tokenize)
+    asked = cut(query_terms(queries, query, tokenize))
     ix = index(pool, body, tokenize, terms_of=asked)
     # the pool's two statistics are one row and ride along with the few terms
     terms = ix.terms.crossJoin(ix.stats.select("avgdl"))
-    weighed = asked.join(terms, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl")
+    weighed = cut(asked.join(terms, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl"))
     tf = F.col("tf")
     part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return weighed.join(ix.postings, "token").groupBy("query_id", "pool_idx").agg(F.round(F.sum(part), 6).alias("score"))
+    return _with_weights(ix.postings, weighed).groupBy("query_id", "pool_idx").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def _with_weights(postings: DataFrame, weighed: DataFrame) -> DataFrame:
+    """Postings joined to the query terms: these are broadcast if they are few; else every token is dealt to ``SALTS`` tasks."""
+    if weighed.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        return postings.join(F.broadcast(weighed), "token")
+    copies = weighed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.withColumn("salt", F.pmod(F.xxhash64("pool_idx"), F.lit(SALTS)).cast("int")).join(copies, ["token", "salt"]).drop("salt")
 
 
 def ranked(scored: DataFrame, limit: int) -> DataFrame:

@@ -15,9 +15,7 @@ from tessella.plans.roles import GOLD, POOL, TASKS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: The generated corpus holds no CJK, so registered queries tokenize by one regular expression; ``text.tokens`` is the
-#: general form and tests hold both against each other.
-TOKENS = text.plain_tokens
+TOKENS = text.tokens
 
 
 def query(oracle: str | None = None):

@@ -30,10 +30,32 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 TASKS = "(SELECT 'q' || item_id AS query_id, text AS query, item_id FROM benchmark)"
 
 
+GRAM = 5
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, skill_id): the documents that hold a query's text word for word."""
-    asked = tasks(spark, sf_dir).select("query_id", "query")
-    return pool(spark, sf_dir).select("skill_id", "body").join(F.broadcast(asked), F.contains("body", "query")).select("query_id", "skill_id")
+    return holding(pool(spark, sf_dir), tasks(spark, sf_dir)).select("query_id", "skill_id")
+
+
+def holding(skills: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, query, skill_id, body): pairs whose body contains the query.
+
+    The words inside a query, between its first and last blank, stand in such a body between blanks too. So pairs share
+    the first ``GRAM`` inner words (all of them, if there are fewer), and are joined by these before the whole text is
+    compared. Bodies give the grams of the lengths that queries ask for. Every query must hold a blank-free inner word.
+    """
+    words = F.split("query", " ")
+    size = F.least(F.size(words) - 2, F.lit(GRAM))
+    keyed = asked.select("query_id", "query", size.alias("size"), F.when(size < 1, F.raise_error(F.concat(F.lit("a query of two words or fewer: "), "query_id")).cast("long")).otherwise(F.xxhash64(F.slice(words, 2, F.greatest(size, F.lit(1))))).alias("gram"))
+    sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())  # GRAM rows at most
+    body = F.split("body", " ")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(body) - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("size"), F.xxhash64(F.slice(body, i, F.lit(n))).alias("gram")))
+    if not sizes:
+        return asked.join(skills.select("skill_id", "body"), F.lit(False)).select("query_id", "query", "skill_id", "body")
+    each = skills.where("body is not null").select("skill_id", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("g")).select("skill_id", "g.*")
+    pairs = each.join(keyed, ["size", "gram"]).select("query_id", "query", "skill_id").distinct()
+    return pairs.join(skills.select("skill_id", "body"), "skill_id").where(F.contains("body", "query"))
 
 
 GOLD = f"(SELECT t.query_id, p.skill_id FROM {POOL} p JOIN {TASKS} t ON contains(p.body, t.query))"
