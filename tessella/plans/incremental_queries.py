@@ -1,4 +1,4 @@
-"""Registered queries of scans in order, id guards and keyed incremental work."""
+"""Registered queries of scans in order, id guards, keyed incremental work and manifests."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessella.operators import guards
+from tessella.operators import guards, manifests, training
 from tessella.operators.lineage import shared_dir
 from tessella.plans import roles
-from tessella.plans.queries import POOL, query
+from tessella.plans.queries import POOL, TASKS, query
+from tessella.plans.training_queries import _TOP, _top
 from tessella.sources import jsonl
 from tessella.streaming import keyed
 
@@ -109,3 +110,23 @@ def _failed_stream(spark, sf):
             keyed.run_stream(spark.readStream.schema(parts[0].schema).parquet(f"{path}/in"), keyed.Worker(_answer, _accept), f"{path}/out", f"{path}/state").awaitTermination()
     records = spark.read.schema(keyed.RECORD).parquet(f"{path}/out")
     return keyed.results(records), keyed.failures(records)
+
+
+@query(f"""WITH {_TOP}, x AS (SELECT t.query_id, p.skill_id AS positive, (SELECT list(n.skill_id ORDER BY n.rank) FROM top n WHERE n.query_id = t.query_id AND n.rank BETWEEN 2 AND 11) AS negatives,
+    CASE WHEN t.item_id % 3 = 0 THEN 'multi' ELSE 'single' END AS kind, CASE WHEN t.item_id % 3 = 0 THEN 1.5 ELSE 1.0 END AS weight FROM {TASKS} t JOIN (SELECT * FROM top WHERE rank = 1) p USING (query_id)),
+s AS (SELECT unnest(range(len(negatives))) AS i FROM x)
+SELECT 'examples' AS measure, count(*)::DOUBLE AS value FROM x UNION ALL SELECT 'type:' || kind, count(*)::DOUBLE FROM x GROUP BY kind UNION ALL SELECT 'mass:' || kind, sum(weight)::DOUBLE FROM x GROUP BY kind
+UNION ALL SELECT 'negatives', coalesce(sum(len(negatives)), 0)::DOUBLE FROM x UNION ALL SELECT 'source:' || CASE WHEN i % 2 = 0 THEN 'bm25' ELSE 'random' END, count(*)::DOUBLE FROM s GROUP BY i % 2
+UNION ALL SELECT 'digest', (sum(('0x' || md5(concat_ws(chr(31), query_id, positive, coalesce(array_to_string(negatives, ' '), '')))[1:15])::HUGEINT) % 9007199254740992)::DOUBLE FROM x""")
+def training_manifest(spark, sf):
+    """Measures of bi-encoder examples, gathered while they are written."""
+    top, pool = _top(spark, sf, 15)
+    best = top.where("rank = 1").select("query_id", F.col("skill_id").alias("positive_skill_id"))
+    multi = F.col("item_id") % 3 == 0
+    records = roles.tasks(spark, sf).join(best, "query_id").select("query_id", "query", "positive_skill_id", F.array("positive_skill_id").alias("positives"), F.when(multi, "multi").otherwise("single").alias("training_type"), F.when(multi, 1.5).otherwise(1.0).alias("loss_weight"))
+    source = F.when(F.col("rank") % 2 == 0, "bm25").otherwise("random")
+    examples = training.biencoder_examples(records, top.select("query_id", "skill_id", source.alias("source"), F.col("rank").alias("position")), pool)
+    measures = manifests.training_measures(["multi", "single"], ["bm25", "random"])
+    measures["digest"] = manifests.digest("query_id", "positive_skill_id", F.array_join("negative_skill_ids", " "))
+    found = manifests.write_with_measures(examples, _folder(spark, "manifest"), measures)
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items() if not k.startswith("invalid")], "measure string, value double")
