@@ -55,18 +55,25 @@ def pack(codes: np.ndarray) -> tuple[bytes, bytes]:
     extra = (codes > 0xFF).astype(np.uint8) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
     quads = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
     quads[: len(codes)] = extra
-    control = (quads.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    keep = np.arange(4, dtype=np.uint8) <= extra[:, None]
-    return control.tobytes(), codes.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    control = quads[0::4] | quads[1::4] << 2 | quads[2::4] << 4 | quads[3::4] << 6
+    ends = np.cumsum(extra, dtype=np.int64) + np.arange(1, len(codes) + 1)
+    data, at = np.empty(int(ends[-1]) if len(codes) else 0, np.uint8), ends - extra - 1
+    data[at] = codes & 0xFF
+    for k in range(1, int(extra.max(initial=0)) + 1):
+        longer = np.flatnonzero(extra >= k)
+        data[at[longer] + k] = codes[longer] >> 8 * k & 0xFF
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` codes that ``pack`` was given."""
     sizes = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    keep = np.arange(4) < sizes[:, None]
-    out = np.zeros((n, 4), np.uint8)
-    out[keep] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").reshape(-1)
+    values, at = np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes
+    out = values[at].astype("<u4")
+    for k in range(1, int(sizes.max(initial=1))):
+        longer = np.flatnonzero(sizes > k)
+        out[longer] |= values[at[longer] + k].astype("<u4") << np.uint32(8 * k)
+    return out
 
 
 # ---- encoding ---------------------------------------------------------------------------------------------------------
@@ -92,6 +99,8 @@ class WordEncoder:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.pre_token = regex.compile(splits[0]["pattern"]["Regex"]) if self.by_piece else None
+        #: Whether a run of letters alone is one pre-token.
+        self.letters_whole = self.by_piece and "[\\p{L}]+" in splits[0]["pattern"]["Regex"]
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -102,10 +111,10 @@ class WordEncoder:
         """Caches the ids of pieces. Pre-tokens of plain pieces are encoded many at a time, each up to its end token."""
         other = [p for p in pieces if not p.isascii() and not _PLAIN.fullmatch(p)]
         self.cache.update(zip(other, self._library(other)))
-        pieces = [p for p in pieces if p not in self.cache]
-        cut = [self.pre_token.findall(p.lower()) for p in pieces]
-        new = {w for words in cut for w in words}
-        new.difference_update(self.words)
+        pieces = [p for p in pieces if p not in self.cache] if other else pieces
+        findall = self.pre_token.findall
+        cut = [[p] if self.letters_whole and p.isalpha() else findall(p) for p in map(str.lower, pieces)]
+        new = {w for words in cut for w in words}.difference(self.words)  # looks up the new ones, does not walk the cache
         if len(self.words) + len(new) > CACHE_KEYS:
             self.words = dict(islice(self.words.items(), CACHE_KEYS // 2))  # what is frequent is met early
             new = {w for words in cut for w in words if w not in self.words}
@@ -119,7 +128,7 @@ class WordEncoder:
             else:  # a character without a token of its own: each by itself
                 self.words.update(zip(part, self._library(part)))
         get = self.words.__getitem__
-        self.cache.update((p, b"".join(map(get, words))) for p, words in zip(pieces, cut))
+        self.cache.update((p, get(words[0]) if len(words) == 1 else b"".join(map(get, words))) for p, words in zip(pieces, cut))
 
     def _pieces(self, text: str) -> list[str] | None:
         # Python's white space has four separators, U+001C to U+001F, that the tokenizer's pattern has not
@@ -134,7 +143,7 @@ class WordEncoder:
         new: set[str] = set()
         for p in pieces:
             new.update(p or ())
-        new.difference_update(self.cache)
+        new = new.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_KEYS:
             self.cache = dict(islice(self.cache.items(), CACHE_KEYS // 2))
             new = {x for p in pieces for x in p or () if x not in self.cache}
