@@ -103,7 +103,7 @@ def sampling_manifest(sample, size: int, seed: int, pool: DataFrame, excluded: D
         "sample_size": size, "seed": seed,
         "pool_digest": pool.agg(digest("skill_id", "name", "description", "body").alias("d")).first().d,
         "excluded_ids_digest": 0 if none else excluded.select("skill_id").distinct().agg(digest("skill_id").alias("d")).first().d,
-        "selected_skill_ids": [r.skill_id for r in sample.rows.orderBy("position").select("skill_id").collect()],
+        "selected_skill_ids": [r.skill_id for r in sample.records.orderBy("position").select("skill_id").collect()],
         "stratum_population": {r.stratum: r.population for r in strata}, "stratum_selected": {r.stratum: r.selected for r in strata},
         "excluded_count": counts.excluded, "duplicate_count": counts.duplicates,
     }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import hashing, text
+from tessella.operators.lineage import cut
 from tessella.functions.fixed import BENCHMARK_ID_FIELDS
 
 
@@ -77,12 +78,31 @@ def stratified_sample(skills: DataFrame, size: int, seed: int = 42, excluded: Da
         raise ValueError(f"sample size {size} exceeds the {sum(populations.values())} eligible rows")
     given = allocate(populations, size)
     strata = skills.sparkSession.createDataFrame([(k, populations[k], given[k]) for k in sorted(populations)], "stratum string, population long, selected long")
-    order = Window.partitionBy("stratum").orderBy(hashing.order_key(seed, F.col("stratum"), F.col("skill_id")), "skill_id")
-    chosen = rows.withColumn("nth", F.row_number().over(order)).join(F.broadcast(strata.select("stratum", "selected")), "stratum").where("nth <= selected").drop("nth", "selected")
+    order = Window.partitionBy("stratum").orderBy("key", "skill_id")
+    keyed = rows.withColumn("key", hashing.order_key(seed, F.col("stratum"), F.col("skill_id")))
+    near = _under_threshold(keyed, strata)
+    chosen = near.withColumn("nth", F.row_number().over(order)).where("nth <= selected").drop("nth", "selected", "key")
     position = F.row_number().over(Window.orderBy(hashing.order_key(seed, F.col("skill_id")), "skill_id"))
     return Sample(chosen.withColumn("position", position), strata, counts)
 
 
+def _under_threshold(keyed: DataFrame, strata: DataFrame) -> DataFrame:
+    """Of each stratum, rows that hold its ``selected`` smallest keys, and few others, with ``selected``.
+
+    Keys are digests, so a share of them lies under the same share of their range. A stratum that is short of rows under its
+    threshold (six standard deviations above what it needs) is taken whole.
+    """
+    wanted = (F.col("selected") + 6 * F.sqrt(F.col("selected").cast("double")) + 20) / F.col("population")
+    limits = strata.select("stratum", "selected", F.lpad(F.hex(F.floor(F.least(wanted, F.lit(1.0)) * 0xFFFFFFFF).cast("long")), 8, "0").alias("limit"))
+    near = cut(keyed.join(F.broadcast(limits), "stratum").where(F.substring("key", 1, 8) <= F.lower("limit")).drop("limit"))
+    held = near.groupBy("stratum").agg(F.count("*").alias("held"))
+    short = strata.join(held, "stratum", "left").where(F.coalesce("held", F.lit(0)) < F.col("selected")).select("stratum", "selected")
+    if short.isEmpty():
+        return near
+    whole = keyed.join(F.broadcast(short), "stratum")
+    return near.join(F.broadcast(short.select("stratum")), "stratum", "left_anti").unionByName(whole.select(near.columns))
+
+
 def pilot_counts(populations: dict[str, int], limit: int) -> dict[str, int]:
     """Shares of ``limit`` in proportion, at least one of each type."""
     total = sum(populations.values())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import hashing, text
 from tessella.functions.fixed import ARTIFACT_STOP_WORDS, CONSUMER_ACTIONS, QUERY_INSTRUCTION, RERANK_INSTRUCTION
 from tessella.operators import bm25, dense, fusion, graph, metrics, negatives, permutation, retrieval, sampling
+from tessella.operators.lineage import cut
 from tessella.plans import roles
 from tessella.plans.roles import GOLD, POOL, TASKS
 
@@ -478,14 +479,29 @@ def strata_counts(spark, sf):
     return rows.groupBy("stratum").agg(F.count("*").alias("population"))
 
 
-@query()
+# The allocation turn by turn: shares by the roots of the populations, whole parts first, then the largest fractions.
+@query(f"""WITH RECURSIVE el AS (SELECT *, category || '::' || language AS stratum FROM {POOL} QUALIFY row_number() OVER (PARTITION BY name, description, body ORDER BY pool_idx) = 1),
+al AS (SELECT stratum, n, CASE WHEN 120 >= count(*) OVER () THEN 1 ELSE 0 END::BIGINT AS given, 120 - CASE WHEN 120 >= count(*) OVER () THEN count(*) OVER () ELSE 0 END AS rest, 0 AS turn FROM (SELECT stratum, count(*) AS n FROM el GROUP BY 1)
+ UNION ALL SELECT stratum, n, given + plus, rest - sum(plus) OVER ()::BIGINT, turn + 1 FROM (
+  SELECT *, CASE WHEN given >= n THEN 0 WHEN any_whole THEN whole ELSE (row_number() OVER (PARTITION BY given < n ORDER BY floor(share) - share, stratum) <= rest)::INT END::BIGINT AS plus FROM (
+   SELECT *, max(whole) OVER () > 0 AS any_whole FROM (SELECT *, CASE WHEN given < n THEN least(floor(share)::BIGINT, n - given) ELSE 0 END AS whole FROM (
+    SELECT *, rest * sqrt(n) / sum(CASE WHEN given < n THEN sqrt(n) END) OVER () AS share FROM al WHERE rest > 0)))))
+SELECT skill_id, stratum, row_number() OVER (ORDER BY sha256('42:' || skill_id), skill_id) AS position FROM (
+ SELECT el.*, a.given, row_number() OVER (PARTITION BY el.stratum ORDER BY sha256('42:' || el.stratum || ':' || skill_id), skill_id) AS nth FROM el JOIN (SELECT * FROM al WHERE turn = (SELECT max(turn) FROM al)) a ON a.stratum = el.stratum) WHERE nth <= given""")
 def stratified_sample(spark, sf):
     return sampling.stratified_sample(roles.pool(spark, sf), 120).records.select("skill_id", "stratum", "position")
 
 
-@query()
+# Evenly spaced rows of each type: shares of 20 in proportion, one at least; what is left goes by remainders.
+@query(f"""WITH {_FEATURES}, cd AS (SELECT 'pair' AS candidate_type, 'comp::pair::' || sha256('pair' || chr(0) || from_skill_id || chr(0) || to_skill_id)[1:16] AS candidate_id, row_number() OVER (ORDER BY score DESC, from_skill_id, to_skill_id) - 1 AS place FROM kp WHERE nth <= 16
+ UNION ALL SELECT 'triple', 'comp::triple::' || sha256('triple' || chr(0) || f || chr(0) || m || chr(0) || l)[1:16], row_number() OVER (ORDER BY score DESC, f, m, l) - 1 AS place FROM tr QUALIFY place < 1000),
+pc AS (SELECT candidate_type, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM cd GROUP BY 1),
+g0 AS (SELECT *, greatest(1, 20 * n // total) AS g FROM pc), g1 AS (SELECT *, 20 - sum(g) OVER () AS d, row_number() OVER (ORDER BY -(20 * n % total), candidate_type) AS r, row_number() OVER (ORDER BY g DESC, candidate_type DESC) AS top FROM g0),
+g2 AS (SELECT *, (CASE WHEN d >= 0 THEN g + (r <= d)::INT ELSE g + CASE WHEN top = 1 THEN d ELSE 0 END END)::BIGINT AS given FROM g1),
+pk AS (SELECT *, unnest(range(given)) AS k FROM g2)
+SELECT candidate_id, candidate_type FROM cd JOIN (SELECT candidate_type, CASE WHEN given > 1 THEN k * (n - 1) // (given - 1) ELSE 0 END AS place FROM pk) p USING (candidate_type, place)""")
 def pilot_selection(spark, sf):
     g = _graph(spark, sf)
-    both = g.pairs.unionByName(g.triples)
+    both = cut(g.pairs.unionByName(g.triples))
     numbered = both.withColumn("candidate_idx", F.row_number().over(Window.orderBy("candidate_type", "rank")))
     return sampling.pilot(numbered, 20).select("candidate_id", "candidate_type")
