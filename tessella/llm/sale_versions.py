@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessella.llm.common import StageTables
+from tessella.llm.common import StageTables, worker_state
 
 ROWS_PER_BUCKET = 200_000
 HOT_SHARE = 500
@@ -209,6 +209,7 @@ class Versions(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        worker_state("sale_versions")  # gives freed memory back
         new = pd.concat(list(rows), ignore_index=True)
         tick = new[new["kind"] == _TICK]
         if len(tick) != 1:
