@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessella.functions import alignment
 from tessella.functions import evidence as ev
 from tessella.functions.fixed import QUERY_INSTRUCTION
 from tessella.operators import contracts, dense, generation, training
@@ -88,26 +89,31 @@ def query_validation(spark, sf):
     return roles.tasks(spark, sf).select("query_id", F.coalesce(generation.single_query_error("query", 30, 45), F.lit("ok")).alias("state"))
 
 
-# Every tenth document cites a span of its own text, some of it with markup put in.
+
 def _cited(spark, sf):
-    docs = roles.table(spark, sf, "documents").where("length(text) > 100")
+    docs = roles.table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     quote = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 11, 40)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("**"), F.substring("text", 11, 40), F.lit("`"))).otherwise(F.lit("no such text in any document"))
     return docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("skill_id"), F.lit("").alias("name"), F.lit("").alias("description"), F.col("text").alias("body"), quote.alias("quote"), "doc_id")
 
 
-@query("SELECT 'd' || doc_id AS skill_id, CASE WHEN doc_id % 3 = 2 THEN 'missing' ELSE 'body' END AS field FROM documents WHERE length(text) > 100")
-def evidence_align(spark, sf):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                try:
-                    out.append((r["skill_id"], ev.align(r, "description", r["quote"], "capability").field))
-                except ValueError:
-                    out.append((r["skill_id"], "missing"))
-            yield pa.RecordBatch.from_pydict({"skill_id": pa.array([x for x, _ in out], pa.string()), "field": pa.array([f for _, f in out], pa.string())})
+# Every third document cites itself word for word, every third with markup put in, every third what it does not hold.
+_QUOTES = """c AS (SELECT doc_id, coalesce(text, '') AS body, CASE doc_id % 3 WHEN 0 THEN coalesce(text, '')[11:50] WHEN 1 THEN '**' || coalesce(text, '')[11:50] || '`' ELSE 'no such text in any document' END AS quote FROM documents),
+pj AS (SELECT *, regexp_replace(regexp_replace(body, '\\s(?:[*`]*\\s)*', ' ', 'g'), '[*`]', '', 'g') AS shown, regexp_replace(regexp_replace(quote, '\\s(?:[*`]*\\s)*', ' ', 'g'), '[*`]', '', 'g') AS wanted FROM c),
+ex AS (SELECT doc_id, quote, CASE WHEN quote = '' THEN 0 ELSE strpos(body, quote) - 1 END AS start FROM pj WHERE quote = '' OR contains(body, quote)),
+md AS (SELECT *, strpos(shown, wanted) AS first, strpos(shown, wanted) + length(wanted) - 1 AS last FROM pj WHERE doc_id NOT IN (SELECT doc_id FROM ex) AND length(trim(wanted)) >= 12 AND contains(shown, wanted)),
+pc AS (SELECT doc_id, first, last, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (SELECT *, regexp_extract_all(body, '[*`]+|\\s(?:[*`]*\\s)*|[^\\s*`]') AS p FROM md)),
+un AS (SELECT *, sum(length(piece)) OVER w AS stop, sum((piece[1:1] NOT IN ('*', '`'))::INT) OVER w AS unit FROM pc WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+sp AS (SELECT doc_id, max(CASE WHEN unit = first THEN stop - length(piece) END) AS a, max(CASE WHEN unit = last THEN stop END) AS b FROM un WHERE piece[1:1] NOT IN ('*', '`') GROUP BY 1),
+wd AS (SELECT doc_id, body, a - (a - length(rtrim(body[1:a], '*`'))) AS a, b + (length(body) - b - length(ltrim(body[b + 1:], '*`'))) AS b FROM sp JOIN md USING (doc_id)),
+al AS (SELECT doc_id, quote, start, 0 AS warnings FROM ex UNION ALL SELECT doc_id, body[a + 1:b], a, 2 FROM wd)"""
 
-    return _cited(spark, sf).drop("doc_id").mapInArrow(run, "skill_id string, field string")
+
+@query(f"""WITH {_QUOTES} SELECT 'd' || c.doc_id AS skill_id, CASE WHEN al.doc_id IS NULL THEN 'missing' WHEN al.quote = '' THEN 'description' ELSE 'body' END AS field, al.quote, al.start::BIGINT AS start, CASE WHEN al.doc_id IS NULL OR al.quote = '' THEN 0 WHEN al.warnings = 2 THEN 2 ELSE 1 END::BIGINT AS n_warnings FROM c LEFT JOIN al USING (doc_id)""")
+def evidence_align(spark, sf):
+    """The quotes are said to stand in the description, which is empty, and are found in the body."""
+    rows = _cited(spark, sf)
+    found = alignment.align({f: F.col(f) for f in ev.FIELDS}, F.lit("description"), F.col("quote"), "capability")
+    return rows.select("skill_id", found.alias("a")).select("skill_id", F.coalesce("a.field", F.lit("missing")).alias("field"), "a.quote", "a.start", F.coalesce(F.size("a.warnings"), F.lit(0)).cast("long").alias("n_warnings"))
 
 
 @query("SELECT doc_id, doc_id % 2 = 0 AS leaks FROM documents")
@@ -148,12 +154,12 @@ def _answers(spark, sf):
     return _cited(spark, sf).withColumn("answer", F.to_json(answer))
 
 
-@query("SELECT 'd' || doc_id AS skill_id, doc_id % 3 <> 2 AS made FROM documents WHERE length(text) > 100")
+@query("SELECT 'd' || doc_id AS skill_id, doc_id % 3 <> 2 AND length(trim(text[11:50])) > 0 AS made FROM documents")
 def contract_materialize(spark, sf):
     return contracts.materialize_all(_answers(spark, sf)).select("skill_id", F.col("contract").isNotNull().alias("made"))
 
 
-@query("SELECT 'd' || doc_id AS skill_id, doc_id % 2 = 0 AS valid FROM documents WHERE length(text) > 100 AND doc_id % 3 <> 2")
+@query("SELECT 'd' || doc_id AS skill_id, doc_id % 2 = 0 AS valid FROM documents WHERE doc_id % 3 <> 2 AND length(trim(text[11:50])) > 0")
 def contract_validation(spark, sf):
     rows = _answers(spark, sf)
     made = contracts.materialize_all(rows).where("contract is not null")
