@@ -51,7 +51,7 @@ def test_bpe_equals_tiktoken_and_round_trips(odd, none):
 
 
 def test_every_token_encodes_to_itself_by_rising_ranks():
-    """The property on which contracting all repeats of a pair at once rests."""
+    """Every entry of the vocabulary is reached by contracting pairs in the order of their ranks."""
     bpe = bpe_sql.SqlBpe(P.path("byte_bpe_50k.tiktoken"))
     some = [t for t in bpe.ranks if len(t) > 1][::97]
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe._merge(some)] == [[bpe.ranks[t]] for t in some]

@@ -43,11 +43,11 @@ def by_hand(sales, changes, n_batches, delay=0):
     return out
 
 
-def made(seed, n_sales=700, n_changes=500, n_batches=5):
+def made(seed, n_sales=700, n_changes=500, n_batches=4):
     rng = random.Random(seed)
     client = lambda: rng.choice([1, 1, 1, 1, 2, 3, 4, 5, None])
     hour = lambda: T0 + dt.timedelta(hours=rng.randrange(240))
-    later = lambda t: min(n_batches - 1, max(0, ((t or hour()) - T0).days // 2 + rng.choice([0, 0, 0, 1, -1])))
+    later = lambda t: min(n_batches - 1, max(0, ((t or hour()) - T0).days * 2 // 5 + rng.choice([0, 0, 0, 1, -1])))
     sales, changes = [], []
     for i in range(n_sales):
         t = hour() if rng.random() > 0.03 else None
@@ -55,7 +55,7 @@ def made(seed, n_sales=700, n_changes=500, n_batches=5):
     for i in range(n_changes):
         t = hour() if rng.random() > 0.03 else None
         b = later(t)
-        changes.append({"change_id": i - 20, "client_id": client(), "valid_at": t, "op": rng.choice(["I", "U", "D", None]), "balance": rng.choice([None, round(rng.uniform(-99, 99), 3)]), "batch": b if b != 2 else 3, "slice": "x"})
+        changes.append({"change_id": i - 20, "client_id": client(), "valid_at": t, "op": rng.choice(["I", "U", "D", None]), "balance": rng.choice([None, round(rng.uniform(-99, 99), 3)]), "batch": b if b != 1 else 2, "slice": "x"})
     return sales, changes
 
 
@@ -65,12 +65,12 @@ def frames(spark, sales, changes):
 
 @pytest.mark.parametrize(("hot_from", "rows", "delay"), [(10**9, 200_000, 0), (20, 30, 0), (20, 200_000, 7)])
 def test_equals_a_loop_over_batches(spark, monkeypatch, hot_from, rows, delay):
-    """Without hot clients; with most clients hot, few rows a bucket; with a delay. Batch 2 holds no change at all."""
+    """Without hot clients; with most clients hot, few rows a bucket; with a delay. Batch 1 holds no change at all."""
     monkeypatch.setattr(sale_versions, "HOT_FROM", hot_from)
     monkeypatch.setattr(sale_versions, "ROWS_PER_BUCKET", rows)
     sales, changes = made(delay + rows)
-    got = sale_versions.enrich(*frames(spark, sales, changes), 5, delay).collect()
-    want = by_hand(sales, changes, 5, delay)
+    got = sale_versions.enrich(*frames(spark, sales, changes), 4, delay).collect()
+    want = by_hand(sales, changes, 4, delay)
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert {r.rec for r in got} == {"sale", "late"} and len({r.batch for r in got if r.rec == "sale"}) > 3
     assert "spark.sql.streaming.stateStore.providerClass" not in {k for k, v in spark.conf.getAll.items() if "RocksDB" in v}
