@@ -124,9 +124,9 @@ class _Numbered:
 def materialize(semantic: dict, skill: dict, how: Extraction = Extraction(), attempts: int = 1) -> dict:
     """The contract of a semantic answer; raises ``ValueError`` where it can't be one."""
     if missing := sorted(set(SEMANTIC) - set(semantic)):
-        raise ValueError(f"contract response missing fields: {missing}")
+        raise ValueError(f"the answer lacks {missing}")
     if unexpected := sorted(set(semantic) - set(SEMANTIC)):
-        raise ValueError(f"contract response has unexpected fields: {unexpected}")
+        raise ValueError(f"the answer has more than was asked for: {unexpected}")
     numbered = _Numbered(skill)
     warn = numbered.warnings
     capability = numbered.convert(semantic["capability"], "capability")

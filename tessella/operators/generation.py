@@ -77,9 +77,9 @@ def validate(candidate: dict, hashes: dict[str, str], payload: dict, settings: G
 
     filled = lambda v: isinstance(v, str) and bool(v.strip())
     ids, query = candidate["skill_ids"], payload.get("query")
-    need(filled(query), "query must be a non-empty string")
+    need(filled(query), "no query text")
     n = len(query.split())
-    need(settings.min_words <= n <= settings.max_words, f"query word count must be {settings.min_words}..{settings.max_words}, got {n}")
+    need(settings.min_words <= n <= settings.max_words, f"a query of {n} words, not of {settings.min_words} to {settings.max_words}")
     need(payload.get("positive_skill_ids") == ids, "positive_skill_ids must equal the candidate's")
     need(not any(s.casefold() in query.casefold() for s in ids), "query must not reveal a skill id")
     steps = payload.get("subtasks")
@@ -93,7 +93,7 @@ def validate(candidate: dict, hashes: dict[str, str], payload: dict, settings: G
     need(isinstance(given, list) and all(isinstance(d, dict) and d.get("from_step_id") in names and d.get("to_step_id") in names and d["from_step_id"] != d["to_step_id"] for d in given), "dependencies must join distinct steps")
     pairs = [(d["from_step_id"], d["to_step_id"]) for d in given]
     need(set(pairs) == wanted, "dependencies must be the candidate's handoffs")
-    need(len(set(pairs)) == len(pairs) and _acyclic(set(pairs), names), "dependencies must be unique and acyclic")
+    need(len(set(pairs)) == len(pairs) and _acyclic(set(pairs), names), "dependencies repeat or form a cycle")
     need(all(hashes.get(s) for s in ids), "each contract needs a source hash")
     return {
         "schema_version": "compositional_query_v1", "query_id": f"compq::{candidate['candidate_id']}", "candidate_id": candidate["candidate_id"], "candidate_type": candidate.get("candidate_type"), "query": query.strip(), "positive_skill_ids": ids, "source_hashes": [hashes[s] for s in ids],
