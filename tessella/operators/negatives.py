@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import bm25, permutation
-from tessella.operators.dense import cosine
+from tessella.operators import bm25, guards, permutation
+from tessella.operators.dense import cosine, semantic_topk
 from tessella.operators.lineage import cut
 
 LOCAL_SOURCES = (("bm25", 3), ("same_category", 2), ("random", 1))
@@ -232,6 +232,27 @@ def mine_semantic(local: DataFrame, semantic: DataFrame, positives: DataFrame, e
     return filter_false_negatives(held, embeddings, threshold)
 
 
+def semantic_candidates(queries: DataFrame, skills: DataFrame, k: int, threshold: float = 0.95) -> Filtered:
+    """The ``k`` most similar skills of each query with several positives, less likely false negatives.
+
+    ``queries``: query_id, embedding, positives (array of ids, each once); ``skills``: skill_id, pool_idx, embedding. Kept rows
+    have source and position in the full list; removed ones are review rows of the scope ``semantic_topk``, by the first
+    positive that is too similar. Positives themselves are as similar as can be, so they are among the removed.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    asked = guards.checked(
+        guards.required(queries, "query_id", "query_id"),
+        (F.coalesce(F.size("positives"), F.lit(-1)) < 1, F.raise_error(F.concat(F.lit("no positives: "), "query_id")).cast("boolean")),
+        (F.size(F.array_distinct("positives")) < F.size("positives"), F.raise_error(F.concat(F.lit("a positive id repeats: "), "query_id")).cast("boolean")),
+    )
+    top = semantic_topk(asked.select("query_id", "embedding"), skills.select("pool_idx", "embedding"), k)
+    named = top.join(skills.select("pool_idx", "skill_id"), "pool_idx").join(asked.select("query_id", "positives"), "query_id")
+    rows = cut(named.select("query_id", "skill_id", F.lit("semantic").alias("source"), "score", F.col("rank").cast("long").alias("position"), "positives"))
+    found = filter_false_negatives(rows, skills.select("skill_id", "embedding"), threshold, "semantic_topk")
+    return Filtered(found.kept.drop("positives"), found.removed)
+
+
 class MultiMined(NamedTuple):
     negatives: DataFrame
     reviews: DataFrame

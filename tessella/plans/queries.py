@@ -324,6 +324,19 @@ def fn_filter(spark, sf):
     return _false_negatives(spark, sf).kept.select("query_id", "skill_id", "score")
 
 
+@query(f"""WITH {_FN} SELECT 'q' || query_id AS query_id, 'v' || pool_idx AS skill_id, 'semantic' AS source, NULL AS positive_skill_id, score, rank AS position, 'kept' AS scope FROM top WHERE NOT EXISTS (SELECT 1 FROM fs WHERE fs.query_id = top.query_id AND fs.pool_idx = top.pool_idx)
+UNION ALL SELECT 'q' || query_id, 'v' || pool_idx, 'semantic', 'v' || pos, sim, NULL, 'semantic_topk' FROM fs""")
+def semantic_candidates(spark, sf):
+    """Queries with three positives each; what is too similar to one of them goes to review."""
+    v, raw = roles.vectors(spark, sf), roles.table(spark, sf, "embeddings")
+    n = raw.count()
+    spot = lambda step: F.concat(F.lit("v"), ((F.col("vec_id") + step) % n).cast("string"))
+    asked = raw.where("vec_id % 10 = 0").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), "embedding", F.array(spot(0), spot(7), spot(19)).alias("positives"))
+    out = negatives.semantic_candidates(asked, v.select("skill_id", "pool_idx", "embedding"), 20, 0.3)
+    kept = out.kept.select("query_id", "skill_id", "source", F.lit(None).cast("string").alias("positive_skill_id"), "score", "position", F.lit("kept").alias("scope"))
+    return kept.unionByName(out.removed.select("query_id", "skill_id", "source", "positive_skill_id", "score", F.lit(None).cast("long").alias("position"), F.col("filter_scope").alias("scope")))
+
+
 def _local_queries(spark, sf):
     """Every query with its best lexical match as positive."""
     pool = roles.pool(spark, sf)
