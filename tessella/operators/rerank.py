@@ -1,4 +1,4 @@
-"""Reranking by an injected model, encoding by an injected model, and rankings as nested records."""
+"""Reranking by an injected model and encoding by an injected model."""
 
 from __future__ import annotations
 
@@ -38,9 +38,3 @@ def rerank(candidates: DataFrame, load, prompt: str = "prompt", top_k: int = 20)
     scored = candidates.where(F.col("rank") <= top_k).withColumn("reranker_score", score_column(load)(prompt))
     order = Window.partitionBy("query_id").orderBy(F.desc("reranker_score"), "skill_id")
     return scored.select("query_id", "skill_id", "reranker_score", F.row_number().over(order).alias("reranker_rank"))
-
-
-def records(rankings: DataFrame, queries: DataFrame) -> DataFrame:
-    """One row a query: its text and its candidates in order."""
-    lists = rankings.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "skill_id", "score"))).alias("retrieved_candidates"))
-    return queries.select("query_id", "query").join(lists, "query_id", "left")

@@ -7,11 +7,14 @@ Every ranking is (query_id, skill_id, score, rank).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessella.functions import text
 from tessella.operators import bm25, dense, fusion, metrics
+from tessella.operators.lineage import cut
+from tessella.sources import jsonl
 
 
 def _named(ranking: DataFrame, skills: DataFrame) -> DataFrame:
@@ -58,3 +61,34 @@ def records(ranking: DataFrame, queries: DataFrame) -> DataFrame:
 def score(tasks: DataFrame, ranking: DataFrame, skills: DataFrame) -> metrics.Evaluation:
     """Metrics by query and by stratum, and how many tasks were skipped and why (see ``metrics.evaluate``)."""
     return metrics.evaluate(tasks, ranking, skills)
+
+
+def write_outputs(ranking: DataFrame, queries: DataFrame, predictions_path: str, records_path: str, overwrite: bool = False) -> dict:
+    """Writes predictions and records as JSON lines, one a query; returns how many of each and where they are."""
+    spark = ranking.sparkSession
+    jsonl.guard_outputs(spark, [predictions_path, records_path], overwrite)
+    kept = cut(ranking.select("query_id", "skill_id", "score", "rank"))
+    n = {"predictions": jsonl.write_atomic(predictions(kept), predictions_path, overwrite), "queries": jsonl.write_atomic(records(kept, queries), records_path, overwrite)}
+    return n | {"predictions_path": predictions_path, "records_path": records_path}
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, skill_id, rank) from written predictions."""
+    rows = jsonl.read(spark, path, StructType.fromDDL("query_id string, skill_ids array<string>"))
+    return rows.select("query_id", F.posexplode("skill_ids").alias("at", "skill_id")).select("query_id", "skill_id", (F.col("at") + 1).alias("rank"))
+
+
+def write_score(tasks: DataFrame, ranking: DataFrame, skills: DataFrame, folder: str, stage: str = "retrieval", benchmark: str = "hard", overwrite: bool = False) -> dict:
+    """Scores a ranking and writes ``summary.json`` and the details of every scored task to ``folder``; returns the summary.
+
+    The summary has the means by stratum (three rows at most come to the driver) and the skipped tasks by reason.
+    """
+    spark = tasks.sparkSession
+    jsonl.guard_outputs(spark, [f"{folder}/summary.json"], overwrite)
+    found = score(tasks, ranking, skills)
+    details = cut(found.details)
+    jsonl.write_atomic(details, f"{folder}/details", overwrite)
+    means = {r.stratum: {k: v for k, v in r.asDict().items() if k != "stratum"} for r in metrics.strata_means(details).collect()}
+    summary = {"stage": stage, "benchmark": benchmark, "metrics": means, **found.skipped.first().asDict()}
+    jsonl.write_json(spark, summary, f"{folder}/summary.json")
+    return summary

@@ -179,12 +179,22 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small text file, written beside ``path`` and renamed, so that a reader never sees half of it."""
+    fs, p = _fs(spark, path)
+    made = _fs(spark, f"{path}.tmp")[1]
+    out = fs.create(made, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(p, False)
+    _rename(fs, made, p)
+
+
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
     """One small JSON document."""
-    fs, p = _fs(spark, path)
-    out = fs.create(p, True)
-    out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
-    out.close()
+    write_text(spark, json.dumps(value, ensure_ascii=False, indent=2), path)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
