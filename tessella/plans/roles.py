@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.lineage import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,8 +36,8 @@ GRAM = 5
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, skill_id): the documents that hold a query's text word for word."""
-    return holding(pool(spark, sf_dir), tasks(spark, sf_dir)).select("query_id", "skill_id")
+    """(query_id, skill_id): the documents that hold a query's text word for word; found once, however often it is read."""
+    return cut(holding(pool(spark, sf_dir), tasks(spark, sf_dir)).select("query_id", "skill_id"))
 
 
 def holding(skills: DataFrame, asked: DataFrame) -> DataFrame:
@@ -49,12 +51,17 @@ def holding(skills: DataFrame, asked: DataFrame) -> DataFrame:
     size = F.least(F.size(words) - 2, F.lit(GRAM))
     keyed = asked.select("query_id", "query", size.alias("size"), F.when(size < 1, F.raise_error(F.concat(F.lit("a query of two words or fewer: "), "query_id")).cast("long")).otherwise(F.xxhash64(F.slice(words, 2, F.greatest(size, F.lit(1))))).alias("gram"))
     sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())  # GRAM rows at most
-    body = F.split("body", " ")
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(body) - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("size"), F.xxhash64(F.slice(body, i, F.lit(n))).alias("gram")))
     if not sizes:
         return asked.join(skills.select("skill_id", "body"), F.lit(False)).select("query_id", "query", "skill_id", "body")
-    each = skills.where("body is not null").select("skill_id", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("g")).select("skill_id", "g.*")
-    pairs = each.join(keyed, ["size", "gram"]).select("query_id", "query", "skill_id").distinct()
+
+    def grams(words: Column) -> Column:
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
+        return F.array_distinct(F.concat(*map(of, sizes)))
+
+    # the words are split once and bound, not once a gram
+    bound = F.transform(F.array(F.split("body", " ")), grams)[0]
+    each = skills.where("body is not null").select("skill_id", F.explode(bound).alias("gram"))
+    pairs = each.join(keyed, "gram").select("query_id", "query", "skill_id").distinct()
     return pairs.join(skills.select("skill_id", "body"), "skill_id").where(F.contains("body", "query"))
 
 
