@@ -3,7 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next one's
 docs. All but the last return the columns of ``documents``. Rows without doc_id can't be named by a decision of the
 stages that compare documents; those stages keep them.
-Empty tables pass through as empty tables.
+Null texts, and texts without a letter, go at the first stage. Very long texts are read whole by every stage. Rows that
+repeat an id stay or go together where a decision names their id; equal texts are copies whatever their ids. Ties: of equal
+texts the largest id stays, of near ones the smallest. Empty tables pass through as empty tables. Columns beyond those of
+``documents`` pass through under any name.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ ancestor. Text of kept elements is returned in page order: character references
 space, blocks joined by an empty line. Scripts, styles, templates, form controls and the head never give text.
 
 Null and empty pages, and pages without text, give the empty string. Very long pages are read whole. Repeated rows get the
-same text; empty tables give no rows; only the columns named are read, and ``carry`` columns come back unchanged.
+same text; where keeping and dropping weigh the same, an element is dropped; empty tables give no rows; only the columns named are read, and ``carry`` columns come back unchanged.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ template's words stand at theirs as ``coverage`` asks for (base phrases: all). S
 words of a template are among its mandatory words.
 
 Words are runs of digits, letters a-z and characters beyond ASCII after lower-casing A-Z. Null and empty texts have no
-words and no place. Repeated rows are scanned each; empty tables give no rows; other columns are not read.
+words and no place. Very long texts are scanned whole. The score is the best of a text's places, so ties don't matter. Repeated rows are
+scanned each; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
