@@ -62,7 +62,7 @@ def flag_identity(pairs: DataFrame, skills: DataFrame, threshold: float = 0.85)
     pairs = cut(pairs)
     # only skills of a pair are normalised
     named = pairs.select(F.col("positive_skill_id").alias("skill_id")).unionByName(pairs.select("skill_id")).distinct()
-    side = cut(with_identity(skills.join(named, "skill_id", "left_semi")))
+    side = with_identity(skills.join(named, "skill_id", "left_semi"))
     both = pairs.join(side.select(F.struct("*").alias("p"), F.col("skill_id").alias("positive_skill_id")), "positive_skill_id").join(side.select(F.struct("*").alias("c"), "skill_id"), "skill_id")
     return both.withColumn("reason", identity_reason(threshold)).drop("p", "c")
 
