@@ -17,7 +17,8 @@ named by the hash of the set.
    pivot only, by their commonest tokens, which joins large groups of near copies by stars; a last round pairs all that is
    still apart under every token. The join's own condition holds the filters on size, on the places of the token (what is
    left behind it in either set must suffice) and on the sketches, so pairs that fail them are never emitted; pairs of
-   large sets then pass a wider sketch.
+   large sets then pass a wider sketch. The last round leaves a pair out under a token if it meets under an earlier one
+   that is among the first shared tokens of both sets, so long copies aren't emitted once for each token they share.
 4. The ends of these pairs, few of all sets, are worked out once more from the text of one row each: the pairs must share a
    prefix token under B and one under C (32 bits of it); the sets of those that do are joined and intersected exactly.
 5. Links give components by minimum labels and pointer jumping, and a component's smallest id goes to its rows.
@@ -53,6 +54,8 @@ SALTS = 64
 PIVOT_TURNS = 2
 #: Of a set's shared tokens, those that pivot rounds use.
 PIVOT_TOKENS = 6
+#: Of a set's shared tokens, the first ones that tell in the last round whether a pair met before.
+FIRST_TOKENS = 8
 #: Sets of more shingles have a second sketch, of this many bits.
 WIDE_FROM, WIDE_BITS = 600, 4096
 #: Postings that a bucket's reducer takes in before it sorts them.
@@ -351,11 +354,10 @@ def _link(rows: DataFrame, nodes: DataFrame, postings: DataFrame, rule: Rule, sh
             continue
         hot = _hot(apart)
         if last:
-            left, right = _all_apart(current, apart, hot, rule)
+            left, right = _all_apart(_with_first(current, postings), apart, hot, rule)
         else:
             left, right = _salted(current, apart.select("token", *(F.col(f"pivot.{a}").alias(b) for a, b in _OTHER.items())), hot, "set")
-        smaller = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("other") < F.col("set"))
-        both = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("label") != F.col("other_label")) & rule.near("n", "m", "at", "other_at") & rule.alike("n", "m") & (smaller if last else F.lit(True)))
+        both = _candidates(left, right, rule, last)
         pairs = tables.put(f"pairs{turn}", both.select(F.least("set", "other").alias("x"), F.greatest("set", "other").alias("y")).distinct())
         pairs = tables.put(f"alike{turn}", _alike(pairs, nodes, rule))
         held = _held(rows, nodes, pairs, rule, shared, tables)
@@ -378,6 +380,26 @@ def _relabelled(labels: DataFrame, links: DataFrame, turn: int, tables: StageTab
     return old.unionByName(met)
 
 
+def _with_first(current: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings with ``first``: those of their set's ``FIRST_TOKENS`` first shared tokens that come before them."""
+    place = F.row_number().over(Window.partitionBy("set").orderBy("at"))
+    each = postings.select("set", "at", "token").withColumn("place", place).where(F.col("place") <= FIRST_TOKENS).groupBy("set").agg(F.collect_list(F.struct("at", "token")).alias("all"))
+    before = F.transform(F.filter("all", lambda x: x["at"] < F.col("at")), lambda x: x["token"])
+    return current.join(each, "set").withColumn("first", before).drop("all")
+
+
+def _candidates(left: DataFrame, right: DataFrame, rule: Rule, last: bool) -> DataFrame:
+    """The join of both sides. In the last round the right set is the smaller, and the pair does not meet under an earlier token.
+
+    The filters hold under an earlier token of both sets if they hold under a later one, so under one of them it is emitted.
+    """
+    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("label") != F.col("other_label")) & rule.near("n", "m", "at", "other_at") & rule.alike("n", "m")
+    if last:
+        smaller = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("other") < F.col("set"))
+        on = on & smaller & ~F.arrays_overlap("first", "other_first")
+    return left.alias("l").join(right.alias("r"), on)
+
+
 def _all_apart(current: DataFrame, apart: DataFrame, hot: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Both sides of the last round: all postings of tokens whose sets lie in different components, salted alike.
 
@@ -386,7 +408,7 @@ def _all_apart(current: DataFrame, apart: DataFrame, hot: DataFrame, rule: Rule)
     left, tokens = _salted(current, apart.select("token"), hot, "set")
     left = left.join(tokens, ["token", "salt"], "left_semi")
     _, right = _salted(apart, current.where(rule.short()), hot, "token")
-    return left, right.select("token", "salt", *(F.col(a).alias(b) for a, b in _OTHER.items()))
+    return left, right.select("token", "salt", *(F.col(a).alias(b) for a, b in _OTHER.items()), F.col("first").alias("other_first"))
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:

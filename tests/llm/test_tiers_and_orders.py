@@ -53,3 +53,37 @@ def test_linked_sets_pass_both_orders(spark):
             for key in (jaccard_join._B, jaccard_join._C):
                 x, y = (set(jaccard_join.ordered(v, marks, rule.prefix(len(v)), key).astype(np.uint32).tolist()) for v in (s, t))
                 assert x & y
+
+
+def test_a_pair_meets_under_few_of_its_shared_tokens(spark):
+    rule = jaccard_join.Rule(k=5, num=80, den=100)
+    # two sets that share 90 tokens of their prefix, and a third that shares only the later ones with the first
+    rows = [(t, s, 500, t + shift, 0, 0, 0, 0, s) for s, shift, tokens in ((1, 0, range(90)), (2, 1, range(90)), (3, 0, range(40, 90))) for t in tokens]
+    postings = spark.createDataFrame(rows, "token long, set long, n int, at int, s0 long, s1 long, s2 long, s3 long, label long")
+    apart = postings.groupBy("token").agg(F.count("*").alias("times"))
+    left, right = jaccard_join._all_apart(jaccard_join._with_first(postings, postings.drop("label")), apart, jaccard_join._hot(apart), rule)
+    found = [(r["set"], r.other) for r in jaccard_join._candidates(left, right, rule, True).select("set", "other").collect()]
+    assert found.count((2, 1)) == 1
+    assert {tuple(x) for x in found} == {(2, 1), (3, 1), (3, 2)}
+
+
+def test_the_last_round_alone_finds_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PIVOT_TURNS", 0)
+    monkeypatch.setattr(jaccard_join, "FIRST_TOKENS", 3)
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.integers(400)}" for _ in range(int(rng.integers(60, 160)))]
+        for _ in range(6):
+            changed = list(words)
+            for at in rng.integers(len(words), size=int(rng.integers(0, 5))):
+                changed[at] = f"v{rng.integers(400)}"
+            texts.append(" ".join(changed))
+    rule = jaccard_join.Rule(k=3, num=70, den=100)
+    sets = [set(jaccard_join.shingles(t, 3).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        want = [min(want[j] for j in range(len(texts)) if 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j])) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similarity_components(docs, rule).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) < len(texts)
