@@ -12,6 +12,7 @@ from tessella.functions import alignment
 from tessella.functions import evidence as ev
 from tessella.functions.fixed import QUERY_INSTRUCTION
 from tessella.operators import contracts, dense, generation, training
+from tessella.operators.lineage import cut, few
 from tessella.plans import queries as plans
 from tessella.plans import roles
 from tessella.plans.queries import _BM25, _SIM, POOL, TASKS, query, sql_string
@@ -22,7 +23,8 @@ _TOP = f"{_BM25}, names AS (SELECT pool_idx, skill_id FROM {POOL}), top AS (SELE
 
 def _top(spark, sf, limit):
     pool = roles.pool(spark, sf)
-    return plans._bm25_rank(spark, sf, limit).join(pool.select("pool_idx", "skill_id"), "pool_idx").select("query_id", "skill_id", "score", "rank"), pool
+    top = pool.select("pool_idx", "skill_id").join(few(plans._bm25_rank(spark, sf, limit)), "pool_idx")
+    return cut(top.select("query_id", "skill_id", "score", "rank")), pool
 
 
 @query(f"""WITH {_TOP}, p AS (SELECT query_id, skill_id FROM top WHERE rank = 1), n AS (SELECT query_id, skill_id, rank FROM top WHERE rank BETWEEN 2 AND 11)
