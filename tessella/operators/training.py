@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text
+from tessella.operators.lineage import cut, few
 
 
 def biencoder_examples(records: DataFrame, negatives: DataFrame, skills: DataFrame, max_negatives: int = 10) -> DataFrame:
@@ -16,12 +17,14 @@ def biencoder_examples(records: DataFrame, negatives: DataFrame, skills: DataFra
     ``records``: query_id, query, positive_skill_id, positives (array), training_type, loss_weight; ``negatives``:
     query_id, skill_id, source, position. Positives and repeats are no negatives; an unknown skill is an error.
     """
-    texts = skills.select("skill_id", text.format_skill("name", "description", "body").alias("skill_text"))
     known = lambda c: F.when(c.isNotNull(), c).otherwise(F.raise_error(F.lit("unknown skill")))
     first = Window.partitionBy("query_id", "skill_id").orderBy("position")
     valid = negatives.join(records.select("query_id", "positives"), "query_id").where(~F.array_contains("positives", F.col("skill_id"))).withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    # the limit comes before the texts are joined
-    kept = valid.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("at") <= max_negatives).join(texts, "skill_id", "left")
+    # the limit comes before the texts are joined, and only texts that are asked for are moved
+    limited = cut(valid.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("at") <= max_negatives))
+    asked = few(cut(limited.select("skill_id").unionByName(records.select(F.col("positive_skill_id").alias("skill_id"))).distinct()))
+    texts = skills.join(asked, "skill_id", "left_semi").select("skill_id", text.format_skill("name", "description", "body").alias("skill_text"))
+    kept = limited.join(texts, "skill_id", "left")
     lists = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "skill_id", known(F.col("skill_text")).alias("text"), "source"))).alias("n"))
     side = texts.withColumnsRenamed({"skill_id": "positive_skill_id", "skill_text": "positive_text"})
     joined = records.join(side, "positive_skill_id", "left").join(lists, "query_id", "left")
