@@ -5,9 +5,12 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import bm25, dense, negatives
+from tessella.operators import bm25, dense, negatives, training
+from tessella.plans import queries as plans
+from tessella.plans import roles
 
 
 def test_scratch_memory_of_dense_search_is_bounded_by_a_block():
@@ -62,3 +65,35 @@ def test_a_scan_reads_the_head_of_the_lexical_list_first(spark):
     ids = {w: [r.skill_id for r in df.orderBy("position").collect()] for w, (df, _) in rows.items()}
     assert [len(ids[w]) for w in rows] == [10, 80, 300] and [whole for _, whole in rows.values()] == [False, False, True]
     assert ids[80][:10] == ids[10] and ids[640][:80] == ids[80]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_ranking_that_is_read_twice_is_worked_out_once(spark):
+    assert "Window" not in _plan(plans._bm25_rank(spark, "/root/testdata/sf0.001", 3))
+    assert "MapInArrow" not in _plan(plans._evaluation(spark, "/root/testdata/sf0.001")[1].skipped)
+
+
+def test_few_rows_go_to_the_texts(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        skills = spark.range(60).select(F.format_string("s%d", "id").alias("skill_id"), F.lit("n").alias("name"), F.lit("d").alias("description"), F.format_string("x one two %d three four y", F.col("id") % 5).alias("body"))
+        asked = spark.createDataFrame([("q", "x one two 3 three four y")], "query_id string, query string")
+        held = roles.holding(skills, asked)
+        assert held.count() == 12 and "Exchange hashpartitioning" not in _plan(held)
+        pairs = spark.createDataFrame([("q", "s1", "s6"), ("q", "s1", "s2")], "query_id string, positive_skill_id string, skill_id string")
+        flagged = negatives.flag_identity(pairs, skills, 0.999)
+        assert {r.skill_id: r.reason for r in flagged.collect()} == {"s6": "same_normalized_name", "s2": "same_normalized_name"}
+        records = asked.withColumn("positive_skill_id", F.lit("s3")).withColumns({"positives": F.array(F.lit("s3")), "training_type": F.lit("single"), "loss_weight": F.lit(1.0)})
+        listed = spark.createDataFrame([("q", "s8", "bm25", 1), ("q", "s3", "bm25", 2), ("q", "s4", "bm25", 3)], "query_id string, skill_id string, source string, position int")
+        made = training.biencoder_examples(records, listed, skills)
+        assert made.first().negative_skill_ids == ["s8", "s4"] and made.first().positive_text == "n | d | x one two 3 three four y"
+        for plan in (_plan(flagged), _plan(made)):
+            assert "BroadcastHashJoin [skill_id" in plan and "LeftSemi" in plan
+        with pytest.raises(Exception, match="unknown skill"):
+            training.biencoder_examples(records, listed.withColumn("skill_id", F.lit("none")), skills).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
