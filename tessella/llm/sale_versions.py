@@ -10,7 +10,7 @@ batches less ``delay_hours`` (before the first: minus infinity); H is the smalle
 
 After the last batch the waiting sales are emitted as one batch more (in the last start).
 
-How it runs. One write deals both tables to batches and buckets. A stateful streaming query (``transformWithStateInPandas``)
+How it runs. One write deals both tables to batches and buckets. A stateful streaming query (``applyInPandasWithState``)
 is started anew for every batch on one checkpoint, and reads the batch's files, which are moved into its source folder.
 Clients are hashed to buckets; a bucket holds about ``ROWS_PER_BUCKET`` rows of a batch, and buckets are numbered so that
 each state partition gets the same number of them. Every bucket gets one tick per batch with the watermarks, so that
@@ -18,6 +18,10 @@ it acts in empty batches too. A bucket's state is columnar: versions of all its
 id), and waiting sales, as numpy arrays. Sales are resolved together, by one binary search over composite ranks (place of
 the client, then rank of the time).
 
+The state store is the one that keeps a partition's state as files of changes and in the heap while a task works on it.
+RocksDB keeps memory outside of the heap for every store that was ever opened on an executor, and here every start opens one to
+each state partition.
+
 Hot clients. A client with over 1 / ``HOT_SHARE`` of all rows (so at most ``HOT_SHARE`` of them) is cut into slices of
 ``SLICE_HOURS`` of valid time; each slice is a unit of its own, in a bucket of its own. A slice's bucket answers with the
 last version of the slice, and reports per batch how many versions the slice held, its last one, and the last one pruned.
@@ -42,7 +46,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessella.llm.common import StageTables, worker_state
 
@@ -167,14 +171,9 @@ def _run_batches(spark: SparkSession, tables: StageTables, n_batches: int, parti
     fs.mkdirs(path("source"))
     state = "spark.sql.streaming.stateStore."
     conf = {
-        f"{state}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        # Every start has stores of its own: those of the start before are closed and their local files go at once.
+        f"{state}providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+        # Every start has stores of its own: those of the start before are closed and what they hold goes at once.
         f"{state}unloadOnCommit": "true",
-        f"{state}rocksdb.allowFAllocate": "false",
-        f"{state}rocksdb.changelogCheckpointing.enabled": "true",
-        f"{state}rocksdb.boundedMemoryUsage": "true",
-        f"{state}rocksdb.maxMemoryUsageMB": "48",
-        f"{state}rocksdb.writeBufferSizeMB": "4",
         # The file system's own checksums guard the small files of every commit.
         "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
         "spark.sql.shuffle.partitions": str(partitions),
@@ -187,7 +186,7 @@ def _run_batches(spark: SparkSession, tables: StageTables, n_batches: int, parti
         for b in range(n_batches):
             fs.rename(path(f"dealt/feed={b}"), path(f"source/b{b:06d}"))
             fed = spark.readStream.schema(_FED).parquet(f"{tables.path('source')}/*")
-            found = fed.groupBy("bucket").transformWithStateInPandas(Versions(), _OUT, "Append", "None")
+            found = fed.groupBy("bucket").applyInPandasWithState(_tick, _OUT, _STATE, "Append", GroupStateTimeout.NoTimeout)
             query = found.writeStream.format("parquet").option("path", tables.path("out")).option("checkpointLocation", tables.path("state")).outputMode("append").trigger(availableNow=True).start()
             query.awaitTermination()
     finally:
@@ -195,54 +194,50 @@ def _run_batches(spark: SparkSession, tables: StageTables, n_batches: int, parti
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-class Versions(StatefulProcessor):
-    """One bucket: the versions of its clients, and the sales that wait."""
-
-    _VERSION = ("client", "slice", "at", "id", "cents", "op", "nulls")
-    _WAITING = ("client", "slice", "at", "id", "nulls")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        names = [*(f"v_{x}" for x in (*self._VERSION, "ops")), *(f"w_{x}" for x in self._WAITING)]
-        self._state = handle.getValueState("bucket", ", ".join(f"{x} binary" for x in names))
-
-    def close(self) -> None:
-        pass
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        worker_state("sale_versions")  # gives freed memory back
-        new = pd.concat(list(rows), ignore_index=True)
-        tick = new[new["kind"] == _TICK]
-        if len(tick) != 1:
-            raise ValueError(f"bucket {key}: {len(tick)} ticks in one batch")
-        batch, watermark, h, last = (int(tick[x].iloc[0]) for x in ("client", "at", "id", "slice"))
-        held, ops, waiting = self._loaded()
-        changes, sales = new[new["kind"] == _CHANGE], new[new["kind"] == _SALE]
-        late = changes["at"].to_numpy() < watermark
-        yield from _late_rows(changes[late], batch)
-        fresh = changes[~late]
-        held = _ordered({x: np.concatenate([held[x], _codes(fresh["op"], ops) if x == "op" else fresh[x].to_numpy(np.int64)]) for x in self._VERSION}, ops)
-        waiting = {x: np.concatenate([waiting[x], sales[x].to_numpy(np.int64)]) for x in self._WAITING}
-        for turn in range(1 + last):  # after the last batch, what still waits is emitted as a batch of its own
-            now = (waiting["at"] < h) | (waiting["nulls"] & _NO_TIME > 0) | (turn == 1)
-            emitted, waiting = ({x: v[chosen] for x, v in waiting.items()} for chosen in (now, ~now))
-            units = Units(held)
-            yield from _sale_rows_out(emitted, held, ops, units, units.answer(emitted), batch + turn)
-            keep, retired = units.pruned(h)
-            yield from _reports(held, ops, units, retired, batch + turn)
-            held = {x: v[keep] for x, v in held.items()}
-        self._save(held, ops, waiting)
-
-    def _loaded(self) -> tuple[dict[str, np.ndarray], list[str], dict[str, np.ndarray]]:
-        found = [bytes(x) for x in self._state.get()] if self._state.exists() else None
-        n = len(self._VERSION)
-        at = lambda names, start: {x: np.frombuffer(found[start + i] if found else b"", np.int64) for i, x in enumerate(names)}
-        return at(self._VERSION, 0), json.loads(found[n]) if found else [], at(self._WAITING, n + 1)
-
-    def _save(self, held: dict[str, np.ndarray], ops: list[str], waiting: dict[str, np.ndarray]) -> None:
-        if len(held["at"]) or len(waiting["at"]):
-            self._state.update((*(held[x].tobytes() for x in self._VERSION), json.dumps(ops).encode(), *(waiting[x].tobytes() for x in self._WAITING)))
-        elif self._state.exists():
-            self._state.clear()
+#: One bucket: the versions of its clients, the ops that their codes stand for, and the sales that wait.
+_VERSION = ("client", "slice", "at", "id", "cents", "op", "nulls")
+_WAITING = ("client", "slice", "at", "id", "nulls")
+_STATE = ", ".join(f"{x} binary" for x in (*(f"v_{x}" for x in (*_VERSION, "ops")), *(f"w_{x}" for x in _WAITING)))
+
+
+def _tick(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One batch of a bucket."""
+    worker_state("sale_versions")  # gives freed memory back
+    new = pd.concat(list(rows), ignore_index=True)
+    tick = new[new["kind"] == _TICK]
+    if len(tick) != 1:
+        raise ValueError(f"bucket {key}: {len(tick)} ticks in one batch")
+    batch, watermark, h, last = (int(tick[x].iloc[0]) for x in ("client", "at", "id", "slice"))
+    held, ops, waiting = _loaded(state)
+    changes, sales = new[new["kind"] == _CHANGE], new[new["kind"] == _SALE]
+    late = changes["at"].to_numpy() < watermark
+    yield from _late_rows(changes[late], batch)
+    fresh = changes[~late]
+    held = _ordered({x: np.concatenate([held[x], _codes(fresh["op"], ops) if x == "op" else fresh[x].to_numpy(np.int64)]) for x in _VERSION}, ops)
+    waiting = {x: np.concatenate([waiting[x], sales[x].to_numpy(np.int64)]) for x in _WAITING}
+    for turn in range(1 + last):  # after the last batch, what still waits is emitted as a batch of its own
+        now = (waiting["at"] < h) | (waiting["nulls"] & _NO_TIME > 0) | (turn == 1)
+        emitted, waiting = ({x: v[chosen] for x, v in waiting.items()} for chosen in (now, ~now))
+        units = Units(held)
+        yield from _sale_rows_out(emitted, held, ops, units, units.answer(emitted), batch + turn)
+        keep, retired = units.pruned(h)
+        yield from _reports(held, ops, units, retired, batch + turn)
+        held = {x: v[keep] for x, v in held.items()}
+    _save(state, held, ops, waiting)
+
+
+def _loaded(state: GroupState) -> tuple[dict[str, np.ndarray], list[str], dict[str, np.ndarray]]:
+    found = [bytes(x) for x in state.get] if state.exists else None
+    n = len(_VERSION)
+    at = lambda names, start: {x: np.frombuffer(found[start + i] if found else b"", np.int64) for i, x in enumerate(names)}
+    return at(_VERSION, 0), json.loads(found[n]) if found else [], at(_WAITING, n + 1)
+
+
+def _save(state: GroupState, held: dict[str, np.ndarray], ops: list[str], waiting: dict[str, np.ndarray]) -> None:
+    if len(held["at"]) or len(waiting["at"]):
+        state.update((*(held[x].tobytes() for x in _VERSION), json.dumps(ops).encode(), *(waiting[x].tobytes() for x in _WAITING)))
+    elif state.exists:
+        state.remove()
 
 
 def _codes(values: pd.Series, ops: list[str]) -> np.ndarray:

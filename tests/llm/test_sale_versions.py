@@ -104,3 +104,20 @@ def test_query_equals_the_loop_on_whole_tables(spark):
     for c in changes:
         c["batch"] = day(c["valid_at"], zlib.crc32(str(c["change_id"]).encode()) % 4)
     assert sorted(map(tuple, op13_sale_versions(spark, sf).collect()), key=repr) == sorted(by_hand(sales, changes, 12), key=repr)
+
+
+def test_state_is_kept_without_native_stores(spark, monkeypatch):
+    """A RocksDB store leaves memory outside of the heap behind, at every start and in every state partition."""
+    from pathlib import Path
+
+    kinds, drop = set(), sale_versions.StageTables.drop
+
+    def spied(self, table=""):
+        if table == "state":
+            kinds.update(x.suffix for x in Path(self.path("state/state").removeprefix("file:")).rglob("*") if x.is_file())
+        drop(self, table)
+
+    monkeypatch.setattr(sale_versions.StageTables, "drop", spied)
+    sales, changes = made(3, 40, 30, 2)
+    assert sale_versions.enrich(*frames(spark, sales, changes), 2).count() >= 40
+    assert ".delta" in kinds and not kinds & {".changelog", ".zip", ".sst"}
